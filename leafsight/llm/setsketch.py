@@ -8,7 +8,8 @@ estimate doesn't rule out are compared on their full sets.
 
 Groups of alike texts are not multiplied out. Texts with equal sets count as one node. In each
 band bucket every node is compared with the bucket's smallest and largest node; what that links
-is one component, and only nodes of a bucket that are still apart are compared with each other.
+is one component, and only nodes of a bucket that are still apart are compared with each other,
+if a finer signature of their sets, compared within the join, doesn't rule the pair out.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ BASE, RATE = 1.1, 20.0
 MARGIN = 0.2
 _MULTS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 512
+#: Bins of the fine signature, a power of two; the largest error of its estimate, about five deviations.
+BINS, FINE_MARGIN = 1024, 0.07
+#: Rows of a bucket that are compared with each other at a time.
+CELL = 256
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
@@ -51,6 +56,31 @@ def registers(low: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(e, 1e-300)) / np.log(BASE)), 0, 255).astype(np.uint8)
 
 
+def fine(x: np.ndarray) -> np.ndarray:
+    """Bits of a sorted set by the least value of each bin: whether there is one, and two bits of it, as longs.
+
+    A value has one bin, so this costs one pass, and small sets are all but fully told by it.
+    """
+    bins = (x >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    planes = np.zeros((3, BINS), bool)
+    with np.errstate(over="ignore"):
+        low = x[first] * np.uint64(0x9E3779B97F4A7C15)
+    planes[0, bins[first]] = True
+    planes[1, bins[first]] = (low >> np.uint64(61)) & np.uint64(1)
+    planes[2, bins[first]] = (low >> np.uint64(60)) & np.uint64(1)
+    return np.packbits(planes, axis=1).reshape(-1).view(np.int64)
+
+
+def fine_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of fine signatures: equal bins, less the quarter of unequal ones that agree by chance."""
+    w = BINS // 64
+    both = a[..., :w] & b[..., :w]
+    agree = both & ~((a[..., w : 2 * w] ^ b[..., w : 2 * w]) | (a[..., 2 * w :] ^ b[..., 2 * w :]))
+    either, both, agree = (np.bitwise_count(x).sum(axis=-1, dtype=np.int64) for x in (a[..., :w] | b[..., :w], both, agree))
+    return (4 * agree - both) / (3 * np.maximum(either, 1))
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Registers of the union of two sets."""
     return np.maximum(a, b)
@@ -78,22 +108,23 @@ def joint_estimate(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, regs): the size of the shingle set, a digest of the whole set, its registers."""
+    """(doc_id, n_shingles, set_key, regs, fine): the size of the shingle set, a digest of the whole set, its registers and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, low = [], [], []
+            n, keys, low, bits = [], [], [], []
             for x in shingle_sets(batch.column("text").to_pylist(), k):
                 n.append(len(x))
                 keys.append(hashlib.md5(x.tobytes()).digest() if len(x) else None)
                 low.append(sketch(x))
+                bits.append(fine(x))
             regs = registers(np.stack(low)) if low else np.zeros((0, REGISTERS), np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "regs"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "regs", "fine"],
             )
 
-    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary, fine array<long>")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -138,6 +169,58 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(run, "u long, v long")
 
 
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (key, parts, node, n, component, fine) the pairs (u, v, nu, nv) of a bucket, of two components, that may be similar.
+
+    A bucket is cut into parts, and each two of them meet in a cell of their own, so that no task
+    holds a whole bucket. Cells lie together in a sorted partition; a few hundred rows are held at a time.
+    """
+    cells = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component", "fine")
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for a in range(len(node) - 1):
+            ok = (component[a + 1 :] != component[a]) & (100 * np.minimum(n[a + 1 :], n[a]) >= percent * np.maximum(n[a + 1 :], n[a]))
+            if part[0] != part[-1] or (part != part[0]).any():
+                ok &= part[a + 1 :] != part[a]
+            to = a + 1 + np.flatnonzero(ok)
+            if len(to):
+                to = to[fine_estimate(bits[to], bits[a]) >= percent / 100 - FINE_MARGIN]
+                lower = node[a] < node[to]
+                pair = [np.full(len(to), node[a]), node[to], np.full(len(to), n[a]), n[to]]
+                out.append(np.stack([np.where(lower, pair[k], pair[m]) for k, m in ((0, 1), (1, 0), (2, 3), (3, 2))]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        names = ["u", "v", "nu", "nv"]
+
+        def pack(found: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy() for c in ("key", "i", "j", "part", "node", "n", "component")]
+            now.append(batch.column("fine").flatten().to_numpy().reshape(batch.num_rows, -1))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
+            bounds = [0, *cut.tolist()]
+            found = []
+            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                found += compare(*[x[a:z] for x in now[3:]])
+            held = [x[bounds[-1] :] for x in now]
+            if found:
+                yield pack(found)
+        if held is not None and (found := compare(*held[3:])):
+            yield pack(found)
+
+    return cells.mapInArrow(run, "u long, v long, nu long, nv long")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (u, v) those whose full sets are similar enough."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
@@ -156,15 +239,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
 
 
-def _seven(regs: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(regs, at + 1, 7)), 16, 10).cast("long")
-
-
-def _packed(regs: Column) -> Column:
-    """Registers as longs of seven bytes."""
-    return F.array(*[_seven(regs, at) for at in range(0, REGISTERS, 7)])
-
-
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -196,25 +270,10 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # what is still apart within a bucket
     now = met.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = now.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).where("c_lo < c_hi").select("key")
-    packed = nodes.select("node", _packed(F.col("regs")).alias("x"))
-    apart = settle(now.join(split, "key", "left_semi").join(packed, "node"), "apart")
-    words = -(-REGISTERS // 7)
-    a = apart.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "component")], *[F.get("x", i).alias(f"a_{i}") for i in range(words)])
-    b = apart.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "component")], *[F.get("x", i).alias(f"b_{i}") for i in range(words)])
-    # seven registers a long: a byte of their exclusive or that isn't zero raises the byte's top bit
-    differ = F.lit(0)
-    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-    for i in range(words):
-        x = F.col(f"a_{i}").bitwiseXOR(F.col(f"b_{i}"))
-        differ = differ + F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
-    # at the margin's similarity this many registers differ at most, with room to spare
-    most = int(REGISTERS * (1 - (percent / 100 - MARGIN))) + 1
-    rest = a.join(
-        b,
-        (a["key"] == b["key"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
-        & _near_size(F.col("a_n"), F.col("b_n"), percent) & (differ <= most),
-    ).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), F.col("a_n").alias("nu"), F.col("b_n").alias("nv")).distinct()
+    split = now.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count(F.lit(1)).alias("size")).where("c_lo < c_hi")
+    split = split.select("key", F.ceil(F.col("size") / CELL).alias("parts"))
+    bits = sig.select(F.col("doc_id").alias("node"), "set_key", "fine").join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi").drop("set_key")
+    rest = _apart(now.join(split, "key").join(bits, "node"), percent).distinct()
     rest = rest.join(regs.select(F.col("node").alias("u"), F.col("regs").alias("ru")), "u").join(regs.select(F.col("node").alias("v"), F.col("regs").alias("rv")), "v")
     more = settle(_confirmed(_estimated(rest, percent), texts, k, percent), "more")
     if more.limit(1).count():
