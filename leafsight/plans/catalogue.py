@@ -1,4 +1,408 @@
 """The registered queries, and for each the SQL that states the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking, elements, evaluate, search
+from ..sources import store
+from . import bindings as b
+from . import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+R6 = 6
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return b.table(s, d, "documents")
+
+
+@query(oracle.TOKENIZE)
+def f1_tokenize(s, d):
+    return _docs(s, d).select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("terms"))
+
+
+@query(oracle.BOILERPLATE_KEY)
+def f3_boilerplate_key(s, d):
+    return _docs(s, d).select("doc_id", T.boilerplate_key(F.col("text")).alias("key"))
+
+
+@query(oracle.KEYWORDS)
+def f5_keywords(s, d):
+    return _docs(s, d).select("doc_id", F.array_join(T.keywords(F.col("text")), ", ").alias("words"))
+
+
+@query(oracle.FIRST_SENTENCE)
+def f6_first_sentence(s, d):
+    return _docs(s, d).select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query(oracle.SNIPPET)
+def f11_snippet(s, d):
+    return _docs(s, d).select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query(oracle.DOC_INPUT)
+def p3_doc_input(s, d):
+    return b.corpus(s, d).select("chunk_seq", T.document_input(F.when(F.col("chunk_seq") % 5 == 0, " ").otherwise(F.col("title")), F.col("text")).alias("prompt"))
+
+
+@query(oracle.QUERY_INPUT)
+def p5_query_input(s, d):
+    return b.queries(s, d).select("query_id", T.query_input(F.col("text")).alias("prompt"))
+
+
+@query(oracle.KEYS)
+def f21_keys(s, d):
+    return b.corpus(s, d).select("chunk_seq", T.digest_id(F.col("chunk_seq").cast("string"), F.col("chunk_type"), F.col("text")).alias("chunk_id"))
+
+
+@query(oracle.MARKDOWN)
+def f8_markdown_table(s, d):
+    row = F.array(F.concat_ws(" | ", "n_name", F.col("n_nationkey").cast("string")), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")), F.lit("  a  b "))
+    row = F.when(F.col("n_nationkey") % 3 == 0, F.slice(row, 1, 2)).otherwise(row)
+    rows = b.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("x"))
+    return rows.select("n_regionkey", T.rows_to_markdown(F.transform("x", lambda x: x["r"])).alias("markdown"))
+
+
+def _part_tables(s, d):
+    p = b.table(s, d, "part").withColumn("g", F.col("p_partkey") % 10)
+    cells = F.array(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("p_type"))
+    rows = p.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("r")))).alias("x"))
+    return rows.select(F.col("g").alias("table_id"), T.rows_to_markdown(F.transform("x", lambda x: x["r"])).alias("markdown"), F.concat(F.lit("Table "), F.col("g").cast("string")).alias("caption"))
+
+
+@query()
+def c3_split_table(s, d):
+    return chunking.split_tables(_part_tables(s, d))
+
+
+@query()
+def f9_html_markdown(s, d):
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    n = b.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("<tr>"), cell(F.col("n_name")), cell(F.col("n_nationkey").cast("string")), F.lit("</tr>")).alias("h")))).alias("x"))
+    html = F.concat(F.lit("<p>x</p><table>"), F.array_join(F.transform("x", lambda x: x["h"]), ""), F.lit("</table>"))
+    return n.select("n_regionkey", T.rows_to_markdown(chunking.html_table_rows(html), False).alias("markdown"))
+
+
+@query(oracle.BOILERPLATE)
+def a1_boilerplate(s, d):
+    return elements.detect_boilerplate(b.elements(s, d), 0.1).select("doc_id", "key", "pages", "total_pages")
+
+
+@query(oracle.BOILERPLATE_DEFAULT)
+def a1_boilerplate_default(s, d):
+    return elements.detect_boilerplate(b.elements(s, d)).select("doc_id", "key", "pages", "total_pages")
+
+
+@query(oracle.STRIPPED)
+def p1_strip(s, d):
+    e = b.elements(s, d)
+    return elements.strip_boilerplate(e, elements.detect_boilerplate(e, 0.1)).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"))
+
+
+@query(oracle.RUNNING)
+def w1_running_title(s, d):
+    return elements.running_titles(b.elements(s, d)).select("doc_id", "idx", "running_title")
+
+
+@query(oracle.TABLE_CAPTION)
+def w3_table_caption(s, d):
+    return elements.table_captions(b.elements(s, d)).select("doc_id", "idx", "caption")
+
+
+@query(oracle.FIGURE_CAPTION)
+def w4_figure_caption(s, d):
+    return elements.figure_captions(b.elements(s, d)).select("doc_id", "idx", "caption")
+
+
+@query(oracle.ROUTE)
+def p2_route(s, d):
+    parts = elements.route(b.elements(s, d))
+    counts = [v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "doc_id", "n") for k, v in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(oracle.TEXT_TABLES)
+def j4_text_layer_tables(s, d):
+    e = b.elements(s, d)
+    t = e.where("category = 'Table' and idx % 2 = 0").select("doc_id", "page", (F.col("idx") % 3).alias("n"), F.concat(F.lit("t"), F.col("idx").cast("string")).alias("markdown"))
+    t = t.groupBy("doc_id", "page", "n").agg(F.min("markdown").alias("markdown"))
+    return elements.match_text_tables(e, t).select("doc_id", "idx", F.coalesce(T.blank_to_null(F.col("markdown")), F.left("text", F.lit(20))).alias("table_text"))
+
+
+def _overlap_input(s, d):
+    c = b.corpus(s, d).select(F.col("page").alias("doc_id"), F.lit(1).alias("page"), "chunk_type", F.col("chunk_seq").alias("build_seq"), (F.col("chunk_seq") % 2 + 1).cast("int").alias("table_part"), "text")
+    return chunking.reading_order(c)
+
+
+@query()
+def w7_overlap(s, d):
+    return chunking.cross_chunk_overlap(_overlap_input(s, d))
+
+
+@query(oracle.READING_ORDER)
+def w8_reading_order(s, d):
+    return _overlap_input(s, d).select("doc_id", "build_seq", "chunk_seq")
+
+
+@query()
+def c1_section_chunks(s, d):
+    return chunking.section_chunks(b.elements(s, d))
+
+
+@query(oracle.IMAGE_BODY)
+def f15_image_body(s, d):
+    c = b.corpus(s, d)
+    words = F.when(F.col("chunk_seq") % 2 == 0, T.keywords(F.col("text"), 5)).otherwise(F.array().cast("array<string>"))
+    caption = F.when(F.col("chunk_seq") % 3 == 0, F.col("title")).otherwise(F.lit(""))
+    return c.select("chunk_seq", chunking.image_body(caption, words, F.col("text"), F.when(F.col("chunk_seq") % 5 == 0, F.lit("")).otherwise(F.col("title"))).alias("body"))
+
+
+@query(oracle.SUMMARY)
+def a18_chunk_summary(s, d):
+    return chunking.chunk_summary(b.corpus(s, d))
+
+
+@query(oracle.UNION)
+def u1_union(s, d):
+    c = b.corpus(s, d).select("chunk_seq", "chunk_type")
+    parts = [c.where(F.col("chunk_type") == k).withColumn(f"{k}_only", F.lit(1)) for k in ("text", "table", "image")]
+    return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+
+
+@query(oracle.IDF)
+def a7_idf(s, d):
+    c = b.chunks(s, d)
+    p = search.postings(c)
+    return search.inverse_frequencies(p, search.lengths(c, p)).select("term", "df", F.round("idf", R6).alias("idf"))
+
+
+def _rounded(df: DataFrame, *keys: str, scores: tuple[str, ...] = ("score",)) -> DataFrame:
+    return df.select(*keys, *[F.round(c, R6).alias(c) for c in scores])
+
+
+@query(oracle.BM25)
+def r1_bm25(s, d):
+    hits = search.bm25(b.chunks(s, d), b.queries(s, d)).withColumn("score", F.col("bm25"))
+    return _rounded(search.top(hits, 10), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.DENSE)
+def r2_dense(s, d):
+    return _rounded(search.nearest(b.chunks(s, d), b.queries(s, d), 10), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.FILTERED)
+def s8_filtered_knn(s, d):
+    return _rounded(search.nearest(b.chunks(s, d), b.queries(s, d), 10, "table"), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.MINMAX)
+def f2_minmax(s, d):
+    return _rounded(search.scored(b.chunks(s, d), b.queries(s, d)), "query_id", "chunk_seq", scores=("cos", "bm25", "norm_cos", "norm_bm25"))
+
+
+def _search(s, d, **kw):
+    return _rounded(search.search(b.chunks(s, d), b.queries(s, d), 10, **kw), "query_id", "rank", "chunk_seq", "page", scores=("score", "cos", "bm25"))
+
+
+@query(oracle.search("0.6 * norm_cos + 0.4 * norm_bm25"))
+def r3_hybrid(s, d):
+    return _search(s, d)
+
+
+@query(oracle.search("norm_cos"))
+def r3_vector(s, d):
+    return _search(s, d, mode="vector")
+
+
+@query(oracle.search("norm_bm25"))
+def r3_bm25(s, d):
+    return _search(s, d, mode="bm25")
+
+
+@query(oracle.search("0.6 * norm_cos + 0.4 * norm_bm25", "WHERE chunk_type IN ('text', 'image')"))
+def p7_post_filter(s, d):
+    return _search(s, d, types=["text", "image"])
+
+
+def _hits(s, d, decay: float = 0.5, group: int = 4) -> DataFrame:
+    """All chunks of every query with their lifted scores."""
+    c = b.chunks(s, d)
+    hits = search.fuse(search.scored(c, b.queries(s, d))).join(c.drop("embedding", "collection"), "chunk_seq")
+    return search.lift_sections(hits, decay, group)
+
+
+@query(oracle.SECTION)
+def r6_section(s, d):
+    return _rounded(search.top(_hits(s, d), 20), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.PAGES)
+def r7_pages(s, d):
+    return search.pages(_hits(s, d)).select(
+        "query_id", "page_rank", "page", F.round("score", R6).alias("score"), F.array_join("sections", "|").alias("sections"),
+        F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["type"], e["title"], e["snippet"])), "|").alias("evidence"),
+    )
+
+
+@query(oracle.TOP_CHUNKS)
+def r8_top_chunks(s, d):
+    return search.top(_hits(s, d), 6).select("query_id", "rank", "page", "title", "chunk_type", "text")
+
+
+@query(oracle.CONTEXT)
+def w9_context(s, d):
+    return search.context(search.top(_hits(s, d), 6))
+
+
+@query(oracle.CITATIONS)
+def w10_citations(s, d):
+    return search.citations(search.top(_hits(s, d), 6))
+
+
+def _metadata(s, d):
+    c, q = b.chunks(s, d), b.queries(s, d)
+    described = T.descriptor(F.col("title"), F.lit(""), F.lit(""), F.col("chunk_type"))
+    q2 = q.withColumn("text", F.concat(F.col("text"), F.lit(" src0 en table")))
+    meta = search.minmax(search.dense(c, q).join(search.bm25(c, q2, described), ["query_id", "chunk_seq"], "left").fillna(0.0, ["bm25"]), "cos", "bm25")
+    return search.blend(search.fuse(search.scored(c, q)), search.fuse(meta), 0.3)
+
+
+@query(oracle.METADATA)
+def r9_metadata(s, d):
+    return _rounded(search.top(_metadata(s, d), 10), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.PASSAGE)
+def r10_passage(s, d):
+    c, q = b.chunks(s, d), b.queries(s, d)
+    e = b.table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("hvec"))
+    passages = q.join(e, "query_id").drop("qvec").withColumnRenamed("hvec", "qvec")
+    other = search.minmax(search.dense(c, passages), "cos").withColumn("score", F.col("norm_cos"))
+    return _rounded(search.top(search.blend(search.fuse(search.scored(c, q)), other, 0.5), 10), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.RERANK)
+def r11_rerank(s, d):
+    return _rounded(search.rerank_pages(_hits(s, d), F.length("text") % 97), "query_id", "page", "rank")
+
+
+def _pool(s, d, k: int = 40) -> DataFrame:
+    return evaluate.ranked_pages(search.search(b.chunks(s, d), b.queries(s, d), k))
+
+
+def _metrics(s, d) -> DataFrame:
+    return evaluate.metrics(_pool(s, d), b.gold(s, d)).join(b.queries(s, d).select("query_id", "kind", "holdout"), "query_id")
+
+
+MEASURES = ("hit_1", "hit_3", "recall_5", "recall_10", "ndcg")
+
+
+@query(oracle.EVAL)
+def e1_eval(s, d):
+    return _rounded(_metrics(s, d), "query_id", "first_rank", scores=MEASURES)
+
+
+@query(oracle.SPLITS)
+def a14_splits(s, d):
+    return _rounded(evaluate.by_split(_metrics(s, d)), "split", "queries", scores=MEASURES)
+
+
+@query(oracle.KINDS)
+def a15_by_kind(s, d):
+    return _rounded(evaluate.averages(_metrics(s, d), "kind"), "kind", "queries", scores=MEASURES)
+
+
+@query(oracle.MISSES)
+def a16_missing(s, d):
+    return evaluate.miss_report(_pool(s, d), b.gold(s, d))
+
+
+@query(oracle.PAGE_MIX)
+def a17_page_mix(s, d):
+    return evaluate.page_composition(b.chunks(s, d))
+
+
+@query(oracle.MISSED)
+def j8_missed(s, d):
+    return evaluate.missed(_pool(s, d), b.gold(s, d))
+
+
+@query(oracle.WORST)
+def t6_worst(s, d):
+    return _rounded(_metrics(s, d).orderBy(F.round("ndcg", 9), "query_id").limit(10), "query_id", scores=("ndcg",))
+
+
+@query(oracle.CHANGED)
+def j10_changed(s, d):
+    c, q, g = b.chunks(s, d), b.queries(s, d), b.gold(s, d)
+    scores = search.scored(c, q).join(c.select("chunk_seq", "page"), "chunk_seq")
+    ranks = [evaluate.metrics(evaluate.ranked_pages(search.top(search.fuse(scores, mode=m), 40)), g).select("query_id", F.coalesce("first_rank", F.lit(99)).alias(m)) for m in ("vector", "hybrid")]
+    return ranks[0].join(ranks[1], "query_id").withColumn("changed", F.col("vector") != F.col("hybrid"))
+
+
+@query(oracle.ALPHA)
+def j11_alpha_sweep(s, d):
+    c = b.chunks(s, d)
+    grid = F.explode(F.array(*[F.lit(i / 10) for i in range(11)])).alias("alpha")
+    hits = search.fuse(search.scored(c, b.queries(s, d)).select("*", grid), F.col("alpha")).join(c.select("chunk_seq", "page"), "chunk_seq")
+    by = ("alpha", "query_id")
+    per = evaluate.metrics(evaluate.ranked_pages(search.top(hits, 40, by), by), b.gold(s, d), by=by)
+    return _rounded(evaluate.averages(per, "alpha"), "alpha", "queries", scores=MEASURES)
+
+
+@query(oracle.SECTIONS_SWEEP)
+def j11_decay_group_sweep(s, d):
+    c = b.chunks(s, d)
+    hits = search.fuse(search.scored(c, b.queries(s, d))).join(c.drop("embedding", "collection"), "chunk_seq")
+    cells = F.array(*[F.struct(F.lit(x).alias("decay"), F.lit(g).alias("max_group")) for x in (0.0, 0.3, 0.5, 0.7, 0.85, 1.0) for g in (2, 4, 8, 1000)])
+    hits = hits.select("*", F.explode(cells).alias("g")).select("*", "g.decay", "g.max_group")
+    by = ("decay", "max_group", "query_id")
+    lifted = search.lift_sections(hits, F.col("decay"), F.col("max_group"), by)
+    per = evaluate.metrics(evaluate.ranked_pages(search.top(lifted, 40, by), by), b.gold(s, d), by=by)
+    return _rounded(evaluate.averages(per, "decay", "max_group"), "decay", "max_group", "queries", scores=MEASURES)
+
+
+@query(oracle.TOP_TYPE)
+def a19_top_type(s, d):
+    hits = search.search(b.chunks(s, d), b.queries(s, d), 1)
+    return hits.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(oracle.SECTION_STATS)
+def a20_section_stats(s, d):
+    sizes = b.corpus(s, d).where(F.trim("title") != "").groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("titles"), F.count_if(F.col("n") > 1).alias("spanning"))
+
+
+@query(oracle.MEDIAN)
+def a21_median(s, d):
+    return _docs(s, d).groupBy("lang").agg(F.median("n_chars").alias("median_chars"))
+
+
+@query(oracle.DUPLICATES)
+def s6_duplicate_guard(s, d):
+    return store.duplicates(_docs(s, d).withColumn("chunk_id", F.sha2("text", 256)))
+
+
+@query(oracle.REGISTER)
+def s11_register(s, d):
+    return store.register(b.corpus(s, d).withColumnRenamed("title", "doc_id"))
