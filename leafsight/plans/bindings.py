@@ -46,4 +46,4 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("d") + F.col("pos")) % 7 == 0, "FigureCaption").otherwise("NarrativeText")
     )
     page = (F.col("d") % 40).cast("int")
-    return lines.select(F.expr("d div 40").alias("doc_id"), (page * 100000 + F.col("pos")).alias("idx"), page.alias("page"), kind.alias("category"), "text")
+    return lines.select(F.expr("d div 40").alias("doc_id"), (page * 100000 + F.col("pos")).cast("long").alias("idx"), page.alias("page"), kind.alias("category"), "text")

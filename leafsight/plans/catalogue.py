@@ -98,7 +98,8 @@ def f9_html_markdown(s, d):
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     n = b.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("<tr>"), cell(F.col("n_name")), cell(F.col("n_nationkey").cast("string")), F.lit("</tr>")).alias("h")))).alias("x"))
     html = F.concat(F.lit("<p>x</p><table>"), F.array_join(F.transform("x", lambda x: x["h"]), ""), F.lit("</table>"))
-    return n.select("n_regionkey", T.rows_to_markdown(chunking.html_table_rows(html), False).alias("markdown"))
+    rows = n.select("n_regionkey", chunking.html_table_rows(html).alias("rows"))
+    return rows.select("n_regionkey", T.rows_to_markdown(F.col("rows"), False).alias("markdown"))
 
 
 @query(oracle.BOILERPLATE)

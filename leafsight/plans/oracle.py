@@ -20,11 +20,12 @@ def _tokens(c: str) -> str:
     return f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t))"
 
 
-def _keywords(c: str, n: int) -> str:
+def _keywords(c: str, n: int, key: str, frm: str) -> str:
+    """CTE words(key, words): the first n distinct keywords in order, joined."""
     raw = f"list_transform(regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9\\-_/%.]*'), lambda w: lower(regexp_replace(w, '^[.\\-_/]+|[.\\-_/]+$', '', 'g')))"
-    kept = f"list_filter({raw}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w) AND regexp_matches(w, '[a-z]'))"
-    # the first place of each word, in order
-    return f"list_filter({kept}, lambda w, i: list_position({kept}, w) = i)[1:{n}]"
+    return f"""kept AS (SELECT {key}, list_filter({raw}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w) AND regexp_matches(w, '[a-z]')) AS k FROM {frm}),
+each AS (SELECT {key}, unnest(k) AS w, unnest(range(len(k))) AS i FROM kept), firsts AS (SELECT {key}, w, min(i) AS i FROM each GROUP BY ALL),
+words AS (SELECT {key}, string_agg(w, ', ' ORDER BY i) AS words FROM (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i) <= {n}) GROUP BY {key})"""
 
 
 def _sentence(c: str) -> str:
@@ -77,7 +78,7 @@ ROUND = "round({0}, 6) AS {0}".format
 
 TOKENIZE = f"SELECT doc_id, array_to_string({_tokens('text')}, ' ') AS terms FROM documents"
 BOILERPLATE_KEY = f"SELECT doc_id, regexp_replace(lower({_collapse('text')}), '\\p{{Nd}}+', '#', 'g') AS key FROM documents"
-KEYWORDS = f"SELECT doc_id, array_to_string({_keywords('text', 40)}, ', ') AS words FROM documents"
+KEYWORDS = f"WITH {_keywords('text', 40, 'doc_id', 'documents')} SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN words USING (doc_id)"
 FIRST_SENTENCE = f"SELECT doc_id, {_sentence('text')} AS sentence FROM documents"
 SNIPPET = f"SELECT doc_id, left({_collapse('text')}, 400) AS snippet FROM documents"
 DOC_INPUT = f"WITH {CORPUS} SELECT chunk_seq, 'title: ' || CASE WHEN chunk_seq % 5 = 0 THEN 'none' ELSE title END || ' | text: ' || text AS prompt FROM corpus"
@@ -125,8 +126,8 @@ TEXT_TABLES = f"""WITH {ELEMENTS}, t AS (SELECT doc_id, page, idx % 3 AS n, min(
 e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) - 1 AS n FROM elements WHERE category = 'Table')
 SELECT doc_id, idx, coalesce(markdown, left(text, 20)) AS table_text FROM e LEFT JOIN t USING (doc_id, page, n)"""
 READING_ORDER = f"""WITH {CORPUS} SELECT page AS doc_id, chunk_seq AS build_seq, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE chunk_type WHEN 'text' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, chunk_seq) - 1 AS INT) AS chunk_seq FROM corpus"""
-IMAGE_BODY = f"""WITH {CORPUS}, p AS (SELECT chunk_seq, CASE WHEN chunk_seq % 3 = 0 THEN title END AS cap, CASE WHEN chunk_seq % 2 = 0 AND len({_keywords("text", 5)}) > 0 THEN 'Keywords: ' || array_to_string({_keywords("text", 5)}, ', ') END AS kw,
-  CASE WHEN text <> '' THEN {_sentence("text")} END AS said, CASE WHEN chunk_seq % 5 = 0 THEN 'Figure.' ELSE 'Figure in section: ' || title END AS plain FROM corpus)
+IMAGE_BODY = f"""WITH {CORPUS}, {_keywords("text", 5, "chunk_seq", "corpus")}, p AS (SELECT chunk_seq, CASE WHEN chunk_seq % 3 = 0 THEN title END AS cap, CASE WHEN chunk_seq % 2 = 0 AND words <> '' THEN 'Keywords: ' || words END AS kw,
+  CASE WHEN text <> '' THEN {_sentence("text")} END AS said, CASE WHEN chunk_seq % 5 = 0 THEN 'Figure.' ELSE 'Figure in section: ' || title END AS plain FROM corpus LEFT JOIN words USING (chunk_seq))
 SELECT chunk_seq, CASE WHEN cap IS NULL AND kw IS NULL THEN plain ELSE concat_ws(chr(10) || chr(10), cap, kw, said) END AS body FROM p"""
 SUMMARY = f"""WITH {CORPUS} SELECT chunk_type, count(*) AS chunks, CAST(min(length(text)) AS INT) AS shortest, CAST(max(length(text)) AS INT) AS longest,
   CAST(floor(sum(length(text)) / count(*)) AS BIGINT) AS mean_length, count(*) FILTER (length(text) > 5500) AS oversized FROM corpus GROUP BY chunk_type"""
