@@ -33,7 +33,9 @@ MARGIN = 0.2
 _MULTS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 512
 #: Bins of the fine signature, a power of two; the largest error of its estimate, about five deviations.
-BINS, FINE_MARGIN = 1024, 0.07
+BINS, FINE_MARGIN = 4096, 0.045
+#: Sets of this size and less are compared in full within a bucket; larger ones by their fine signatures first.
+SMALL = 512
 #: Rows of a bucket that are compared with each other at a time.
 CELL = 256
 
@@ -108,23 +110,22 @@ def joint_estimate(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, regs, fine): the size of the shingle set, a digest of the whole set, its registers and bits."""
+    """(doc_id, n_shingles, set_key, regs): the size of the shingle set, a digest of the whole set, its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, low, bits = [], [], [], []
+            n, keys, low = [], [], []
             for x in shingle_sets(batch.column("text").to_pylist(), k):
                 n.append(len(x))
                 keys.append(hashlib.md5(x.tobytes()).digest() if len(x) else None)
                 low.append(sketch(x))
-                bits.append(fine(x))
             regs = registers(np.stack(low)) if low else np.zeros((0, REGISTERS), np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "regs", "fine"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "regs"],
             )
 
-    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary, fine array<long>")
+    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -169,25 +170,62 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(run, "u long, v long")
 
 
+def _fine_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, fine, small): small sets in full, larger ones as signatures; those near SMALL as both, as they meet either kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, small, none = [], [], np.zeros(0, np.int64)
+            for x in shingle_sets(batch.column("text").to_pylist(), k):
+                bits.append(fine(x) if 100 * len(x) >= percent * SMALL else np.zeros(3 * BINS // 64, np.int64))
+                small.append(x.view(np.int64) if percent * len(x) <= 100 * SMALL else none)
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, kind), pa.array(small, kind)], ["node", "fine", "small"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "node long, fine array<long>, small array<long>")
+
+
+def _shared_bits(small: np.ndarray) -> np.ndarray:
+    """Rows of bits, one for each value that two or more of the sets hold."""
+    owner = np.repeat(np.arange(len(small)), [len(x) for x in small])
+    if not len(owner):
+        return np.zeros((len(small), 1), np.uint64)
+    _, value, count = np.unique(np.concatenate(small), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    twice = count[value] > 1
+    bits = np.zeros((len(small), (int(number[-1]) // 64 + 1) * 64), bool)
+    bits[owner[twice], number[value[twice]]] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def _apart(rows: DataFrame, percent: int) -> DataFrame:
-    """Of (key, parts, node, n, component, fine) the pairs (u, v, nu, nv) of a bucket, of two components, that may be similar.
+    """Of (key, parts, node, n, component, fine, regs, small) the pairs (u, v, nu, nv) of a bucket, of two components, that may be similar.
 
     A bucket is cut into parts, and each two of them meet in a cell of their own, so that no task
     holds a whole bucket. Cells lie together in a sorted partition; a few hundred rows are held at a time.
     """
     cells = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component", "fine")
+    cells = cells.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component", "fine", "regs", "small")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-        out = []
+    def compare(key: np.ndarray, part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray, regs: np.ndarray, small: np.ndarray) -> list[np.ndarray]:
+        full = _shared_bits(small)
+        whole = percent * n <= 100 * SMALL
+        out, band = [], int(key[0]) >> 8 * ROWS
         for a in range(len(node) - 1):
             ok = (component[a + 1 :] != component[a]) & (100 * np.minimum(n[a + 1 :], n[a]) >= percent * np.maximum(n[a + 1 :], n[a]))
             if part[0] != part[-1] or (part != part[0]).any():
                 ok &= part[a + 1 :] != part[a]
             to = a + 1 + np.flatnonzero(ok)
             if len(to):
-                to = to[fine_estimate(bits[to], bits[a]) >= percent / 100 - FINE_MARGIN]
+                exact = whole[to] & whole[a]
+                rough = to[~exact]
+                rough = rough[fine_estimate(bits[rough], bits[a]) >= percent / 100 - FINE_MARGIN]
+                to = to[exact]
+                both = np.bitwise_count(full[to] & full[a]).sum(axis=1, dtype=np.int64)
+                to = np.concatenate([to[100 * both >= percent * (n[to] + n[a] - both)], rough])
+                # of the bands that a pair shares the first one yields it
+                to = to[~(regs[to, :band] == regs[a, :band]).all(axis=2).any(axis=1)]
                 lower = node[a] < node[to]
                 pair = [np.full(len(to), node[a]), node[to], np.full(len(to), n[a]), n[to]]
                 out.append(np.stack([np.where(lower, pair[k], pair[m]) for k, m in ((0, 1), (1, 0), (2, 3), (3, 2))]))
@@ -205,17 +243,23 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             now = [batch.column(c).to_numpy() for c in ("key", "i", "j", "part", "node", "n", "component")]
             now.append(batch.column("fine").flatten().to_numpy().reshape(batch.num_rows, -1))
+            now.append(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(batch.num_rows, -1, ROWS))
+            lists = batch.column("small")
+            small = np.empty(batch.num_rows, object)
+            for i, x in enumerate(np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])):
+                small[i] = x
+            now.append(small)
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
             bounds = [0, *cut.tolist()]
             found = []
             for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-                found += compare(*[x[a:z] for x in now[3:]])
+                found += compare(now[0][a:z], *[x[a:z] for x in now[3:]])
             held = [x[bounds[-1] :] for x in now]
             if found:
                 yield pack(found)
-        if held is not None and (found := compare(*held[3:])):
+        if held is not None and (found := compare(held[0], *held[3:])):
             yield pack(found)
 
     return cells.mapInArrow(run, "u long, v long, nu long, nv long")
@@ -272,8 +316,9 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     now = met.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = now.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count(F.lit(1)).alias("size")).where("c_lo < c_hi")
     split = split.select("key", F.ceil(F.col("size") / CELL).alias("parts"))
-    bits = sig.select(F.col("doc_id").alias("node"), "set_key", "fine").join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi").drop("set_key")
-    rest = _apart(now.join(split, "key").join(bits, "node"), percent).distinct()
+    apart = settle(now.join(split, "key"), "apart")
+    bits = _fine_rows(texts.join(apart.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), k, percent).join(regs, "node")
+    rest = _apart(apart.join(bits, "node"), percent).distinct()
     rest = rest.join(regs.select(F.col("node").alias("u"), F.col("regs").alias("ru")), "u").join(regs.select(F.col("node").alias("v"), F.col("regs").alias("rv")), "v")
     more = settle(_confirmed(_estimated(rest, percent), texts, k, percent), "more")
     if more.limit(1).count():
