@@ -256,7 +256,7 @@ def _shared(table: DataFrame, shards: int, least: int) -> DataFrame:
     return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "bits"))).alias("marks"))
 
 
-def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[np.ndarray, np.ndarray, bytes, Runs, dict[int, dict[bytes, int]], list[tuple[int, int, int]], dict[int, list[int]], dict[int, list[int]]]:
+def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[np.ndarray, np.ndarray, bytes, Runs, dict[int, dict[bytes, int]], tuple[np.ndarray, np.ndarray, np.ndarray], dict[int, list[int]], dict[int, list[int]]]:
     """The shared segments of a block, distinct ones numbered per shard in the order of the text."""
     ids, lengths, data = _read(batch, i)
     runs = Runs(data, lengths, least)
@@ -272,7 +272,7 @@ def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[n
     low: dict[int, list[int]] = {}
     subs: dict[int, list[int]] = {}
     places = []
-    for r, (s, u, f, n, d) in enumerate(zip(home, sub, first, size, doc, strict=True)):
+    for s, u, f, n, d in zip(home, sub, first, size, doc, strict=True):
         known = number.setdefault(s, {})
         text = data[f : f + n + least - 1]
         k = known.setdefault(text, len(known))
@@ -282,8 +282,8 @@ def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[n
             subs.setdefault(s, []).append(u)
         elif d < docs[k]:
             docs[k] = d
-        places.append((s, k, int(use[r])))
-    return ids, lengths, data, runs, number, places, low, subs
+        places.append(k)
+    return ids, lengths, data, runs, number, (use, np.array(home, np.int64), np.array(places, np.int64)), low, subs
 
 
 def _verdicts(marked: DataFrame, shards: int, least: int) -> DataFrame:
@@ -359,17 +359,28 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lengths, data, runs, number, places, _, _ = _segments(batch, i, shards, least)
-                gone = np.zeros(len(data) + 1, np.int32)
-                got = {x["shard"]: np.frombuffer(_unpack(x["low"]), np.int64) for x in batch.column("lows")[i].as_py() or []}
-                at = {s: np.concatenate([[0], np.cumsum([len(t) - least + 1 for t in known])]) for s, known in number.items()}
-                for s, k, r in places:
-                    first = runs.first[r]
-                    hit = got[s][at[s][k] : at[s][k + 1]] < ids[runs.doc[r]]
-                    if hit.any():
-                        where = first + np.flatnonzero(hit)
-                        gone[where] += 1
-                        gone[where + least] -= 1
-                covered = np.cumsum(gone[:-1]) > 0
+                got = {x["shard"]: x["low"] for x in batch.column("lows")[i].as_py() or []}
+                starts = np.zeros(len(data) + 1, np.int32)
+                run, home, place = places
+                if len(run):
+                    # the answers one after another, and where each shard's and each segment's begin
+                    lows, base, begin = [], np.zeros(shards, np.int64), 0
+                    within: list[np.ndarray] = []
+                    total = 0
+                    for s, known in number.items():
+                        sizes = np.array([len(t) - least + 1 for t in known], np.int64)
+                        lows.append(np.frombuffer(_unpack(got[s]), np.int64))
+                        within.append(total + np.cumsum(sizes) - sizes)
+                        base[s], begin, total = begin, begin + len(sizes), total + int(sizes.sum())
+                    n = runs.size[run]
+                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    low = np.concatenate(lows)[np.repeat(np.concatenate(within)[base[home] + place], n) + step]
+                    where = np.repeat(runs.first[run], n) + step
+                    starts[where[low < np.repeat(ids[runs.doc[run]], n)]] = 1
+                sums = np.cumsum(starts[:-1])
+                covered = sums.copy()
+                covered[least:] -= sums[:-least]
+                covered = covered > 0
                 edge = np.cumsum(lengths)
                 out = []
                 for d, z, n in zip(ids.tolist(), edge.tolist(), lengths.tolist(), strict=True):
