@@ -42,7 +42,7 @@ _POS = np.uint64((1 << 24) - 1)
 def _pack(data: bytes | np.ndarray) -> bytes:
     """Length and compressed bytes."""
     raw = data.tobytes() if isinstance(data, np.ndarray) else bytes(data)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -351,9 +351,10 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     table = settle(blocks(docs), "blocks")
     total = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(32, -(-total // SHARD_BYTES))
-    marks = _shared(table, shards, least)
-    marked = settle(table.join(marks, "block", "left").select("block", "ids", "lengths", "data", "marks"), "marked")
-    lows = _verdicts(marked, shards, least)
+    # the small side is what is written; blocks themselves are written once
+    marks = settle(_shared(table, shards, least), "marks")
+    marked = table.join(marks, "block").select("block", "ids", "lengths", "data", "marks")
+    answers = settle(_verdicts(marked, shards, least), "verdicts").join(marks, "block")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,5 +393,5 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
                 yield _rows(["doc_id", "n_bytes", "spans", "kept"], [pa.int64(), pa.int64(), span, pa.binary()], out)
 
-    final = marked.join(lows, "block", "left").select("block", "ids", "lengths", "data", "marks", "lows")
+    final = table.join(answers, "block", "left").select("block", "ids", "lengths", "data", "marks", "lows")
     return final.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
