@@ -354,7 +354,7 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # the small side is what is written; blocks themselves are written once
     marks = settle(_shared(table, shards, least), "marks")
     marked = table.join(marks, "block").select("block", "ids", "lengths", "data", "marks")
-    answers = settle(_verdicts(marked, shards, least), "verdicts").join(marks, "block")
+    answers = marks.join(settle(_verdicts(marked, shards, least), "verdicts"), "block", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

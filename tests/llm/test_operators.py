@@ -82,6 +82,9 @@ def test_repeats(docs, rows, empty):
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_repeats.strip_repeats(docs).collect()}
     assert got == want
     assert suffix_repeats.strip_repeats(empty).count() == 0
+    # anchors, but none shared
+    alone = suffix_repeats.strip_repeats(docs.where("doc_id = 5")).collect()
+    assert len(alone) == 1 and bytes(alone[0]["kept"]) == want[5]
 
 
 def test_maximal_repeats_by_brute_force():
