@@ -17,7 +17,7 @@ DOCS = [(0, 1, "s", "alpha beta beta", [1.0, 0.0], "text"), (1, 1, "s", "beta ga
 @pytest.fixture(scope="module")
 def data(spark):
     c = spark.createDataFrame([(1, *d) for d in DOCS], "collection int, chunk_seq long, page int, title string, text string, embedding array<float>, chunk_type string")
-    q = spark.createDataFrame([(1, 1, "alpha beta", [1.0, 0.0]), (2, 1, "nothing known", [0.0, 1.0])], "query_id long, collection int, text string, qvec array<float>")
+    q = spark.createDataFrame([(1, 1, "alpha beta gamma", [1.0, 0.0]), (2, 1, "nothing known", [0.0, 1.0])], "query_id long, collection int, text string, qvec array<float>")
     return c, q
 
 
@@ -33,7 +33,7 @@ def okapi(query):
 
 def test_bm25_and_fusion(data):
     rows = {r["chunk_seq"]: r for r in search.fuse(search.scored(*data)).where("query_id = 1").collect()}
-    want = okapi("alpha beta")
+    want = okapi("alpha beta gamma")
     lo, hi = min(want), max(want)
     for i, w in enumerate(want):
         assert rows[i]["bm25"] == pytest.approx(w)
