@@ -175,14 +175,15 @@ def _fine_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, small, none = [], [], np.zeros(0, np.int64)
+            bits, small, none = [], [], np.zeros(0, np.int32)
             for x in shingle_sets(batch.column("text").to_pylist(), k):
                 bits.append(fine(x) if 100 * len(x) >= percent * SMALL else np.zeros(3 * BINS // 64, np.int64))
-                small.append(x.view(np.int64) if percent * len(x) <= 100 * SMALL else none)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, kind), pa.array(small, kind)], ["node", "fine", "small"])
+                small.append(np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) if percent * len(x) <= 100 * SMALL else none)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(bits, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int32()))], ["node", "fine", "small"]
+            )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "node long, fine array<long>, small array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, "node long, fine array<long>, small array<int>")
 
 
 def _shared_bits(small: np.ndarray) -> np.ndarray:
@@ -210,6 +211,7 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
 
     def compare(key: np.ndarray, part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray, regs: np.ndarray, small: np.ndarray) -> list[np.ndarray]:
         full = _shared_bits(small)
+        lost = n - np.array([len(x) for x in small])
         whole = percent * n <= 100 * SMALL
         out, band = [], int(key[0]) >> 8 * ROWS
         for a in range(len(node) - 1):
@@ -222,7 +224,8 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
                 rough = to[~exact]
                 rough = rough[fine_estimate(bits[rough], bits[a]) >= percent / 100 - FINE_MARGIN]
                 to = to[exact]
-                both = np.bitwise_count(full[to] & full[a]).sum(axis=1, dtype=np.int64)
+                # values are cut to 32 bits: what a set lost by that bounds what the overlap lost
+                both = np.bitwise_count(full[to] & full[a]).sum(axis=1, dtype=np.int64) + np.minimum(lost[to], lost[a])
                 to = np.concatenate([to[100 * both >= percent * (n[to] + n[a] - both)], rough])
                 # of the bands that a pair shares the first one yields it
                 to = to[~(regs[to, :band] == regs[a, :band]).all(axis=2).any(axis=1)]
