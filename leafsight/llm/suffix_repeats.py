@@ -10,6 +10,9 @@ Every string of LEAST bytes has an anchor, the leftmost of its GRAM-byte strings
 smallest hash, and equal strings have equal anchors. A stretch of positions whose strings share
 an anchor is a segment. Anchors that occur once are dropped; the segments of the others go,
 by anchor, to the suffix arrays, distinct ones only and each with its smallest document.
+Segments of an anchor that more than CROWD of them share go as their single strings of LEAST
+bytes, by those strings instead, so what meets at an anchor is bounded by CROWD, and a string
+that is common counts once per block.
 
 Documents travel as blocks: about BLOCK bytes of texts in one compressed row, so that the
 shuffles carry few rows and an anchor or segment counts once per block however often it repeats.
@@ -34,6 +37,8 @@ BLOCK = 1 << 20
 CHUNK = 1 << 22
 SHARD_BYTES = 8 << 20
 BATCH_BYTES = 1 << 20
+#: Distinct segments of one anchor, counted per block, from which on they are dealt by their strings.
+CROWD = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, np.uint64)
 _POS = np.uint64((1 << 24) - 1)
@@ -104,6 +109,33 @@ class Runs:
         self.unique, self.inverse, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
 
 
+def _string_hashes(b: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the first bytes, a multiple of 8, of the strings of some length at the positions."""
+    out = np.zeros(len(at), np.uint64)
+    if len(at):
+        words = np.lib.stride_tricks.sliding_window_view(b, length // 8 * 8)[at].view(np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(words.shape[1]):
+                out = mix((out ^ words[:, k]) * _BASE)
+    return out
+
+
+def _distinct(b: np.ndarray, runs: Runs, least: int) -> np.ndarray:
+    """How many different segments each anchor has in the block, by hashes of both ends; at most 65,535."""
+    count = np.ones(len(runs.unique), np.int64)
+    several = np.flatnonzero(runs.count[runs.inverse] > 1) if len(runs.first) else np.zeros(0, np.int64)
+    if len(several):
+        first, size = runs.first[several], runs.size[several]
+        with np.errstate(over="ignore"):
+            ends = _string_hashes(b, first, least) * _BASE ^ _string_hashes(b, first + size - 1, least) ^ size.astype(np.uint64)
+        order = np.lexsort((ends, runs.inverse[several]))
+        anchor, ends = runs.inverse[several][order], ends[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (ends[1:] != ends[:-1])
+        count = np.maximum(count, np.bincount(anchor[new], minlength=len(count)))
+    return np.minimum(count, 65535).astype(np.uint16)
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
 
@@ -228,8 +260,8 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _shared(table: DataFrame, shards: int, least: int) -> DataFrame:
-    """(block, marks): per block which of its anchors occur elsewhere too, as (shard, bits) pairs."""
+def _shared(table: DataFrame, shards: int, least: int, most: int) -> DataFrame:
+    """(block, marks): per block which of its anchors occur elsewhere too, and which are crowded (no bits: none), as (shard, bits, crowd)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +269,11 @@ def _shared(table: DataFrame, shards: int, least: int) -> DataFrame:
                 _, lengths, data = _read(batch, i)
                 runs = Runs(data, lengths, least)
                 block, out = batch.column("block")[i].as_py(), []
+                kinds = _distinct(np.frombuffer(data, np.uint8), runs, least)
                 for s, at in _by_shard(runs.unique, shards):
                     six = np.ascontiguousarray((runs.unique[at] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                    out.append((s, block, six.tobytes(), np.packbits(runs.count[at] > 1).tobytes()))
-                yield _rows(["shard", "block", "six", "twice"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
+                    out.append((s, block, six.tobytes(), np.packbits(runs.count[at] > 1).tobytes(), kinds[at].tobytes()))
+                yield _rows(["shard", "block", "six", "twice", "kinds"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], out)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(x) // 6 for x in group["six"]]
@@ -249,25 +282,38 @@ def _shared(table: DataFrame, shards: int, least: int) -> DataFrame:
         _, inverse, count = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[:n] for t, n in zip(group["twice"], sizes, strict=True)])
         mine = np.split((count[inverse] > 1) | (twice > 0), np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"block": group["block"], "shard": group["shard"], "bits": [np.packbits(m).tobytes() for m in mine]})
+        kinds = np.bincount(inverse, weights=np.frombuffer(b"".join(group["kinds"]), np.uint16), minlength=len(count))
+        crowded = np.split((kinds > most)[inverse], np.cumsum(sizes)[:-1])
+        bits, crowd = [np.packbits(m).tobytes() for m in mine], [np.packbits(m).tobytes() if m.any() else b"" for m in crowded]
+        return pd.DataFrame({"block": group["block"], "shard": group["shard"], "bits": bits, "crowd": crowd})
 
-    asked = table.select("block", "ids", "lengths", "data").mapInArrow(ask, "shard long, block long, six binary, twice binary")
-    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard long, bits binary")
-    return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "bits"))).alias("marks"))
+    asked = table.select("block", "ids", "lengths", "data").mapInArrow(ask, "shard long, block long, six binary, twice binary, kinds binary")
+    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard long, bits binary, crowd binary")
+    return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "bits", "crowd"))).alias("marks"))
 
 
-def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[np.ndarray, np.ndarray, bytes, Runs, dict[int, dict[bytes, int]], tuple[np.ndarray, np.ndarray, np.ndarray], dict[int, list[int]], dict[int, list[int]]]:
-    """The shared segments of a block, distinct ones numbered per shard in the order of the text."""
+def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[np.ndarray, np.ndarray, bytes, dict[int, dict[bytes, int]], tuple[np.ndarray, ...], dict[int, list[int]], dict[int, list[int]]]:
+    """The shared segments of a block, or their strings if crowded, distinct ones numbered per shard; also the first position, positions, document, shard and number of each."""
     ids, lengths, data = _read(batch, i)
     runs = Runs(data, lengths, least)
     shared = np.zeros(len(runs.unique), bool)
-    bits = {m["shard"]: m["bits"] for m in batch.column("marks")[i].as_py() or []}
+    crowded = np.zeros(len(runs.unique), bool)
+    marks = {m["shard"]: m for m in batch.column("marks")[i].as_py() or []}
     for s, at in _by_shard(runs.unique, shards):
-        shared[at] = np.unpackbits(np.frombuffer(bits[s], np.uint8))[: len(at)] > 0
+        shared[at] = np.unpackbits(np.frombuffer(marks[s]["bits"], np.uint8))[: len(at)] > 0
+        if marks[s]["crowd"]:
+            crowded[at] = np.unpackbits(np.frombuffer(marks[s]["crowd"], np.uint8))[: len(at)] > 0
     use = np.flatnonzero(shared[runs.inverse] & (ids[runs.doc] != NO_ID)) if len(runs.first) else np.zeros(0, np.int64)
-    home = _shard(runs.hash[use], shards).tolist()
-    sub = ((runs.hash[use] >> np.uint64(40)) & np.uint64(0xFF)).tolist()
-    first, size, doc = runs.first[use].tolist(), runs.size[use].tolist(), ids[runs.doc[use]].tolist()
+    many = crowded[runs.inverse[use]]
+    whole, split = use[~many], use[many]
+    n = runs.size[split]
+    single = np.repeat(runs.first[split], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    key = np.concatenate([runs.hash[whole], _string_hashes(np.frombuffer(data, np.uint8), single, least)])
+    begin, length = np.concatenate([runs.first[whole], single]), np.concatenate([runs.size[whole], np.ones(len(single), np.int64)])
+    owner = ids[np.concatenate([runs.doc[whole], np.repeat(runs.doc[split], n)])]
+    where = _shard(key, shards)
+    home, sub = where.tolist(), ((key >> np.uint64(40)) & np.uint64(0xFF)).tolist()
+    first, size, doc = begin.tolist(), length.tolist(), owner.tolist()
     number: dict[int, dict[bytes, int]] = {}
     low: dict[int, list[int]] = {}
     subs: dict[int, list[int]] = {}
@@ -283,7 +329,7 @@ def _segments(batch: pa.RecordBatch, i: int, shards: int, least: int) -> tuple[n
         elif d < docs[k]:
             docs[k] = d
         places.append(k)
-    return ids, lengths, data, runs, number, (use, np.array(home, np.int64), np.array(places, np.int64)), low, subs
+    return ids, lengths, data, number, (begin, length, owner, where, np.array(places, np.int64)), low, subs
 
 
 def _verdicts(marked: DataFrame, shards: int, least: int) -> DataFrame:
@@ -292,7 +338,7 @@ def _verdicts(marked: DataFrame, shards: int, least: int) -> DataFrame:
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, _, _, number, _, low, subs = _segments(batch, i, shards, least)
+                _, _, _, number, _, low, subs = _segments(batch, i, shards, least)
                 block, out = batch.column("block")[i].as_py(), []
                 for s, known in number.items():
                     sizes = np.array([len(t) for t in known], np.uint16)
@@ -315,7 +361,7 @@ def _verdicts(marked: DataFrame, shards: int, least: int) -> DataFrame:
                 at += n
                 mine.append((u, k))
             places.append(mine)
-        # equal strings have equal anchors, so each of the 256 kinds is complete by itself
+        # equal strings have equal anchors and, if those are crowded, equal hashes, so each of the 256 kinds is complete by itself
         found: list[list[np.ndarray]] = [[] for _ in range(256)]
         held: list[int] = []
         size = 0
@@ -340,30 +386,31 @@ def _verdicts(marked: DataFrame, shards: int, least: int) -> DataFrame:
     return judged.groupBy("block").agg(F.collect_list(F.struct("shard", "low")).alias("lows"))
 
 
-def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def strip_repeats(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): per row of docs the bytes removed, as array<struct<start, length>>, and those that stay.
 
     A byte goes if it lies in a string of `least` bytes that also starts in a document with a
     smaller doc_id. Texts are UTF-8 bytes, a null text is empty. Rows that share an id don't
     remove each other's bytes; rows without an id neither lose bytes nor cost others any. Strings
-    are judged on the input, so the result doesn't depend on any order.
+    are judged on the input, so the result doesn't depend on any order, nor on crowd, which only
+    says from how many segments on an anchor is split.
     """
     table = settle(blocks(docs), "blocks")
     total = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     shards = max(32, -(-total // SHARD_BYTES))
     # the small side is what is written; blocks themselves are written once
-    marks = settle(_shared(table, shards, least), "marks")
+    marks = settle(_shared(table, shards, least, crowd), "marks")
     marked = table.join(marks, "block").select("block", "ids", "lengths", "data", "marks")
     answers = marks.join(settle(_verdicts(marked, shards, least), "verdicts"), "block", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, lengths, data, runs, number, places, _, _ = _segments(batch, i, shards, least)
+                ids, lengths, data, number, places, _, _ = _segments(batch, i, shards, least)
                 got = {x["shard"]: x["low"] for x in batch.column("lows")[i].as_py() or []}
                 starts = np.zeros(len(data) + 1, np.int32)
-                run, home, place = places
-                if len(run):
+                first, n, owner, home, place = places
+                if len(first):
                     # the answers one after another, and where each shard's and each segment's begin
                     lows, base, begin = [], np.zeros(shards, np.int64), 0
                     within: list[np.ndarray] = []
@@ -373,11 +420,10 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                         lows.append(np.frombuffer(_unpack(got[s]), np.int64))
                         within.append(total + np.cumsum(sizes) - sizes)
                         base[s], begin, total = begin, begin + len(sizes), total + int(sizes.sum())
-                    n = runs.size[run]
                     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     low = np.concatenate(lows)[np.repeat(np.concatenate(within)[base[home] + place], n) + step]
-                    where = np.repeat(runs.first[run], n) + step
-                    starts[where[low < np.repeat(ids[runs.doc[run]], n)]] = 1
+                    where = np.repeat(first, n) + step
+                    starts[where[low < np.repeat(owner, n)]] = 1
                 sums = np.cumsum(starts[:-1])
                 covered = sums.copy()
                 covered[least:] -= sums[:-least]

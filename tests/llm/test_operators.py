@@ -81,6 +81,8 @@ def test_repeats(docs, rows, empty):
         want[i] = bytes(np.frombuffer(b, np.uint8)[~gone])
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_repeats.strip_repeats(docs).collect()}
     assert got == want
+    for crowd in (0, 1):
+        assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_repeats.strip_repeats(docs, crowd=crowd).collect()} == want
     assert suffix_repeats.strip_repeats(empty).count() == 0
     # anchors, but none shared
     alone = suffix_repeats.strip_repeats(docs.where("doc_id = 5")).collect()
