@@ -47,7 +47,7 @@ _POS = np.uint64((1 << 24) - 1)
 def _pack(data: bytes | np.ndarray) -> bytes:
     """Length and compressed bytes."""
     raw = data.tobytes() if isinstance(data, np.ndarray) else bytes(data)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes) -> bytes:
