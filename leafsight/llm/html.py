@@ -3,7 +3,8 @@
 Block elements stand on lines of their own, paragraphs and the like between blank lines, list
 items behind bullets or numbers at their depth, table cells in columns of equal width. What a
 browser hides (scripts, styles, templates, the hidden attribute, display:none, closed dialogs
-and so on) is left out.
+and so on) is left out; of a style attribute whole declarations count, of a drop-down list the
+selected option, of svg its text elements. Style sheets are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-HIDDEN = frozenset("head script style template title meta link base noscript iframe noembed noframes svg math object audio video canvas datalist param source track area select option optgroup rp".split())
+HIDDEN = frozenset("head script style template title meta link base noscript iframe noembed noframes object audio video canvas datalist param source track area annotation annotation-xml rp".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul caption tbody thead tfoot tr td th xmp plaintext".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul caption tbody thead tfoot tr td th xmp plaintext textarea option optgroup foreignobject mtr".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre listing xmp plaintext figure table fieldset hr article section".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul listing xmp plaintext li dd dt".split())
@@ -40,6 +41,9 @@ IMPLIED = {
     "thead": (frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}), frozenset({"table"})),
     "tfoot": (frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset({"html"})),
+    "input": (frozenset({"select"}), frozenset({"table"})),
+    "textarea": (frozenset({"select"}), frozenset({"table"})),
+    "select": (frozenset({"select"}), frozenset({"table"})),
 }
 HEAD_ONLY = frozenset("title meta link base style script noscript template head html".split())
 BARRIER = frozenset("table td th caption html template button object".split())
@@ -47,14 +51,74 @@ BARRIER = frozenset("table td th caption html template button object".split())
 _TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z)|>)|![^>]*>?|\?[^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
 _ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Declarations end at semicolons outside of strings and brackets.
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|\((?:[^)\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+(?:\)|\Z))++", re.S)
+_IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
+_VISIBILITY = frozenset("visible hidden collapse inherit initial unset revert revert-layer".split())
+_DISPLAY = frozenset(
+    "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-caption table-column table-column-group table-row-group table-header-group table-footer-group flow flow-root list-item contents run-in math ruby ruby-base ruby-text ruby-base-container ruby-text-container -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex inherit initial unset revert revert-layer".split()
+)
+# Elements of svg that are not drawn where they stand, and those of html that end an open svg or math.
+SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+MATH_TEXT = frozenset("mi mo mn ms mtext".split())
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
+
+
+def style(text: str) -> dict[str, str]:
+    """The values of display and visibility that hold in a style attribute; values unknown to browsers don't count."""
+    held: dict[str, tuple[bool, str]] = {}
+    for d in _DECLARATION.findall(_COMMENT.sub(" ", text)):
+        name, colon, value = d.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if not colon or name not in ("display", "visibility"):
+            continue
+        short = _IMPORTANT.sub("", value)
+        words = short.split()
+        known = _DISPLAY if name == "display" else _VISIBILITY
+        if "var(" not in short and not (words and known.issuperset(words) and (len(words) == 1 or name == "display" and "none" not in words)):
+            continue
+        important = short != value
+        if important or not held.get(name, (False,))[0]:
+            held[name] = (important, short)
+    return {k: v for k, (_, v) in held.items()}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """An element. space: "svg", "text" (of svg), "math" or "" (html); seen: its visibility, inherited; gone: not displayed, with all within."""
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    __slots__ = ("tag", "attrs", "kids", "space", "seen", "gone")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.space, self.seen = (parent.space, parent.seen) if parent else ("", True)
+        if tag in ("svg", "math"):
+            self.space = tag
+        elif self.space:
+            self.space = "" if tag == "foreignobject" else "text" if tag == "text" and self.space == "svg" else self.space
+        self.gone = tag in HIDDEN or self.space in ("svg", "text") and tag in SVG_HIDDEN
+        rules = style(attrs["style"]) if "style" in attrs else {}
+        if self.space in ("svg", "text"):
+            rules = {k: attrs[k].strip().lower() for k in ("display", "visibility") if k in attrs} | rules
+        look = rules.get("visibility", "inherit")
+        if look in ("hidden", "collapse"):
+            self.seen = False
+        elif look in ("visible", "initial"):
+            self.seen = True
+        if "display" in rules:
+            self.gone = self.gone or rules["display"] == "none"
+        elif not self.gone:
+            self.gone = "hidden" in attrs or tag == "dialog" and "open" not in attrs
+        if tag == "input" and attrs.get("type", "").lower() == "hidden":
+            self.gone = True
+
+    @property
+    def shows(self) -> bool:
+        """Whether text right within it can be seen."""
+        return self.seen and self.space != "svg"
 
 
 def build(html: str) -> Node:
@@ -79,13 +143,18 @@ def build(html: str) -> Node:
         if m.start() > pos:
             text(unescape(html[pos : m.start()]))
         pos = m.end()
+        if stack[-1].space and html.startswith("<![CDATA[", m.start()):
+            end = html.find("]]>", m.start() + 9)
+            text(html[m.start() + 9 : end if end >= 0 else n])
+            pos = end + 3 if end >= 0 else n
+            continue
         if m[1]:
             tag = m[1].lower()
             if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].kids.append(Node("p", {}))
+                stack[-1].kids.append(Node("p", {}, stack[-1]))
                 continue
             if tag == "br":
-                stack[-1].kids.append(Node("br", {}))
+                stack[-1].kids.append(Node("br", {}, stack[-1]))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag or tag[0] == "h" and tag in _HEADINGS and stack[i].tag in _HEADINGS:
@@ -96,6 +165,9 @@ def build(html: str) -> Node:
         elif m[2]:
             tag = m[2].lower()
             attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3] and not m[3].isspace() else {}
+            if stack[-1].space and stack[-1].tag not in MATH_TEXT and tag in BREAKOUT:
+                while stack[-1].space and stack[-1].tag not in MATH_TEXT:
+                    stack.pop()
             if tag not in HEAD_ONLY:
                 while stack[-1].tag == "head":
                     stack.pop()
@@ -119,11 +191,13 @@ def build(html: str) -> Node:
                 if cut:
                     del stack[cut:]
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr", {})
+                row = Node("tr", {}, stack[-1])
                 stack[-1].kids.append(row)
                 stack.append(row)
-            node = Node(tag, attrs)
+            node = Node(tag, attrs, stack[-1])
             stack[-1].kids.append(node)
+            if (node.space or tag == "foreignobject") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+                continue
             if tag in RAW:
                 end = -1 if tag == "plaintext" else for_raw.find(f"</{tag}", pos)
                 body = html[pos:] if end < 0 else html[pos:end]
@@ -138,13 +212,25 @@ def build(html: str) -> Node:
 _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
 
-def hidden(node: Node) -> bool:
-    if node.tag in HIDDEN:
-        return True
-    a = node.attrs
-    if not a:
-        return node.tag == "dialog"
-    return "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden") or bool("style" in a and _NONE.search(a["style"]))
+def _options(select: Node) -> list[str]:
+    """What a select shows: all options of a list box, else the selected one (the first that can be chosen if none is)."""
+    found: list[tuple[Node, bool, bool]] = []
+
+    def gather(x: Node, gone: bool, off: bool) -> None:
+        for k in x.kids:
+            if isinstance(k, Node):
+                if k.tag == "option":
+                    found.append((k, gone or k.gone, off or "disabled" in k.attrs))
+                elif k.tag == "optgroup" and x is select:
+                    gather(k, gone or k.gone, "disabled" in k.attrs)
+
+    gather(select, False, False)
+    size = select.attrs.get("size", "").strip()
+    if "multiple" in select.attrs or size.isascii() and size.isdigit() and int(size[:9]) > 1:
+        shown = [o for o, gone, _ in found if not gone]
+    else:
+        shown = [o for o, _, _ in found if "selected" in o.attrs][-1:] or [o for o, _, off in found if not off][:1]
+    return [o.attrs.get("label") or "".join(_plain(o)) for o in shown if o.seen]
 
 
 def _width(s: str) -> int:
@@ -181,14 +267,14 @@ def _table(node: Node, page: _Page) -> None:
     def gather(x: Node) -> None:
         for k in x.kids:
             if isinstance(k, str):
-                if k.strip():
+                if x.shows and k.strip():
                     page.put(k)
-            elif hidden(k):
+            elif k.gone:
                 continue
             elif k.tag == "tr":
                 cells = []
                 for c in k.kids:
-                    if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c):
+                    if isinstance(c, Node) and c.tag in ("td", "th") and not c.gone:
                         inner = _Page()
                         _render(c, inner)
                         inner.end()
@@ -222,7 +308,7 @@ def _table(node: Node, page: _Page) -> None:
 
 def _element(x: Node, page: _Page) -> None:
     tag = x.tag
-    if hidden(x):
+    if x.gone:
         return
     if tag == "br":
         page.end()
@@ -232,14 +318,28 @@ def _element(x: Node, page: _Page) -> None:
         return
     if tag == "img":
         return
-    if tag in ("input", "textarea"):
+    if tag == "input":
         return
-    if tag not in BLOCK:
+    if tag == "select":
+        for i, o in enumerate(_options(x)):
+            if i:
+                page.end()
+            page.put(f" {o} ")
+        return
+    if tag == "mfrac":
+        for k in x.kids:
+            if isinstance(k, Node):
+                _element(k, page)
+                page.put(" ")
+        return
+    if tag not in BLOCK and not (tag == "text" and x.space == "text"):
         _render(x, page)
+        if tag == "mtd":
+            page.put(" ")
         return
     spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and page.indent)
     page.gap() if spaced else page.end()
-    if tag in ("pre", "listing", "xmp", "plaintext"):
+    if tag in ("pre", "listing", "xmp", "plaintext", "textarea"):
         raw = "".join(_plain(x)).replace("\r\n", "\n").replace("\r", "\n")
         raw = raw.removeprefix("\n")
         page.lines += [page.indent + l.rstrip() for l in raw.rstrip("\n").split("\n")] if raw.strip() else []
@@ -251,17 +351,17 @@ def _element(x: Node, page: _Page) -> None:
         if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start):
             number = int(start)
         for k in x.kids:
-            if isinstance(k, Node) and k.tag == "li" and not hidden(k):
+            if isinstance(k, Node) and k.tag == "li" and not k.gone:
                 page.end()
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
-                page.lead, page.indent = depth + mark, depth + " " * len(mark)
+                page.lead, page.indent = depth + (mark if k.seen else " " * len(mark)), depth + " " * len(mark)
                 _render(k, page)
                 page.end()
                 page.indent, page.lead = depth, None
             elif isinstance(k, Node):
                 _element(k, page)
-            elif k.strip():
+            elif x.shows and k.strip():
                 page.put(k)
         page.end()
         page.indent = depth
@@ -277,17 +377,21 @@ def _element(x: Node, page: _Page) -> None:
 
 
 def _plain(x: Node) -> Iterator[str]:
-    stack = [iter(x.kids)]
+    stack = [(x, iter(x.kids))]
     while stack:
-        k = next(stack[-1], None)
+        k = next(stack[-1][1], None)
         if k is None:
             stack.pop()
         elif isinstance(k, str):
-            yield k
+            if stack[-1][0].shows:
+                yield k
         elif k.tag == "br":
             yield "\n"
-        elif not hidden(k):
-            stack.append(iter(k.kids))
+        elif k.tag == "select":
+            if not k.gone:
+                yield f" {' '.join(_options(k))} "
+        elif not k.gone:
+            stack.append((k, iter(k.kids)))
 
 
 #: Elements nested deeper than this are rendered as running text; browsers cut at a like depth.
@@ -302,7 +406,8 @@ def _render(x: Node, page: _Page, _deep: list[int] = [0]) -> None:  # noqa: B006
     try:
         for k in x.kids:
             if isinstance(k, str):
-                page.put(k)
+                if x.shows:
+                    page.put(k)
             else:
                 _element(k, page)
     finally:

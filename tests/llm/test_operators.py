@@ -199,6 +199,18 @@ def test_html():
     assert "deep" in html.render("<div>" * 5000 + "deep")
 
 
+def test_html_shows_what_browsers_show():
+    say = html.render
+    assert say("<div style='backface-visibility: hidden'>card</div>") == "card"
+    assert say("<p style='background:url(\"a;display:none\")'>a</p><p style='display:none!important;display:block'>b</p><p style='DISPLAY : none'>c</p><p style='display:none;display:block'>d</p>") == "a\n\nd"
+    assert say("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div><ul style='visibility:collapse'><li>d</ul>") == "b"
+    assert say("<p>where <math><mi>x</mi><mo>=</mo><mspace/><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>x</annotation></math> is") == "where x=1 2 is"
+    assert say("<svg><title>no</title><g>no<path/></g><desc>no</desc><text>Jan<tspan>uary</tspan></text><text>1 <![CDATA[<2]]></text></svg><svg/>after<svg><g><p>out") == "January\n1 <2\nafter\n\nout"
+    assert say("<p>Size <select><option disabled>-<option>S<option selected>M<option>L</select> of") == "Size M of"
+    assert say("<select><option disabled>-<option>S<option>M</select>") == "S" and say("<select multiple><option>S<option hidden>M<option>L</select>") == "S\nL"
+    assert say("<textarea>\na  b\n&lt;c</textarea>") == "a  b\n<c"
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     data, labels = [], []
