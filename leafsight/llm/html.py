@@ -50,6 +50,8 @@ BARRIER = frozenset("table td th caption html template button object".split())
 
 _TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z)|>)|![^>]*>?|\?[^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
 _ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Searched in the page itself: lower-casing may lengthen it. ASCII, as the Kelvin sign is no k in a tag.
+_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 #: Declarations end at semicolons outside of strings and brackets.
@@ -126,7 +128,6 @@ def build(html: str) -> Node:
     root = Node("#root", {})
     stack = [root]
     pos, n = 0, len(html)
-    for_raw = html.lower() if "<" in html else html
 
     def text(t: str) -> None:
         if t:
@@ -199,7 +200,8 @@ def build(html: str) -> Node:
             if (node.space or tag == "foreignobject") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
                 continue
             if tag in RAW:
-                end = -1 if tag == "plaintext" else for_raw.find(f"</{tag}", pos)
+                ended = None if tag == "plaintext" else _END[tag].search(html, pos)
+                end = ended.start() if ended else -1
                 body = html[pos:] if end < 0 else html[pos:end]
                 node.kids.append(unescape(body) if tag in ("textarea", "title") else body)
                 close = n if end < 0 else html.find(">", end)

@@ -211,6 +211,12 @@ def test_html_shows_what_browsers_show():
     assert say("<textarea>\na  b\n&lt;c</textarea>") == "a  b\n<c"
 
 
+def test_html_raw_elements_end_where_they_do():
+    dots = "\u0130" * 20
+    assert html.render(f"{dots}<SCRIPT>x</scripty></Script>text<p>more</p><style>y</style >end") == f"{dots}text\n\nmore\n\nend"
+    assert html.render(f"{dots}<script>a</script><script>b('</p>')</script>c") == f"{dots}c"
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     data, labels = [], []
