@@ -263,6 +263,10 @@ class _Page:
             self.lines.append("")
 
 
+#: Lines of cells wider than this are not padded to, and move what stands to their right.
+WIDEST = 80
+
+
 def _table(node: Node, page: _Page) -> None:
     rows: list[tuple[bool, list[str]]] = []
 
@@ -297,9 +301,8 @@ def _table(node: Node, page: _Page) -> None:
     page.end()
     if not rows:
         return
-    width = [max([_width(l) for r in rows if i < len(r) for l in r[i]], default=0) for i in range(max(map(len, rows)))]
-    # one enormous cell doesn't pad all others
-    wide = [w if w <= 80 else 0 for w in width]
+    # one enormous cell doesn't pad all others: they align among themselves
+    wide = [max([w for r in rows if i < len(r) for w in map(_width, r[i]) if w <= WIDEST], default=0) for i in range(max(map(len, rows)))]
     for r in rows:
         for k in range(max([len(c) for c in r], default=0)):
             parts = [(c[k] if k < len(c) else "") for c in r]

@@ -211,6 +211,11 @@ def test_html_shows_what_browsers_show():
     assert say("<textarea>\na  b\n&lt;c</textarea>") == "a  b\n<c"
 
 
+def test_html_columns_with_a_wide_cell_stay_aligned():
+    page = f"<table><tr><td>a<td>1<tr><td>bbb<td>2<tr><td>{'w' * 81}<td>3</table>"
+    assert html.render(page) == f"a    1\nbbb  2\n{'w' * 81}  3"
+
+
 def test_html_raw_elements_end_where_they_do():
     dots = "\u0130" * 20
     assert html.render(f"{dots}<SCRIPT>x</scripty></Script>text<p>more</p><style>y</style >end") == f"{dots}text\n\nmore\n\nend"
