@@ -8,11 +8,16 @@ is a stretch around the hit that stays above the wanted identity.
 
 Documents are met by a filter of a fixed number of bits made of the benchmark's hashes before
 any row is multiplied, so only positions that may hit are ever shuffled.
+
+Items under SHORT tokens are too short for these masks. Of such an item n tokens an overlap has
+`need` or more, in n - need + 1 runs at most, so runs of ceil(need / (n - need + 1)) tokens find
+every overlap that the comparison accepts; they are laid over texts only if there are such items.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,8 @@ from .common import WORD, ascii_lower, settle
 MASKS = ("110101011", "1110010011")
 MIN_TOKENS = 13
 IDENTITY = 0.8
+#: Items with fewer tokens are found by runs instead of masks.
+SHORT = 13
 #: Words of 64 bits in the filter: 2**16 (512 KB), whatever the size of the benchmark.
 FILTER_WORDS = 1 << 16
 
@@ -44,6 +51,24 @@ def _seeds(th: Column, m: int, mask: str) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(i.alias("pos"), _seed(th, i, mask, m).alias("seed"))))
 
 
+def _run(n: int, min_tokens: int, identity: float) -> int:
+    """Tokens in the longest run that any accepted overlap with an item of n tokens has at least."""
+    need = max(1, ceil(min(min_tokens, identity * n) - 1e-9))
+    return ceil(need / (n - need + 1))
+
+
+def _maybe(dh: Column, look: Column, masks: list[tuple[int, str]]) -> Column:
+    """Positions and hashes of a text that the filter lets through."""
+    found = [
+        F.filter(
+            F.coalesce(_seeds(dh, m, mask), F.array().cast("array<struct<pos:int,seed:bigint>>")),
+            lambda x: reduce(lambda p, q: p & q, [F.getbit(F.get(look, w), b) == 1 for w, b in _spots(x["seed"])]),
+        )
+        for m, mask in masks
+    ]
+    return F.concat(*found)
+
+
 def _spots(seed: Column) -> list[tuple[Column, Column]]:
     """Two places in the filter for a seed: (word, bit)."""
     mask = F.lit(FILTER_WORDS - 1)
@@ -64,15 +89,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASK
 
     doc_id, item_id, doc_pos, item_pos (token positions of the overlap), overlap (its tokens),
     matched (equal ones among them). An overlap counts if it has `identity` or more equal tokens
-    and at least min(min_tokens, identity * item length) of them. Items and documents with fewer
-    tokens than the shortest mask, null and empty texts match nothing. Repeated rows count once;
+    and at least min(min_tokens, identity * item length) of them. Null and empty texts, and
+    items without tokens, match nothing. Repeated rows count once;
     rows that share an id are told apart by their texts.
     """
-    item = benchmark.select(F.col("item_id"), tokens(F.col("text")).alias("it")).where(F.size("it") >= min(map(len, masks))).dropDuplicates()
+    item = benchmark.select(F.col("item_id"), tokens(F.col("text")).alias("it")).where(F.size("it") > 0).dropDuplicates()
     item = settle(item.withColumn("ih", F.transform("it", lambda x: F.xxhash64(x))), "items")
+    size = F.size("ih")
+    # under SHORT lengths, whatever the size of the benchmark
+    sizes = sorted(r["n"] for r in item.where(size < SHORT).select(size.alias("n")).distinct().collect())
+    runs = {n: _run(n, min_tokens, identity) for n in sizes}
+    wide, short = list(enumerate(masks)), [(len(masks) + r, "1" * r) for r in sorted(set(runs.values()))]
+    laid = [(m, mask, size >= SHORT) for m, mask in wide] + [(m, mask, size.isin(*[n for n in sizes if runs[n] == len(mask)])) for m, mask in short]
     seeds = reduce(
         DataFrame.unionByName,
-        [item.select("item_id", "ih", F.explode_outer(_seeds(F.col("ih"), m, mask)).alias("s")) for m, mask in enumerate(masks)],
+        [item.where(fit).select("item_id", "ih", F.explode_outer(_seeds(F.col("ih"), m, mask)).alias("s")) for m, mask, fit in laid],
     ).where("s is not null")
     seeds = settle(seeds.select("item_id", F.col("s.pos").alias("item_pos"), F.col("s.seed").alias("seed")), "seeds")
     # FILTER_WORDS numbers, however large the benchmark; a constant in the plan from here on
@@ -82,25 +113,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASK
     d = docs.select(F.col("doc_id"), F.col("text")).where(F.octet_length("text") > 0)
     # generators of one row each: predicates aren't pushed through them, which would hash a text anew for every position
     d = d.select("doc_id", _once(F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x))).alias("dh"))
-    found = [
-        F.filter(
-            F.coalesce(_seeds(F.col("dh"), m, mask), F.array().cast("array<struct<pos:int,seed:bigint>>")),
-            lambda x: reduce(lambda p, q: p & q, [F.getbit(F.get(look, w), b) == 1 for w, b in _spots(x["seed"])]),
-        )
-        for m, mask in enumerate(masks)
-    ]
-    d = d.select("doc_id", "dh", _once(F.concat(*found)).alias("hits")).where(F.size("hits") > 0)
+    near = [_once(_maybe(F.col("dh"), look, short)).alias("near")] if short else []
+    d = d.select("doc_id", "dh", _once(_maybe(F.col("dh"), look, wide)).alias("hits"), *near)
+    d = d.where((F.size("hits") > 0) | (F.size("near") > 0) if short else F.size("hits") > 0)
     # a row number of its own tells repeated ids apart; few documents come this far
     d = settle(d.withColumn("row", F.xxhash64("doc_id", "dh")).dropDuplicates(["doc_id", "row"]), "maybe")
 
     at = d.select("doc_id", "row", F.explode("hits").alias("h")).select("doc_id", "row", F.col("h.pos").alias("pos"), F.col("h.seed").alias("seed"))
     diagonals = at.join(seeds, "seed").select("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     pairs = diagonals.join(item.select("item_id", "ih"), "item_id").join(d.select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), "dh"), (F.col("row") == F.col("d_row")) & F.col("doc_id").eqNullSafe(F.col("d_id")))
+    pairs = pairs.select("doc_id", "item_id", "shift", "ih", "dh", F.lit(0).alias("lo"))
+    if short:
+        # a short item lies within SHORT tokens of its hit, so the rest of the text needn't be carried along
+        lo = F.greatest(F.lit(0), F.col("h.pos") - (SHORT - 1))
+        at = d.select("doc_id", "row", "dh", F.explode("near").alias("h")).select("doc_id", "row", F.col("h.pos").alias("pos"), F.col("h.seed").alias("seed"), lo.alias("lo"), F.slice("dh", lo + 1, F.lit(2 * SHORT)).alias("dh"))
+        close = at.join(seeds, "seed").select("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "lo", "dh").dropDuplicates(["doc_id", "row", "item_id", "shift"])
+        pairs = pairs.unionByName(close.join(item.where(size < SHORT).select("item_id", "ih"), "item_id").select("doc_id", "item_id", "shift", "ih", "dh", "lo"))
     first = F.greatest(F.lit(0), -F.col("shift"))
-    last = F.least(F.size("ih"), F.size("dh") - F.col("shift"))
-    pairs = pairs.select(
+    last = F.least(F.size("ih"), F.size("dh") + F.col("lo") - F.col("shift"))
+    pairs = pairs.where(last > first).select(
         "doc_id", "item_id", "shift", first.alias("first"), F.size("ih").alias("length"),
-        _once(F.transform(F.sequence(first, last - 1), lambda i: F.get("ih", i) == F.get("dh", i + F.col("shift")))).alias("same"),
+        _once(F.transform(F.sequence(first, last - 1), lambda i: F.get("ih", i) == F.get("dh", i + F.col("shift") - F.col("lo")))).alias("same"),
     )
     # the best stretch: equal tokens gain 1, others lose what keeps the identity
     loss = F.lit(int(round(identity / (1 - identity))))

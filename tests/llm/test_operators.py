@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -119,6 +120,23 @@ def test_decontamination(spark, docs, rows, empty):
     assert left == {r[0] for r in rows} - {3, 40}
 
 
+def test_decontamination_of_short_items(spark):
+    item = {n: [f"w{n}x{i}" for i in range(n)] for n in (3, 5, 9, 12)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in item.items()], "item_id long, text string")
+    few = {3: 0, 5: 1, 9: 1, 12: 2}
+    data, want = [], set()
+    for n, w in item.items():
+        for k in range(few[n] + 2):
+            for at in combinations(range(n), k):
+                if k <= few[n]:
+                    want.add((len(data), n))
+                data.append((len(data), "a " * (len(data) % 30) + " ".join("other" if i in at else x for i, x in enumerate(w)) + " z" * (len(data) % 7)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = decontaminate.matches(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["matched"] >= 0.8 * r["item_id"] and r["doc_pos"] - r["item_pos"] == r["doc_id"] % 30 for r in got)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     by = defaultdict(list)
