@@ -169,6 +169,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASK
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id has no verified overlap, in the columns of docs. Rows without an id stay."""
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """The rows of docs whose id has no verified overlap, in the columns of docs. Rows without an id go by their texts."""
+    bad = matches(docs.where("doc_id is not null"), benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    clean = docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    nameless = docs.where("doc_id is null")
+    if not nameless.limit(1).count():
+        return clean
+    digest = F.sha2("text", 256)
+    bad = matches(nameless.select(digest.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    return clean.where("doc_id is not null").unionByName(nameless.join(bad, digest == F.col("__bad"), "left_anti"))

@@ -339,11 +339,20 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but for near-duplicates: of each group the smallest id stays, in the columns of docs.
 
-    Of rows that share an id the one with the smallest text stays. Rows without an id stay.
+    Rows that share an id, and rows without one, are told apart by their texts: only what these have
+    in common links them. Of rows with the same id (or none) and text one stays; rows with neither stay.
     """
-    kept = link_components(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["__id"])
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = rows.groupBy("__id").agg(F.min(F.struct("text", "doc_id", *rest)).alias("r"))
-    one = one.select(*[F.col("r")[c].alias(c) for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null"))
+    key = F.col("doc_id").cast("long")
+    if not docs.groupBy(key.alias("i")).agg(F.count(F.lit(1)).alias("n")).where("i is null or n > 1").limit(1).count():
+        kept = link_components(docs, k, percent).where("kept").select(F.col("doc_id").alias("__id"))
+        return docs.join(kept, docs["doc_id"].cast("long") == kept["__id"], "left_semi")
+    digest = F.sha2("text", 256)
+    rows = docs.where("doc_id is not null or text is not null").withColumns({"__i": key, "__t": digest})
+    # numbers of distinct (id, text) in the order of the ids
+    named = rows.select("__i", "__t", "text").dropDuplicates(["__i", "__t"]).orderBy(F.col("__i").asc_nulls_last(), "__t")
+    named = settle(named.select(F.monotonically_increasing_id().alias("doc_id"), "__i", "__t", "text"), "named")
+    kept = link_components(named.select("doc_id", "text"), k, percent).where("kept").select("doc_id")
+    won = named.join(kept, "doc_id", "left_semi").select(F.col("doc_id").alias("__n"), F.col("__i").alias("__wi"), F.col("__t").alias("__wt"))
+    found = rows.join(won, F.col("__i").eqNullSafe(F.col("__wi")) & F.col("__t").eqNullSafe(F.col("__wt")))
+    one = found.groupBy("__n").agg(F.min(F.struct(*docs.columns)).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
+    return one.unionByName(docs.where("doc_id is null and text is null"))

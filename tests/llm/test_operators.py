@@ -217,6 +217,17 @@ def test_html():
     assert "deep" in html.render("<div>" * 5000 + "deep")
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    one, two, three = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(1, one), (1, two), (1, None), (2, one), (2, three), (None, two), (None, None), (None, prose(4, 50)), (None, prose(4, 50)), (3, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in setsketch.keep_one(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, one), (1, two), (1, None), (2, three), (None, None), (None, prose(4, 50))], key=str)
+    bench = spark.createDataFrame([(1, prose(4, 50)), (2, three)], "item_id long, text string")
+    left = [tuple(r) for r in decontaminate.clean_documents(docs, bench).collect()]
+    assert sorted(left, key=str) == sorted([(1, one), (1, two), (1, None), (None, two), (None, None)], key=str)
+
+
 def test_html_shows_what_browsers_show():
     say = html.render
     assert say("<div style='backface-visibility: hidden'>card</div>") == "card"
