@@ -12,7 +12,16 @@ STOPWORDS = (
 ).split()
 
 # Words that keyword extraction leaves out when no list is given.
-KEYWORD_STOPWORDS = tuple(STOPWORDS)
+KEYWORD_STOPWORDS = tuple(
+    """
+    a about above after again all am an and any are as at be because been before being below between both but by
+    can did do does doing down during each few for from further had has have having he her here hers herself him
+    himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or
+    other our ours ourselves out over own s same she should so some such t than that the their theirs them
+    themselves then there these they this those through to too under until up very was we were what when where
+    which while who whom why will with you your yours yourself yourselves
+    """.split()
+)
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 TABLE_CAPTION = r"(?i)^\s*(table|tbl\.?|exhibit)"
 FIGURE_CAPTION = r"(?i)^\s*(figure|fig\.?)"
@@ -42,6 +51,16 @@ def boilerplate_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(collapse(c)), r"(?U)\d+", "#")
 
 
+def stop_union(*lists: tuple[str, ...]) -> tuple[str, ...]:
+    """The words of all lists, each once, in the order of their first appearance."""
+    return tuple(dict.fromkeys(w for words in lists for w in words))
+
+
+def shown_score(c: Column) -> Column:
+    """A score as it is shown: four decimals."""
+    return F.round(c, 4)
+
+
 def keywords(c: Column, limit: int = 40, stop: tuple[str, ...] = KEYWORD_STOPWORDS) -> Column:
     words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9\-_/%.]*"), F.lit(0))
     words = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[.\-_/]+|[.\-_/]+$", "")))

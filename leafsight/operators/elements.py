@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FIGURE_CAPTION, TABLE_CAPTION, boilerplate_key, strip
+from ..functions.text import FIGURE_CAPTION, TABLE_CAPTION, boilerplate_key, rows_to_markdown, strip
 
 KEPT = ("Table", "Image")
 
@@ -72,3 +72,21 @@ def match_text_tables(elements: DataFrame, tables: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page").orderBy("idx")
     mine = elements.where("category = 'Table'").withColumn("n", F.row_number().over(w) - 1)
     return mine.join(tables, ["doc_id", "page", "n"], "left")
+
+
+def text_tables(tables: DataFrame, boilerplate: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, n, markdown) of a text layer's tables (doc_id, page, n, rows), numbered anew from 0 within a page.
+
+    Tables of one row, those that are a repeating line as a whole, those of which every row is
+    one, and empty ones are left out.
+    """
+    line = lambda r: boilerplate_key(F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " "))
+    kept = tables.where(F.size("rows") >= 2)
+    if boilerplate is not None:
+        # a document's repeating lines: few, as each stands on most of its pages
+        keys = boilerplate.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        whole = line(F.flatten(F.transform("rows", lambda r: F.coalesce(r, F.array().cast("array<string>")))))
+        known = F.coalesce(F.col("keys"), F.array().cast("array<string>"))
+        kept = kept.join(keys, "doc_id", "left").where(~F.array_contains(known, whole) & ~F.forall("rows", lambda r: F.array_contains(known, line(r)))).drop("keys")
+    kept = kept.select("doc_id", "page", "n", rows_to_markdown(F.col("rows")).alias("markdown")).where("markdown <> ''")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("n")) - 1)

@@ -1,57 +1,106 @@
 """Batched hybrid search: chunks (collection, chunk_seq, title, text, embedding, ...) x queries (query_id, collection, text, qvec).
 
-Scores cover a query's whole collection, zeros included, as the normalisation needs its true
-minimum. Ties go to the smaller chunk_seq; scores are compared at nine decimals, as the order in
-which a shuffle adds is not fixed.
+A chunk's number is its own within a collection only, so hits carry both. Scores cover a query's
+whole collection, zeros included, as the normalisation needs its true minimum. Ties go to the
+smaller chunk_seq; scores are compared at nine decimals, as the order in which a shuffle adds is
+not fixed. Scores travel without texts: these are joined to what is left at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import collapse, snippet, tokenize
 from ..functions.vectors import dot
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+CHUNK = ("collection", "chunk_seq")
+#: Parts into which the pairs of a collection are dealt.
+DEAL = 64
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What lexical search needs of a corpus: postings (collection, chunk_seq, term, tf, dl), terms (collection, term, df, idf), stats (collection, n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    def save(self, path: str) -> None:
+        """Write the three tables below `path`, postings sorted by term, so that a reader skips what isn't asked for."""
+        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Lexicon:
+        return Lexicon(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
+
+
+def _words(chunks: DataFrame, text: Column | None) -> DataFrame:
+    """(collection, chunk_seq, words)."""
+    return chunks.select(*CHUNK, tokenize(text if text is not None else F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")).alias("words"))
 
 
 def postings(chunks: DataFrame, text: Column | None = None) -> DataFrame:
     """(collection, chunk_seq, term, tf)."""
-    words = tokenize(text if text is not None else F.concat_ws(" ", F.coalesce("title", F.lit("")), "text"))
-    return chunks.select("collection", "chunk_seq", F.explode(words).alias("term")).groupBy("collection", "chunk_seq", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _words(chunks, text).select(*CHUNK, F.explode("words").alias("term")).groupBy(*CHUNK, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(collection, chunk_seq, dl), 0 for chunks without terms."""
-    dl = terms.groupBy("collection", "chunk_seq").agg(F.sum("tf").alias("dl"))
-    return chunks.select("collection", "chunk_seq").join(dl, ["collection", "chunk_seq"], "left").fillna(0, ["dl"])
+def statistics(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms (collection, term, df, idf; negative idf are a quarter of the mean) and stats (collection, n, avgdl)."""
+    stats = words.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    df = words.select("collection", F.explode(F.array_distinct("words")).alias("term")).groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
+    # a row for each collection
+    raw = df.join(F.broadcast(stats.select("collection", "n")), "collection").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy("collection").agg(F.avg("raw").alias("mean"))
+    terms = raw.join(F.broadcast(mean), "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return terms, stats
 
 
-def inverse_frequencies(terms: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(collection, term, df, idf); negative ones are a quarter of the mean."""
-    n = sizes.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
-    df = terms.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "collection")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("collection").agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def inverse_frequencies(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """(collection, term, df, idf)."""
+    return statistics(_words(chunks, text))[0]
+
+
+def lexicon(chunks: DataFrame, text: Column | None = None) -> Lexicon:
+    words = _words(chunks, text)
+    each = words.select(*CHUNK, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return Lexicon(each.groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), *statistics(words))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, text: Column | None = None) -> DataFrame:
-    """(query_id, chunk_seq, bm25) of chunks that share a term with the query."""
-    terms = postings(chunks, text)
-    sizes = lengths(chunks, terms)
-    mean = sizes.groupBy("collection").agg(F.avg("dl").alias("avgdl"))
+def bm25(chunks: DataFrame | Lexicon, queries: DataFrame, text: Column | None = None) -> DataFrame:
+    """(query_id, collection, chunk_seq, bm25) of chunks that share a term with the query, of chunks or of a lexicon made before."""
     asked = queries.select("query_id", "collection", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "collection", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # only terms that are asked for meet the postings' statistics
-    hit = terms.join(asked, ["collection", "term"]).join(inverse_frequencies(terms, sizes), ["collection", "term"]).join(sizes, ["collection", "chunk_seq"]).join(mean, "collection")
+    if isinstance(chunks, Lexicon):
+        terms, stats = chunks.terms, chunks.stats
+        hit = chunks.postings.join(asked, ["collection", "term"])
+    else:
+        words = _words(chunks, text)
+        terms, stats = statistics(words)
+        # only words that are asked for leave their rows
+        each = words.select(*CHUNK, F.size("words").alias("dl"), F.explode("words").alias("term"))
+        some = each.join(asked.select("collection", "term").distinct(), ["collection", "term"], "left_semi").groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        hit = some.join(asked, ["collection", "term"])
+    hit = hit.join(terms.select("collection", "term", "idf"), ["collection", "term"]).join(F.broadcast(stats.select("collection", "avgdl")), "collection")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "chunk_seq").agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("bm25"))
+    return hit.groupBy("query_id", *CHUNK).agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("bm25"))
 
 
 def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_seq, cos) of every chunk of the query's collection; vectors have length one."""
-    return queries.select("query_id", "collection", "qvec").join(chunks, "collection").select("query_id", "chunk_seq", dot(F.col("embedding"), F.col("qvec")).alias("cos"))
+    """(query_id, collection, chunk_seq, cos) of every chunk of the query's collection; vectors have length one.
+
+    Queries are copied to DEAL parts of their collection, so that a large one is nobody's alone.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("part")
+    q = queries.select("query_id", "collection", "qvec", parts)
+    c = chunks.select(*CHUNK, "embedding", F.pmod(F.xxhash64("chunk_seq"), F.lit(DEAL)).cast("int").alias("part"))
+    return q.join(c, ["collection", "part"]).select("query_id", *CHUNK, dot(F.col("embedding"), F.col("qvec")).alias("cos"))
 
 
 def minmax(scores: DataFrame, *columns: str) -> DataFrame:
@@ -64,12 +113,17 @@ def minmax(scores: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*[f"{n}_{c}" for c in columns for n in ("lo", "hi")])
 
 
-def scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_seq, cos, bm25, norm_cos, norm_bm25) of every chunk of the query's collection."""
-    both = dense(chunks, queries).join(bm25(chunks, queries), ["query_id", "chunk_seq"], "left").fillna(0.0, ["bm25"])
+def scored(chunks: DataFrame, queries: DataFrame, words: Lexicon | None = None) -> DataFrame:
+    """(query_id, collection, chunk_seq, cos, bm25, norm_cos, norm_bm25) of every chunk of the query's collection."""
+    both = dense(chunks, queries).join(bm25(words or chunks, queries), ["query_id", *CHUNK], "left").fillna(0.0, ["bm25"])
     return minmax(both, "cos", "bm25")
 
 
+def described(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Hits with columns of their chunks."""
+    return hits.join(chunks.select(*CHUNK, *columns), list(CHUNK))
+
+
 def fuse(scores: DataFrame, alpha: float | Column = 0.6, mode: str = "hybrid") -> DataFrame:
     a = alpha if isinstance(alpha, Column) else F.lit(alpha)
     by = {"vector": F.col("norm_cos"), "bm25": F.col("norm_bm25"), "hybrid": a * F.col("norm_cos") + (1 - a) * F.col("norm_bm25")}
@@ -85,10 +139,14 @@ def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFra
     return hits.withColumn("rank", F.row_number().over(best_first(list(by)))).where(F.col("rank") <= k)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.6, mode: str = "hybrid", types: list[str] | None = None) -> DataFrame:
+def search(
+    chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.6, mode: str = "hybrid", types: list[str] | None = None, words: Lexicon | None = None
+) -> DataFrame:
     """Ranked chunks; types are left out after scoring, so scores don't change with them."""
-    hits = fuse(scored(chunks, queries), alpha, mode).join(chunks.drop("embedding", "collection"), "chunk_seq")
-    return top(hits.where(F.col("chunk_type").isin(types)) if types else hits, k)
+    hits = fuse(scored(chunks, queries, words), alpha, mode)
+    if types:
+        hits = hits.join(chunks.where(F.col("chunk_type").isin(types)).select(*CHUNK), list(CHUNK), "left_semi")
+    return described(top(hits, k), chunks, *[c for c in chunks.columns if c not in (*CHUNK, "embedding")])
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int = 5, chunk_type: str | None = None, page: int | None = None) -> DataFrame:
@@ -102,37 +160,52 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 5, chunk_type: str |
 
 
 def lift_sections(hits: DataFrame, decay: float | Column = 0.5, max_group: int | Column = 4, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Chunks of a section of 2..max_group chunks score at least decay times its best."""
-    group = Window.partitionBy(*by, F.trim("title"))
+    """Chunks of a section of 2..max_group chunks score at least decay times its best. Chunks without a title are no section."""
     d = decay if isinstance(decay, Column) else F.lit(decay)
+    name = F.trim(F.coalesce("title", F.lit("")))
+    # untitled chunks are spread, not gathered as if they were one section
+    group = Window.partitionBy(*by, "collection", name, F.when(name == "", F.col("chunk_seq")))
     size = F.count(F.lit(1)).over(group)
     lifted = F.greatest(F.col("score"), d * F.max("score").over(group))
-    return hits.withColumn("score", F.when((d > 0) & (F.trim("title") != "") & (size >= 2) & (size <= max_group), lifted).otherwise(F.col("score")))
+    return hits.withColumn("score", F.when((d > 0) & (name != "") & (size >= 2) & (size <= max_group), lifted).otherwise(F.col("score")))
 
 
-def pages(hits: DataFrame, max_pages: int = 8, cutoff: float = 0.55) -> DataFrame:
-    """Pages by their best chunk, with section headings and the three best chunks as evidence."""
-    from ..functions.text import snippet
-
+def page_scores(hits: DataFrame, max_pages: int, cutoff: float = 0.0) -> DataFrame:
+    """(query_id, page, score, page_rank): pages by their best chunk, as many as are asked for, none below the cutoff's share of the best."""
     ranked = hits.withColumn("rank", F.row_number().over(best_first(["query_id"])))
-    title = F.trim(F.coalesce("title", F.lit("")))
-    one = F.struct("rank", title.alias("title"), "chunk_type", snippet(F.col("text")).alias("snippet"), "score")
-    page = ranked.groupBy("query_id", "page").agg(F.max("score").alias("score"), F.min("rank").alias("first"), F.array_sort(F.collect_list(one)).alias("all"))
+    page = ranked.groupBy("query_id", "page").agg(F.max("score").alias("score"), F.min("rank").alias("first"))
     w = Window.partitionBy("query_id")
     page = page.withColumn("page_rank", F.row_number().over(w.orderBy("first"))).withColumn("best", F.max("score").over(w))
-    page = page.where((F.col("page_rank") <= max_pages) & (F.col("score") >= cutoff * F.col("best")))
+    return page.where((F.col("page_rank") <= max_pages) & (F.col("score") >= cutoff * F.col("best"))).select("query_id", "page", "score", "page_rank")
+
+
+def pages(hits: DataFrame, chunks: DataFrame, max_pages: int = 8, cutoff: float = 0.55) -> DataFrame:
+    """Pages by their best chunk, with section headings and the three best chunks as evidence.
+
+    hits: (query_id, collection, chunk_seq, page, title, chunk_type, score) of all chunks. Only the
+    pages that are kept gather their chunks, and only evidence meets its text.
+    """
+    kept = page_scores(hits, max_pages, cutoff)
+    # null pages are a page like others
+    k = kept.select(F.col("query_id").alias("k_query"), F.col("page").alias("k_page"), F.col("score").alias("page_score"), "page_rank")
+    mine = hits.join(k, (F.col("query_id") == F.col("k_query")) & F.col("page").eqNullSafe(F.col("k_page"))).drop("k_query", "k_page")
+    title = F.trim(F.coalesce("title", F.lit("")))
+    mine = mine.withColumn("place", F.row_number().over(best_first(["query_id", "page"]))).withColumn("title", title)
+    shown = described(mine.where("place <= 3"), chunks, "text").select("query_id", *CHUNK, snippet(F.col("text")).alias("snippet"))
+    mine = mine.join(shown, ["query_id", *CHUNK], "left")
+    one = F.struct("place", "title", "chunk_type", "snippet", "score")
+    page = mine.groupBy("query_id", "page_rank", "page", "page_score").agg(F.array_sort(F.collect_list(one)).alias("all"))
     sections = F.array_distinct(F.filter(F.transform("all", lambda x: x["title"]), lambda t: t != ""))
     evidence = F.transform(F.slice("all", 1, 3), lambda x: F.struct(x["chunk_type"].alias("type"), x["title"].alias("title"), x["snippet"].alias("snippet"), x["score"].alias("score")))
-    return page.select("query_id", "page_rank", "page", "score", sections.alias("sections"), evidence.alias("evidence"))
+    return page.select("query_id", "page_rank", "page", F.col("page_score").alias("score"), sections.alias("sections"), evidence.alias("evidence"))
 
 
 def context(hits: DataFrame, budget: int = 4000) -> DataFrame:
     """(query_id, context): ranked chunks under their headings, cut at the budget; gaps don't count."""
-    from ..functions.text import collapse
-
-    piece = F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit(" - "), F.coalesce("title", F.lit("")), F.lit("]\n"), collapse(F.col("text")))
+    head = F.concat(F.lit("[page "), F.col("page").cast("string"), F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(" - "), F.col("title"))).otherwise(F.lit("")), F.lit("]\n"))
     before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    cut = hits.withColumn("piece", piece).withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).where(F.col("start") < budget)
+    cut = hits.withColumn("piece", F.concat(head, collapse(F.col("text"))))
+    cut = cut.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).where(F.col("start") < budget)
     cut = cut.withColumn("piece", F.left("piece", (F.lit(budget) - F.col("start")).cast("int")))
     return cut.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]), "\n\n").alias("context"))
 
@@ -143,20 +216,48 @@ def citations(hits: DataFrame) -> DataFrame:
     return first.select("query_id", "page", F.col("x.title").alias("title"), F.col("x.rank").alias("rank"))
 
 
-def blend(base: DataFrame, other: DataFrame, share: float) -> DataFrame:
-    """(1 - share) * base + share * other, both (query_id, chunk_seq, score); a share of 0 leaves base."""
-    if share <= 0:
-        return base
-    o = other.select("query_id", "chunk_seq", F.col("score").alias("__o"))
-    return base.join(o, ["query_id", "chunk_seq"]).withColumn("score", (1 - share) * F.col("score") + share * F.col("__o")).drop("__o")
+def answers(queries: DataFrame, hits: DataFrame, generate: Callable[[Column], Column], empty: str = "Nothing relevant was found.", budget: int = 4000) -> DataFrame:
+    """(query_id, answer, citations): what `generate`, an expression or pandas UDF of a prompt, says from the hits' excerpts.
 
+    A query without hits gets `empty`, and no citations.
+    """
+    cited = citations(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "page", "title"))).alias("c"))
+    cited = cited.select("query_id", F.transform("c", lambda x: F.struct(x["page"].alias("page"), x["title"].alias("title"))).alias("citations"))
+    rows = queries.select("query_id", "text").join(context(hits, budget), "query_id", "left").join(cited, "query_id", "left")
+    asked = rows.where(F.coalesce("context", F.lit("")) != "").withColumn("answer", F.trim(generate(answer_prompt(F.col("context"), F.col("text")))))
+    other = rows.where(F.coalesce("context", F.lit("")) == "").withColumn("answer", F.lit(empty))
+    return asked.unionByName(other).select("query_id", "answer", F.coalesce("citations", F.array().cast("array<struct<page:bigint,title:string>>")).alias("citations"))
 
-def rerank_pages(hits: DataFrame, scorer: Column, pool: int = 20, share: float = 0.6) -> DataFrame:
-    """The pool's pages by a second score, an expression or pandas UDF over a chunk's columns, blended with the first."""
-    ranked = hits.withColumn("rank", F.row_number().over(best_first(["query_id"])))
-    page = ranked.groupBy("query_id", "page").agg(F.max("score").alias("first"), F.min("rank").alias("r"))
-    page = page.withColumn("page_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).where(F.col("page_rank") <= pool)
-    second = hits.join(page.select("query_id", "page"), ["query_id", "page"], "left_semi").groupBy("query_id", "page").agg(F.max(scorer).alias("second"))
-    both = minmax(page.join(second, ["query_id", "page"]), "first", "second")
-    both = both.withColumn("score", (1 - share) * F.col("norm_first") + share * F.col("norm_second"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "page_rank"))).select("query_id", "page", "rank", "score")
+
+INSTRUCTION = "Answer from the excerpts below and from nothing else. Name the page behind each statement, as in (p. 3). Say so if they hold no answer. Use at most three sentences."
+
+
+def answer_prompt(context: Column, question: Column) -> Column:
+    """The prompt of a grounded answer."""
+    return F.concat(F.lit(f"{INSTRUCTION}\n\nExcerpts:\n\n"), context, F.lit("\n\nQuestion: "), question)
+
+
+def blend(base: DataFrame, other: DataFrame, share: float | Column) -> DataFrame:
+    """(1 - share) * base + share * other, both (query_id, collection, chunk_seq, score); a share of 0 leaves base."""
+    if not isinstance(share, Column) and share <= 0:
+        return base
+    o = other.select("query_id", *CHUNK, F.col("score").alias("other_score"))
+    return base.join(o, ["query_id", *CHUNK]).withColumn("score", (1 - share) * F.col("score") + share * F.col("other_score")).drop("other_score")
+
+
+def rerank_pages(hits: DataFrame, scorer: Column, pool: int = 20, share: float | Column = 0.6, grid: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """The pool's pages by a second score, an expression or pandas UDF over a chunk's columns, blended with the first.
+
+    `share` is the second score's; a column of `grid` (crossed with the few pages of the pools) gives
+    the ranks of all its values at once. `chunks` gives columns that the scorer needs beside the hits'.
+    """
+    page = page_scores(hits, pool).withColumnRenamed("score", "first")
+    mine = hits.join(page.select("query_id", "page"), ["query_id", "page"], "left_semi")
+    if chunks is not None:
+        mine = described(mine, chunks, *[c for c in chunks.columns if c not in (*CHUNK, *hits.columns, "embedding")])
+    both = minmax(page.join(mine.groupBy("query_id", "page").agg(F.max(scorer).alias("second")), ["query_id", "page"]), "first", "second")
+    extra = [] if grid is None else grid.columns
+    both = both if grid is None else both.crossJoin(F.broadcast(grid))
+    s = share if isinstance(share, Column) else F.lit(share)
+    both = both.withColumn("score", (1 - s) * F.col("norm_first") + s * F.col("norm_second"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *extra).orderBy(F.desc(F.round("score", 9)), "page_rank"))).select(*extra, "query_id", "page", "rank", "score")

@@ -19,8 +19,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_seq"), "embedding")
-    return corpus(spark, sf_dir).join(e, "chunk_seq")
+    """All documents as chunks; there are fewer vectors than documents, so these take them in turn."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    c = corpus(spark, sf_dir).withColumn("vec_id", F.col("chunk_seq") % n if n else F.lit(None).cast("long"))
+    return c.join(e, "vec_id").drop("vec_id")
+
+
+def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """chunks and queries dealt to three collections, in which chunk numbers begin anew."""
+    c = chunks(spark, sf_dir).withColumn("collection", (F.col("chunk_seq") % 3 + 1).cast("int")).withColumn("chunk_seq", F.expr("chunk_seq div 3"))
+    return c, queries(spark, sf_dir).withColumn("collection", (F.col("query_id") % 3 + 1).cast("int"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -88,12 +88,12 @@ def _part_tables(s, d):
     return rows.select(F.col("g").alias("table_id"), T.rows_to_markdown(F.transform("x", lambda x: x["r"])).alias("markdown"), F.concat(F.lit("Table "), F.col("g").cast("string")).alias("caption"))
 
 
-@query()
+@query(oracle.SPLIT)
 def c3_split_table(s, d):
     return chunking.split_tables(_part_tables(s, d))
 
 
-@query()
+@query(oracle.HTML_TABLE)
 def f9_html_markdown(s, d):
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     n = b.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("<tr>"), cell(F.col("n_name")), cell(F.col("n_nationkey").cast("string")), F.lit("</tr>")).alias("h")))).alias("x"))
@@ -153,7 +153,7 @@ def _overlap_input(s, d):
     return chunking.reading_order(c)
 
 
-@query()
+@query(oracle.OVERLAP)
 def w7_overlap(s, d):
     return chunking.cross_chunk_overlap(_overlap_input(s, d))
 
@@ -190,9 +190,7 @@ def u1_union(s, d):
 
 @query(oracle.IDF)
 def a7_idf(s, d):
-    c = b.chunks(s, d)
-    p = search.postings(c)
-    return search.inverse_frequencies(p, search.lengths(c, p)).select("term", "df", F.round("idf", R6).alias("idf"))
+    return search.inverse_frequencies(b.corpus(s, d)).select("term", "df", F.round("idf", R6).alias("idf"))
 
 
 def _rounded(df: DataFrame, *keys: str, scores: tuple[str, ...] = ("score",)) -> DataFrame:
@@ -201,10 +199,26 @@ def _rounded(df: DataFrame, *keys: str, scores: tuple[str, ...] = ("score",)) ->
 
 @query(oracle.BM25)
 def r1_bm25(s, d):
-    hits = search.bm25(b.chunks(s, d), b.queries(s, d)).withColumn("score", F.col("bm25"))
+    hits = search.bm25(b.corpus(s, d), b.queries(s, d)).withColumn("score", F.col("bm25"))
     return _rounded(search.top(hits, 10), "query_id", "rank", "chunk_seq")
 
 
+@query(oracle.BM25)
+def r5_stored_lexicon(s, d):
+    """As r1_bm25, from tables that are written first and read again."""
+    path = store.scratch(s, "lexicon")
+    search.lexicon(b.corpus(s, d)).save(path)
+    hits = search.bm25(search.Lexicon.load(s, path), b.queries(s, d)).withColumn("score", F.col("bm25"))
+    return _rounded(search.top(hits, 10), "query_id", "rank", "chunk_seq")
+
+
+@query(oracle.COLLECTIONS)
+def r3_collections(s, d):
+    c, q = b.collections(s, d)
+    hits = search.lift_sections(search.described(search.fuse(search.scored(c, q)), c, "title"))
+    return _rounded(search.top(hits, 10), "query_id", "collection", "rank", "chunk_seq", scores=("score", "cos", "bm25"))
+
+
 @query(oracle.DENSE)
 def r2_dense(s, d):
     return _rounded(search.nearest(b.chunks(s, d), b.queries(s, d), 10), "query_id", "rank", "chunk_seq")
@@ -245,12 +259,16 @@ def p7_post_filter(s, d):
 
 
 def _hits(s, d, decay: float = 0.5, group: int = 4) -> DataFrame:
-    """All chunks of every query with their lifted scores."""
+    """All chunks of every query with their lifted scores, without texts."""
     c = b.chunks(s, d)
-    hits = search.fuse(search.scored(c, b.queries(s, d))).join(c.drop("embedding", "collection"), "chunk_seq")
+    hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title", "chunk_type")
     return search.lift_sections(hits, decay, group)
 
 
+def _best_texts(s, d, k: int) -> DataFrame:
+    return search.described(search.top(_hits(s, d), k), b.chunks(s, d), "text")
+
+
 @query(oracle.SECTION)
 def r6_section(s, d):
     return _rounded(search.top(_hits(s, d), 20), "query_id", "rank", "chunk_seq")
@@ -258,7 +276,7 @@ def r6_section(s, d):
 
 @query(oracle.PAGES)
 def r7_pages(s, d):
-    return search.pages(_hits(s, d)).select(
+    return search.pages(_hits(s, d), b.chunks(s, d)).select(
         "query_id", "page_rank", "page", F.round("score", R6).alias("score"), F.array_join("sections", "|").alias("sections"),
         F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["type"], e["title"], e["snippet"])), "|").alias("evidence"),
     )
@@ -266,12 +284,12 @@ def r7_pages(s, d):
 
 @query(oracle.TOP_CHUNKS)
 def r8_top_chunks(s, d):
-    return search.top(_hits(s, d), 6).select("query_id", "rank", "page", "title", "chunk_type", "text")
+    return _best_texts(s, d, 6).select("query_id", "rank", "page", "title", "chunk_type", "text")
 
 
 @query(oracle.CONTEXT)
 def w9_context(s, d):
-    return search.context(search.top(_hits(s, d), 6))
+    return search.context(_best_texts(s, d, 6))
 
 
 @query(oracle.CITATIONS)
@@ -283,27 +301,31 @@ def _metadata(s, d):
     c, q = b.chunks(s, d), b.queries(s, d)
     described = T.descriptor(F.col("title"), F.lit(""), F.lit(""), F.col("chunk_type"))
     q2 = q.withColumn("text", F.concat(F.col("text"), F.lit(" src0 en table")))
-    meta = search.minmax(search.dense(c, q).join(search.bm25(c, q2, described), ["query_id", "chunk_seq"], "left").fillna(0.0, ["bm25"]), "cos", "bm25")
-    return search.blend(search.fuse(search.scored(c, q)), search.fuse(meta), 0.3)
+    meta = search.minmax(search.dense(c, q).join(search.bm25(c, q2, described), ["query_id", *search.CHUNK], "left").fillna(0.0, ["bm25"]), "cos", "bm25")
+    return search.fuse(search.scored(c, q)), search.fuse(meta)
+
+
+def _passage(s, d):
+    c, q = b.chunks(s, d), b.queries(s, d)
+    e = b.table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("hvec"))
+    passages = q.join(e, "query_id").drop("qvec").withColumnRenamed("hvec", "qvec")
+    other = search.minmax(search.dense(c, passages), "cos").withColumn("score", F.col("norm_cos"))
+    return search.fuse(search.scored(c, q)), other
 
 
 @query(oracle.METADATA)
 def r9_metadata(s, d):
-    return _rounded(search.top(_metadata(s, d), 10), "query_id", "rank", "chunk_seq")
+    return _rounded(search.top(search.blend(*_metadata(s, d), 0.3), 10), "query_id", "rank", "chunk_seq")
 
 
 @query(oracle.PASSAGE)
 def r10_passage(s, d):
-    c, q = b.chunks(s, d), b.queries(s, d)
-    e = b.table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("hvec"))
-    passages = q.join(e, "query_id").drop("qvec").withColumnRenamed("hvec", "qvec")
-    other = search.minmax(search.dense(c, passages), "cos").withColumn("score", F.col("norm_cos"))
-    return _rounded(search.top(search.blend(search.fuse(search.scored(c, q)), other, 0.5), 10), "query_id", "rank", "chunk_seq")
+    return _rounded(search.top(search.blend(*_passage(s, d), 0.5), 10), "query_id", "rank", "chunk_seq")
 
 
 @query(oracle.RERANK)
 def r11_rerank(s, d):
-    return _rounded(search.rerank_pages(_hits(s, d), F.length("text") % 97), "query_id", "page", "rank")
+    return _rounded(search.rerank_pages(_hits(s, d), F.length("text") % 97, chunks=b.chunks(s, d)), "query_id", "page", "rank")
 
 
 def _pool(s, d, k: int = 40) -> DataFrame:
@@ -314,6 +336,7 @@ def _metrics(s, d) -> DataFrame:
     return evaluate.metrics(_pool(s, d), b.gold(s, d)).join(b.queries(s, d).select("query_id", "kind", "holdout"), "query_id")
 
 
+ALL_MEASURES = (*[f"hit_{k}" for k in (1, 3, 5, 10)], *[f"recall_{k}" for k in (1, 3, 5, 10)], "ndcg")
 MEASURES = ("hit_1", "hit_3", "recall_5", "recall_10", "ndcg")
 
 
@@ -339,7 +362,7 @@ def a16_missing(s, d):
 
 @query(oracle.PAGE_MIX)
 def a17_page_mix(s, d):
-    return evaluate.page_composition(b.chunks(s, d))
+    return evaluate.page_composition(b.corpus(s, d))
 
 
 @query(oracle.MISSED)
@@ -355,7 +378,7 @@ def t6_worst(s, d):
 @query(oracle.CHANGED)
 def j10_changed(s, d):
     c, q, g = b.chunks(s, d), b.queries(s, d), b.gold(s, d)
-    scores = search.scored(c, q).join(c.select("chunk_seq", "page"), "chunk_seq")
+    scores = search.described(search.scored(c, q), c, "page")
     ranks = [evaluate.metrics(evaluate.ranked_pages(search.top(search.fuse(scores, mode=m), 40)), g).select("query_id", F.coalesce("first_rank", F.lit(99)).alias(m)) for m in ("vector", "hybrid")]
     return ranks[0].join(ranks[1], "query_id").withColumn("changed", F.col("vector") != F.col("hybrid"))
 
@@ -364,16 +387,17 @@ def j10_changed(s, d):
 def j11_alpha_sweep(s, d):
     c = b.chunks(s, d)
     grid = F.explode(F.array(*[F.lit(i / 10) for i in range(11)])).alias("alpha")
-    hits = search.fuse(search.scored(c, b.queries(s, d)).select("*", grid), F.col("alpha")).join(c.select("chunk_seq", "page"), "chunk_seq")
+    hits = search.fuse(search.scored(c, b.queries(s, d)).select("*", grid), F.col("alpha"))
+    hits = search.described(search.top(hits, 40, ("alpha", "query_id")), c, "page")
     by = ("alpha", "query_id")
-    per = evaluate.metrics(evaluate.ranked_pages(search.top(hits, 40, by), by), b.gold(s, d), by=by)
+    per = evaluate.metrics(evaluate.ranked_pages(hits, by), b.gold(s, d), by=by)
     return _rounded(evaluate.averages(per, "alpha"), "alpha", "queries", scores=MEASURES)
 
 
 @query(oracle.SECTIONS_SWEEP)
 def j11_decay_group_sweep(s, d):
     c = b.chunks(s, d)
-    hits = search.fuse(search.scored(c, b.queries(s, d))).join(c.drop("embedding", "collection"), "chunk_seq")
+    hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title").select("query_id", *search.CHUNK, "page", "title", "score")
     cells = F.array(*[F.struct(F.lit(x).alias("decay"), F.lit(g).alias("max_group")) for x in (0.0, 0.3, 0.5, 0.7, 0.85, 1.0) for g in (2, 4, 8, 1000)])
     hits = hits.select("*", F.explode(cells).alias("g")).select("*", "g.decay", "g.max_group")
     by = ("decay", "max_group", "query_id")
@@ -382,21 +406,206 @@ def j11_decay_group_sweep(s, d):
     return _rounded(evaluate.averages(per, "decay", "max_group"), "decay", "max_group", "queries", scores=MEASURES)
 
 
+def _swept(s, d, hits: DataFrame, by: tuple[str, ...], pool: int = 40, ks: tuple[int, ...] = (1, 3, 5, 10), tuning: bool = False) -> DataFrame:
+    """Averages by all of `by` but the query, over its first `pool` chunks; of the tuning queries only, if so asked."""
+    q = b.queries(s, d).select("query_id", "holdout")
+    if tuning:
+        hits = hits.join(F.broadcast(q.where("not holdout").select("query_id")), "query_id", "left_semi")
+    best = search.top(hits, pool, by)
+    best = best if "page" in best.columns else search.described(best, b.chunks(s, d), "page")
+    gold = b.gold(s, d).join(q.where("not holdout") if tuning else q, "query_id", "left_semi")
+    per = evaluate.metrics(evaluate.ranked_pages(best, by), gold, ks, by=by)
+    group = [c for c in by if c != "query_id"]
+    measures = (*[f"hit_{k}" for k in ks], *[f"recall_{k}" for k in ks], "ndcg")
+    return _rounded(evaluate.averages(per, *group, columns=measures), *group, "queries", scores=measures)
+
+
+def _grid(name: str, steps: int) -> F.Column:
+    return F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias(name)
+
+
+def _blends(pair: tuple[DataFrame, DataFrame], name: str, steps: int) -> DataFrame:
+    """Scores of all shares of a second channel from 0 to 1."""
+    base, other = pair
+    both = search.blend(base.select("query_id", *search.CHUNK, "score"), other, F.lit(0.0))
+    o = other.select("query_id", *search.CHUNK, F.col("score").alias("o"))
+    both = both.join(o, ["query_id", *search.CHUNK]).select("*", _grid(name, steps))
+    return both.withColumn("score", (1 - F.col(name)) * F.col("score") + F.col(name) * F.col("o")).drop("o")
+
+
+@query(oracle.SECTION_EVAL)
+def e2_section_eval(s, d):
+    """Without section lift, and with the strong setting, over 104 chunks."""
+    c = b.chunks(s, d)
+    hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title").select("query_id", *search.CHUNK, "page", "title", "score")
+    hits = hits.select("*", F.explode(F.array(F.lit(0.0), F.lit(0.85))).alias("decay"))
+    return _swept(s, d, search.lift_sections(hits, F.col("decay"), 8, ("decay", "query_id")), ("decay", "query_id"), 104, (1, 3, 5, 10, 20))
+
+
+@query(oracle.PASSAGE_EVAL)
+def e3_passage_eval(s, d):
+    return _swept(s, d, _blends(_passage(s, d), "beta", 2), ("beta", "query_id"))
+
+
+@query(oracle.PASSAGE_SWEEP)
+def j11_beta_sweep(s, d):
+    return _swept(s, d, _blends(_passage(s, d), "beta", 5), ("beta", "query_id"), tuning=True)
+
+
+@query(oracle.METADATA_EVAL)
+def e4_metadata_eval(s, d):
+    return _swept(s, d, _blends(_metadata(s, d), "gamma", 2), ("gamma", "query_id"), 104, (1, 3, 5, 10, 20))
+
+
+@query(oracle.METADATA_SWEEP)
+def j11_gamma_sweep(s, d):
+    return _swept(s, d, _blends(_metadata(s, d), "gamma", 10), ("gamma", "query_id"), 104, (1, 3, 5, 10, 20), tuning=True)
+
+
+def _reranked(s, d, shares: int) -> DataFrame:
+    """(share, query_id, page, page_rank) for shares of the second score from 0 (retrieval only) to 1."""
+    grid = s.range(shares + 1).select((F.col("id") / shares).alias("share"))
+    ranked = search.rerank_pages(_hits(s, d), F.length("text") % 97, share=F.col("share"), grid=grid, chunks=b.chunks(s, d))
+    return ranked.select("share", "query_id", "page", F.col("rank").alias("page_rank"))
+
+
+@query(oracle.RERANK_EVAL)
+def e5_rerank_eval(s, d):
+    per = evaluate.metrics(_reranked(s, d, 2), b.gold(s, d), by=("share", "query_id"))
+    return _rounded(evaluate.averages(per, "share", columns=ALL_MEASURES), "share", "queries", scores=ALL_MEASURES)
+
+
+@query(oracle.RERANK_SWEEP)
+def j11_blend_sweep(s, d):
+    q = b.queries(s, d).where("not holdout").select("query_id")
+    per = evaluate.metrics(_reranked(s, d, 5).join(q, "query_id", "left_semi"), b.gold(s, d).join(q, "query_id", "left_semi"), by=("share", "query_id"))
+    return _rounded(evaluate.averages(per, "share", columns=ALL_MEASURES), "share", "queries", scores=ALL_MEASURES)
+
+
+@query(oracle.WORST_RERANKED)
+def t7_worst_reranked(s, d):
+    per = evaluate.metrics(_reranked(s, d, 1).where("share = 1").drop("share"), b.gold(s, d))
+    return evaluate.worst_by_rank(per).select("query_id", F.coalesce("first_rank", F.lit(99)).alias("first_rank"))
+
+
+def _modes(s, d, k: int) -> DataFrame:
+    c = b.chunks(s, d)
+    scores = search.scored(c, b.queries(s, d))
+    hits = [search.top(search.fuse(scores, mode=m), k).withColumn("mode", F.lit(m)) for m in ("vector", "bm25", "hybrid")]
+    return search.described(hits[0].unionByName(hits[1]).unionByName(hits[2]), c, "page", "chunk_type")
+
+
+@query(oracle.STRICT)
+def e6_strict_recall(s, d):
+    per = evaluate.strict_recall(_modes(s, d, 5), b.gold(s, d), by=("mode", "query_id"))
+    return _rounded(evaluate.averages(per, "mode", columns=("recall_1", "recall_3", "recall_5")), "mode", "queries", scores=("recall_1", "recall_3", "recall_5"))
+
+
+def _dense_only(s, d, types: list[str]) -> DataFrame:
+    c = b.chunks(s, d).where(F.col("chunk_type").isin(types))
+    return search.described(search.nearest(c, b.queries(s, d), 5), c, "page", "chunk_type")
+
+
+@query(oracle.DENSE_EVAL)
+def e7_dense_eval(s, d):
+    per = evaluate.strict_recall(_dense_only(s, d, ["text", "table"]), b.gold(s, d))
+    return per.select("query_id", "recall_1", "recall_3", "recall_5", F.coalesce("first_rank", F.lit(0)).alias("first_rank"))
+
+
+@query(oracle.DENSE_TYPES)
+def e7_dense_types(s, d):
+    return evaluate.top_types(_dense_only(s, d, ["text", "table"]))
+
+
+@query(oracle.TUNING_ALPHA)
+def e8_alpha_tuning(s, d):
+    hits = search.fuse(search.scored(b.chunks(s, d), b.queries(s, d)).select("*", _grid("alpha", 10)), F.col("alpha"))
+    return _swept(s, d, hits, ("alpha", "query_id"), tuning=True)
+
+
+@query(oracle.PROFILE)
+def j12_gold_profile(s, d):
+    """Gold against an index without its tables, so that some pages aren't indexed as they were."""
+    index = b.corpus(s, d).where("chunk_seq % 20 < 10")
+    return evaluate.gold_profile(b.gold(s, d), evaluate.page_composition(index)).select("query_id", "page", "grade", "composition")
+
+
+@query(oracle.MISSES_BY_KIND)
+def a16_misses_by_kind(s, d):
+    return evaluate.misses_by(_pool(s, d), b.gold(s, d), b.queries(s, d), "kind")
+
+
+@query(oracle.MOST_MISSED)
+def a16_most_missed(s, d):
+    return evaluate.most_missed(_pool(s, d), b.gold(s, d), evaluate.page_composition(b.corpus(s, d))).select("page", "missed", "composition")
+
+
+@query(oracle.ROUNDED)
+def f13_shown_score(s, d):
+    p = search.page_scores(_hits(s, d), 8, 0.55)
+    return p.select("query_id", "page", F.round(F.abs(T.shown_score(F.col("score")) - F.col("score")), 4).alias("off"))
+
+
+@query(oracle.STOP_UNION)
+def u2_stop_union(s, d):
+    return s.createDataFrame([(w,) for w in T.stop_union(T.KEYWORD_STOPWORDS, ("which", "datasheet", "via"))], "word string")
+
+
 @query(oracle.TOP_TYPE)
 def a19_top_type(s, d):
-    hits = search.search(b.chunks(s, d), b.queries(s, d), 1)
-    return hits.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.top_types(search.search(b.chunks(s, d), b.queries(s, d), 1))
 
 
 @query(oracle.SECTION_STATS)
 def a20_section_stats(s, d):
-    sizes = b.corpus(s, d).where(F.trim("title") != "").groupBy("title").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("titles"), F.count_if(F.col("n") > 1).alias("spanning"))
+    return evaluate.section_stats(b.corpus(s, d))
 
 
 @query(oracle.MEDIAN)
 def a21_median(s, d):
-    return _docs(s, d).groupBy("lang").agg(F.median("n_chars").alias("median_chars"))
+    return evaluate.median_by(_docs(s, d), "n_chars", "lang").withColumnRenamed("median_n_chars", "median_chars")
+
+
+def _tables(s, d) -> DataFrame:
+    """A text layer's tables: two rows for every other table of the layout."""
+    e = b.elements(s, d).where("category = 'Table' and idx % 2 = 0")
+    cells = F.array(F.array(F.lit("line"), F.lit("words")), F.array(F.left("text", F.lit(60)), F.size(F.split("text", " ")).cast("string")))
+    n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("idx")) - 1
+    return e.select("doc_id", "page", n.alias("n"), cells.alias("rows"))
+
+
+def _chunked(s, d) -> DataFrame:
+    words = F.when(F.col("idx") % 2 == 0, F.col("text")).otherwise(F.lit(""))
+    return chunking.chunk_documents(b.elements(s, d), _tables(s, d), captioner=F.lit("A figure. More of it."), ocr=words)
+
+
+@query()
+def c9_chunk_documents(s, d):
+    return _chunked(s, d).select("doc_id", "chunk_seq", "chunk_type", "page", "title", "text", "char_count", "overlap_prefix_chars", "table_part", "table_source", "chunk_id")
+
+
+@query(oracle.TABLE_SOURCES)
+def c2_table_chunks(s, d):
+    """How many tables come from where, and in how many parts."""
+    e = b.elements(s, d)
+    titled = elements.running_titles(e)
+    tables = elements.match_text_tables(elements.table_captions(titled), elements.text_tables(_tables(s, d)))
+    parts = chunking.table_chunks(tables).where("table_part = 1")
+    return parts.groupBy("doc_id", "table_source").agg(F.count(F.lit(1)).alias("tables"), F.count_if(F.col("table_caption") != "").alias("captioned"))
+
+
+@query()
+def e10_verify(s, d):
+    return chunking.verify_chunks(_chunked(s, d))
+
+
+@query(oracle.LAYER)
+def s3_text_layer(s, d):
+    """Tables whose rows are all repeating lines are left out, others numbered anew."""
+    e = b.elements(s, d)
+    lines = e.where("category = 'FigureCaption'").select("doc_id", "page", (F.col("idx") % 100000).cast("int").alias("n"), F.array(F.array("text"), F.array(F.concat("text", F.when(F.col("idx") % 2 == 0, "").otherwise("!")))).alias("rows"))
+    found = elements.detect_boilerplate(e, 0.1)
+    return elements.text_tables(lines, found).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("tables"), F.max("n").alias("last"))
 
 
 @query(oracle.DUPLICATES)

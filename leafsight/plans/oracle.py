@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from ..functions.text import STOPWORDS
 
+# Fixed values, stated here on their own: words that keyword extraction leaves out.
+KEYWORD_STOP = """
+a about above after again all am an and any are as at be because been before being below between both but by can did do
+does doing down during each few for from further had has have having he her here hers herself him himself his how i if
+in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out
+over own s same she should so some such t than that the their theirs them themselves then there these they this those
+through to too under until up very was we were what when where which while who whom why will with you your yours
+yourself yourselves
+""".split()
+_KEYWORD_STOP = "[" + ", ".join(f"'{w}'" for w in KEYWORD_STOP) + "]"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _WS = r"[\x09-\x0D\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -23,7 +33,7 @@ def _tokens(c: str) -> str:
 def _keywords(c: str, n: int, key: str, frm: str) -> str:
     """CTE words(key, words): the first n distinct keywords in order, joined."""
     raw = f"list_transform(regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9\\-_/%.]*'), lambda w: lower(regexp_replace(w, '^[.\\-_/]+|[.\\-_/]+$', '', 'g')))"
-    return f"""kept AS (SELECT {key}, list_filter({raw}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w) AND regexp_matches(w, '[a-z]')) AS k FROM {frm}),
+    return f"""kept AS (SELECT {key}, list_filter({raw}, lambda w: length(w) >= 3 AND NOT list_contains({_KEYWORD_STOP}, w) AND regexp_matches(w, '[a-z]')) AS k FROM {frm}),
 each AS (SELECT {key}, unnest(k) AS w, unnest(range(len(k))) AS i FROM kept), firsts AS (SELECT {key}, w, min(i) AS i FROM each GROUP BY ALL),
 words AS (SELECT {key}, string_agg(w, ', ' ORDER BY i) AS words FROM (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i) <= {n}) GROUP BY {key})"""
 
@@ -35,7 +45,7 @@ def _sentence(c: str) -> str:
 
 CORPUS = """corpus AS (SELECT doc_id AS chunk_seq, doc_id // 10 AS page, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'image' END AS chunk_type,
   source || '/' || lang || '/' || (doc_id // 100) AS title, text FROM documents)"""
-CHUNKS = CORPUS + ", chunks AS (SELECT c.*, embedding FROM corpus c JOIN embeddings ON vec_id = chunk_seq)"
+CHUNKS = CORPUS + ", chunks AS (SELECT c.*, embedding FROM corpus c JOIN embeddings ON vec_id = chunk_seq % (SELECT count(*) FROM embeddings))"
 ASKED = """asked AS (SELECT item_id AS query_id, text, embedding AS qvec, CASE item_id % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'symbol' ELSE 'table' END AS kind, item_id % 4 = 0 AS holdout
   FROM benchmark JOIN embeddings ON vec_id = item_id)"""
 ELEMENTS = """lines AS (SELECT doc_id AS d, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -132,7 +142,9 @@ SELECT chunk_seq, CASE WHEN cap IS NULL AND kw IS NULL THEN plain ELSE concat_ws
 SUMMARY = f"""WITH {CORPUS} SELECT chunk_type, count(*) AS chunks, CAST(min(length(text)) AS INT) AS shortest, CAST(max(length(text)) AS INT) AS longest,
   CAST(floor(sum(length(text)) / count(*)) AS BIGINT) AS mean_length, count(*) FILTER (length(text) > 5500) AS oversized FROM corpus GROUP BY chunk_type"""
 UNION = f"WITH {CORPUS} SELECT chunk_seq, chunk_type, CASE WHEN chunk_type = 'text' THEN 1 END AS text_only, CASE WHEN chunk_type = 'table' THEN 1 END AS table_only, CASE WHEN chunk_type = 'image' THEN 1 END AS image_only FROM corpus"
-IDF = BASE + f" SELECT term, df, {ROUND('idf')} FROM idf"
+_TEXT = "coalesce(title, '') || ' ' || text"
+LEXICAL = f"WITH {CORPUS}, chunks AS (SELECT * FROM corpus), {ASKED}, {_bm25('', _TEXT)}"
+IDF = LEXICAL + f" SELECT term, df, {ROUND('idf')} FROM idf"
 
 
 def _top(frm: str, score: str, k: int, columns: str, where: str = "") -> str:
@@ -140,7 +152,7 @@ def _top(frm: str, score: str, k: int, columns: str, where: str = "") -> str:
 
 
 _KEYS = "query_id, rank, chunk_seq, round(score_, 6) AS score"
-BM25 = BASE + " " + _top("bm", "s", 10, _KEYS)
+BM25 = LEXICAL + " " + _top("bm", "s", 10, _KEYS)
 DENSE = BASE + " " + _top("pair", "cos", 10, _KEYS)
 FILTERED = BASE + " " + _top("pair JOIN chunks USING (chunk_seq)", "cos", 10, _KEYS, "WHERE chunk_type = 'table'")
 MINMAX = BASE + f" SELECT query_id, chunk_seq, {ROUND('cos')}, {ROUND('bm25')}, {ROUND('norm_cos')}, {ROUND('norm_bm25')} FROM norm"
@@ -193,23 +205,34 @@ GOLD = """, hold AS (SELECT DISTINCT query_id, page FROM chunks c JOIN asked a O
 gold AS (SELECT query_id, page, max(grade) AS grade FROM (SELECT query_id, page, 2 AS grade FROM hold UNION ALL SELECT query_id, page + 1, 1 FROM hold) GROUP BY ALL)"""
 
 
-def _evaluated(score: str, frm: str = "norm", by: str = "query_id", base: str = BASE) -> str:
-    """CTEs that end in per(by, measures, first_rank), from the 40 best chunks."""
+def _evaluated(score: str, frm: str = "norm", by: str = "query_id", base: str = BASE, ks: tuple[int, ...] = (1, 3, 5, 10), pool: int = 40, tuning: bool = False, pages: str = "") -> str:
+    """CTEs that end in per(by, measures, first_rank), from the `pool` best chunks, or from ranked pages."""
     rest = ", ".join(c for c in by.split(", ") if c != "query_id")
-    gold = f"(SELECT DISTINCT {by} FROM pages) k JOIN gold USING (query_id)" if rest else "gold"
-    ks = ", ".join(f"max(coalesce(CAST(page_rank <= {k} AS INT), 0)) AS hit_{k}, sum(coalesce(CAST(page_rank <= {k} AS INT), 0)) / count(*) AS recall_{k}" for k in (1, 3, 5, 10))
+    some = "(SELECT gold.* FROM gold JOIN asked USING (query_id) WHERE NOT holdout)" if tuning else "gold"
+    gold = f"(SELECT DISTINCT {by} FROM pages) k JOIN {some} USING (query_id)" if rest else some
+    each = ", ".join(f"max(coalesce(CAST(page_rank <= {k} AS INT), 0)) AS hit_{k}, sum(coalesce(CAST(page_rank <= {k} AS INT), 0)) / count(*) AS recall_{k}" for k in ks)
+    found = pages or f"""hits AS (SELECT {by}, page, row_number() OVER (PARTITION BY {by} ORDER BY round({score}, 9) DESC, chunk_seq) AS rank FROM {frm} JOIN (SELECT chunk_seq, page FROM chunks) USING (chunk_seq) QUALIFY rank <= {pool}),
+pages AS (SELECT {by}, page, row_number() OVER (PARTITION BY {by} ORDER BY min(rank)) AS page_rank FROM hits GROUP BY {by}, page)"""
     return (
         base
         + GOLD
-        + f""", hits AS (SELECT {by}, page, row_number() OVER (PARTITION BY {by} ORDER BY round({score}, 9) DESC, chunk_seq) AS rank FROM {frm} JOIN (SELECT chunk_seq, page FROM chunks) USING (chunk_seq) QUALIFY rank <= 40),
-pages AS (SELECT {by}, page, row_number() OVER (PARTITION BY {by} ORDER BY min(rank)) AS page_rank FROM hits GROUP BY {by}, page),
+        + f""", {found},
 met AS (SELECT {by}, page, grade, page_rank, row_number() OVER (PARTITION BY {by} ORDER BY grade DESC) AS ideal FROM {gold} LEFT JOIN pages USING ({by}, page)),
-per AS (SELECT {by}, {ks}, CASE WHEN sum(CASE WHEN ideal <= 5 THEN grade / log2(ideal + 1) ELSE 0 END) > 0 THEN
+per AS (SELECT {by}, {each}, CASE WHEN sum(CASE WHEN ideal <= 5 THEN grade / log2(ideal + 1) ELSE 0 END) > 0 THEN
   sum(CASE WHEN page_rank <= 5 THEN grade / log2(page_rank + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 5 THEN grade / log2(ideal + 1) ELSE 0 END) ELSE 0 END AS ndcg,
   CAST(min(page_rank) AS INT) AS first_rank FROM met GROUP BY {by})"""
     )
 
 
+def _averaged(group: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> str:
+    names = [*[f"hit_{k}" for k in ks], *[f"recall_{k}" for k in ks], "ndcg"]
+    return f" SELECT {group}, count(*) AS queries, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in names) + f" FROM per GROUP BY {group}"
+
+
+def _grid(name: str, steps: int) -> str:
+    return f"(SELECT CAST(unnest(range({steps + 1})) AS DOUBLE) / {steps} AS {name})"
+
+
 _HY = "0.6 * norm_cos + 0.4 * norm_bm25"
 _MEASURES = ("hit_1", "hit_3", "recall_5", "recall_10", "ndcg")
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in _MEASURES)
@@ -220,7 +243,7 @@ MISSES = (
     _evaluated(_HY)
     + """ SELECT grade, count(*) AS gold, count(*) FILTER (page_rank <= 5) AS found, count(*) FILTER (coalesce(page_rank, 99) > 5) AS missed, count(*) FILTER (page_rank BETWEEN 6 AND 10) AS recovered FROM met GROUP BY grade"""
 )
-PAGE_MIX = f"""WITH {CHUNKS}, n AS (SELECT page, chunk_type, left(chunk_type, 3) || count(*) AS s FROM chunks GROUP BY page, chunk_type)
+PAGE_MIX = f"""WITH {CORPUS}, n AS (SELECT page, chunk_type, left(chunk_type, 3) || count(*) AS s FROM corpus GROUP BY page, chunk_type)
 SELECT page, string_agg(s, '/' ORDER BY chunk_type) AS composition FROM n GROUP BY page"""
 MISSED = _evaluated(_HY) + " SELECT query_id, page, grade FROM met WHERE coalesce(page_rank, 99) > 5"
 WORST = _evaluated(_HY) + " SELECT query_id, round(ndcg, 6) AS ndcg FROM per ORDER BY round(per.ndcg, 9), query_id LIMIT 10"
@@ -245,3 +268,112 @@ SECTION_STATS = f"WITH {CORPUS}, s AS (SELECT title, count(*) AS n FROM corpus W
 MEDIAN = "SELECT lang, CAST(median(n_chars) AS DOUBLE) AS median_chars FROM documents GROUP BY lang"
 DUPLICATES = "SELECT sha256(text) AS chunk_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1"
 REGISTER = f"WITH {CORPUS} SELECT title AS doc_id, max(page) AS pages, count(*) AS chunks FROM corpus GROUP BY title"
+DEEP = (1, 3, 5, 10, 20)
+SECTION_EVAL = _evaluated(
+    "score", "swept", "decay, query_id",
+    HYBRID + """, swept AS (SELECT query_id, chunk_seq, CAST(decay AS DOUBLE) AS decay, CASE WHEN decay > 0 AND trim(title) <> '' AND count(*) OVER g BETWEEN 2 AND 8 THEN greatest(base, decay * max(base) OVER g) ELSE base END AS score
+  FROM fused CROSS JOIN (SELECT unnest([0.0, 0.85]::DOUBLE[]) AS decay) WINDOW g AS (PARTITION BY query_id, trim(title), decay))""",
+    DEEP, 104,
+) + _averaged("decay", DEEP)
+_PASSAGE = PASSAGE[: PASSAGE.index(" SELECT query_id, rank")]
+_METADATA = METADATA[: METADATA.index(" SELECT query_id, rank")]
+
+
+def _second(base: str, pairs: str, other: str, name: str, steps: int, ks: tuple[int, ...], pool: int, tuning: bool) -> str:
+    frm = f"(SELECT * FROM {pairs} CROSS JOIN {_grid(name, steps)})"
+    return _evaluated(f"((1 - {name}) * ({_HY}) + {name} * {other})", frm, f"{name}, query_id", base, ks, pool, tuning) + _averaged(name, ks)
+
+
+_P = (_PASSAGE, "norm JOIN hn USING (query_id, chunk_seq)", "nh", "beta")
+PASSAGE_EVAL = _second(*_P, 2, (1, 3, 5, 10), 40, False)
+PASSAGE_SWEEP = _second(*_P, 5, (1, 3, 5, 10), 40, True)
+_M = (_METADATA, "norm JOIN (SELECT query_id, chunk_seq, 0.6 * norm_cos + 0.4 * norm_bm25 AS mh FROM mnorm) m USING (query_id, chunk_seq)", "mh", "gamma")
+METADATA_EVAL = _second(*_M, 2, DEEP, 104, False)
+METADATA_SWEEP = _second(*_M, 10, DEEP, 104, True)
+_RERANKED = RERANK[: RERANK.index("SELECT query_id, page, CAST(row_number()")].rstrip()
+
+
+def _rerank(steps: int, tuning: bool = False, where: str = "") -> str:
+    pages = f"""pages AS (SELECT share, query_id, page, row_number() OVER (PARTITION BY share, query_id ORDER BY round((1 - share) * na + share * nb, 9) DESC, i) AS page_rank
+  FROM n CROSS JOIN {_grid("share", steps)} {where})"""
+    return _evaluated("", by="share, query_id", base=_RERANKED, tuning=tuning, pages=pages)
+
+
+RERANK_EVAL = _rerank(2) + _averaged("share")
+RERANK_SWEEP = _rerank(5, True) + _averaged("share")
+WORST_RERANKED = _rerank(1, where="WHERE share = 1") + " SELECT query_id, coalesce(first_rank, 99) AS first_rank FROM per ORDER BY coalesce(first_rank, 99) DESC, query_id LIMIT 8"
+
+
+def _strict(hits: str, base: str = BASE, by: str = "query_id") -> str:
+    ks = ", ".join(f"CAST(coalesce(first_rank <= {k}, FALSE) AS INT) AS recall_{k}" for k in (1, 3, 5))
+    rest = by.replace(", query_id", "") if ", " in by else ""
+    asked = f"(SELECT DISTINCT {by} FROM hits) JOIN (SELECT DISTINCT query_id FROM gold) USING (query_id)" if rest else "(SELECT DISTINCT query_id FROM gold)"
+    return base + GOLD + f""", hits AS ({hits}), firsts AS (SELECT {by}, CAST(min(rank) AS INT) AS first_rank FROM hits JOIN gold USING (query_id, page) GROUP BY {by}),
+per AS (SELECT {by}, {ks}, first_rank FROM {asked} LEFT JOIN firsts USING ({by}))"""
+
+
+_EACH_MODE = " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, chunk_seq, {x} AS score FROM norm" for m, x in (("vector", "norm_cos"), ("bm25", "norm_bm25"), ("hybrid", _HY)))
+STRICT = _strict(f"SELECT mode, query_id, page, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, chunk_seq) AS rank FROM ({_EACH_MODE}) JOIN (SELECT chunk_seq, page FROM chunks) USING (chunk_seq) QUALIFY rank <= 5", by="mode, query_id")
+STRICT += " SELECT mode, count(*) AS queries, round(avg(recall_1), 6) AS recall_1, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5 FROM per GROUP BY mode"
+_DENSE_ONLY = "SELECT query_id, page, chunk_type, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, chunk_seq) AS rank FROM pair JOIN (SELECT chunk_seq, page, chunk_type FROM chunks) USING (chunk_seq) WHERE chunk_type IN ('text', 'table') QUALIFY rank <= 5"
+DENSE_EVAL = _strict(_DENSE_ONLY) + " SELECT query_id, recall_1, recall_3, recall_5, coalesce(first_rank, 0) AS first_rank FROM per"
+DENSE_TYPES = BASE + f" SELECT chunk_type, count(*) AS n FROM ({_DENSE_ONLY}) WHERE rank = 1 GROUP BY chunk_type"
+TUNING_ALPHA = _evaluated("alpha * norm_cos + (1 - alpha) * norm_bm25", f"norm CROSS JOIN {_grid('alpha', 10)}", "alpha, query_id", tuning=True) + _averaged("alpha")
+_MIX = "n AS (SELECT page, chunk_type, left(chunk_type, 3) || count(*) AS s FROM corpus {0} GROUP BY page, chunk_type), mix AS (SELECT page, string_agg(s, '/' ORDER BY chunk_type) AS composition FROM n GROUP BY page)"
+PROFILE = f"WITH {CHUNKS}, {ASKED}{GOLD}, " + _MIX.format("WHERE chunk_seq % 20 < 10") + " SELECT query_id, page, grade, coalesce(composition, 'NOT INDEXED') AS composition FROM gold LEFT JOIN mix USING (page)"
+MISSES_BY_KIND = _evaluated(_HY) + " SELECT kind, count(*) AS missed FROM met JOIN asked USING (query_id) WHERE coalesce(page_rank, 99) > 5 GROUP BY kind"
+MOST_MISSED = (
+    _evaluated(_HY) + ", " + _MIX.format("")
+    + ", top AS (SELECT page, count(*) AS missed FROM met WHERE coalesce(page_rank, 99) > 5 GROUP BY page ORDER BY missed DESC, page LIMIT 10) SELECT page, missed, coalesce(composition, 'NOT INDEXED') AS composition FROM top LEFT JOIN mix USING (page)"
+)
+ROUNDED = PAGES[: PAGES.index(",\nfirsts AS")] + " SELECT query_id, page, round(abs(round(score, 4) - score), 4) AS off FROM kept"
+STOP_UNION = f"SELECT DISTINCT unnest(list_concat({_KEYWORD_STOP}, ['which', 'datasheet', 'via'])) AS word"
+COLLECTIONS = f"""WITH {CHUNKS.replace(", chunks AS (", ", every AS (")}, chunks AS (SELECT chunk_seq % 3 + 1 AS collection, chunk_seq // 3 AS chunk_seq, title, text, embedding FROM every), {ASKED},
+q AS (SELECT *, query_id % 3 + 1 AS collection FROM asked),
+tf AS (SELECT collection, chunk_seq, term, count(*) AS tf FROM (SELECT collection, chunk_seq, unnest({_tokens("coalesce(title, '') || ' ' || text")}) AS term FROM chunks) GROUP BY ALL),
+dl AS (SELECT collection, chunk_seq, coalesce(sum(tf), 0) AS dl FROM chunks LEFT JOIN tf USING (collection, chunk_seq) GROUP BY ALL),
+st AS (SELECT collection, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY collection),
+raw AS (SELECT collection, term, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM tf JOIN st USING (collection) GROUP BY collection, term),
+idf AS (SELECT collection, term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER (PARTITION BY collection) ELSE raw END AS idf FROM raw),
+qt AS (SELECT query_id, collection, term, count(*) AS qtf FROM (SELECT query_id, collection, unnest({_tokens("text")}) AS term FROM q) GROUP BY ALL),
+bm AS (SELECT query_id, collection, chunk_seq, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s
+  FROM qt JOIN tf USING (collection, term) JOIN idf USING (collection, term) JOIN dl USING (collection, chunk_seq) JOIN st USING (collection) GROUP BY ALL),
+pair AS (SELECT query_id, c.collection, c.chunk_seq, title, {_DOT.format(a="embedding", b="qvec")} AS cos, coalesce(s, 0) AS bm25
+  FROM q JOIN chunks c USING (collection) LEFT JOIN bm USING (query_id, collection, chunk_seq)),
+norm AS (SELECT *, 0.6 * CASE WHEN max(cos) OVER w - min(cos) OVER w < 1e-12 THEN 0 ELSE (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) END
+  + 0.4 * CASE WHEN max(bm25) OVER w - min(bm25) OVER w < 1e-12 THEN 0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS base FROM pair WINDOW w AS (PARTITION BY query_id)),
+lifted AS (SELECT *, CASE WHEN trim(title) <> '' AND count(*) OVER g BETWEEN 2 AND 4 THEN greatest(base, 0.5 * max(base) OVER g) ELSE base END AS score FROM norm WINDOW g AS (PARTITION BY query_id, trim(title)))
+SELECT query_id, CAST(collection AS INT) AS collection, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_seq) AS INT) AS rank, chunk_seq, round(score, 6) AS score, round(cos, 6) AS cos, round(bm25, 6) AS bm25
+FROM lifted QUALIFY rank <= 10"""
+HTML_TABLE = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+SELECT n_regionkey, string_agg('| ' || n_name || ' | ' || n_nationkey || ' |' || CASE WHEN i = 1 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY i) AS markdown FROM r GROUP BY n_regionkey"""
+# parts are looked up in the running sums of row lengths; a row of the recursion is a part
+SPLIT = r"""
+WITH RECURSIVE p AS (SELECT p_partkey % 10 AS g, p_partkey AS k, replace(CAST(p_partkey AS VARCHAR), '|', '\|') || ' | ' || p_name || ' | ' || p_brand || ' | ' || p_type AS cells FROM part),
+rows_ AS (SELECT g, '| ' || cells || ' |' AS r, row_number() OVER (PARTITION BY g ORDER BY k) AS i FROM p),
+t AS (SELECT g, 'Table ' || g AS caption, max(CASE WHEN i = 1 THEN r END) || chr(10) || '| --- | --- | --- | --- |' || chr(10) AS head,
+  coalesce(list(r ORDER BY i) FILTER (i > 1), []) AS body FROM rows_ GROUP BY g),
+u AS (SELECT *, list_concat([0], list_transform(range(1, len(body) + 1), lambda x: list_sum(list_transform(body[1:x], lambda r: length(r) + 1)))) AS sums, 5000 - length(caption) - 2 - length(head) AS room FROM t),
+cut AS (SELECT g, 0 AS a, least(len(body), greatest(1, len(list_filter(sums, lambda x: x <= room + 1)) - 1)) AS z, 1 AS part FROM u WHERE length(caption) + 2 + length(head) + list_last(sums) - 1 > 5000 AND len(body) > 0
+UNION ALL SELECT g, b.a, greatest(c.z + 1, len(list_filter(sums, lambda x: x <= u.sums[b.a + 1] + room + 1)) - 1), part + 1
+FROM cut c JOIN u USING (g), LATERAL (SELECT greatest(c.a, least(c.z - 1, len(list_filter(u.sums, lambda x: x < u.sums[c.z + 1] - 500)))) AS a) b WHERE c.z < len(u.body)),
+n AS (SELECT g, count(*) AS parts FROM cut GROUP BY g)
+SELECT g AS table_id, CAST(part AS INT) AS part, CAST(parts AS INT) AS parts, caption || ' (part ' || part || '/' || parts || ')' || chr(10) || chr(10) || head || array_to_string(body[a + 1 : z], chr(10)) AS text FROM cut JOIN n USING (g) JOIN u USING (g)
+UNION ALL SELECT g, 1, 1, caption || chr(10) || chr(10) || head || array_to_string(body, chr(10)) FROM u WHERE g NOT IN (SELECT g FROM cut)
+"""
+OVERLAP = f"""
+WITH RECURSIVE {CORPUS}, o AS (SELECT page AS doc_id, chunk_type, chunk_seq % 2 + 1 AS part, text, row_number() OVER (PARTITION BY page ORDER BY CASE chunk_type WHEN 'text' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, chunk_seq) - 1 AS i FROM corpus),
+f AS (SELECT doc_id, i, chunk_type, text, CAST(NULL AS VARCHAR) AS core_text, 0 AS n FROM o WHERE i = 0
+UNION ALL SELECT o.doc_id, o.i, o.chunk_type, CASE WHEN b.borrows THEN tail || chr(10) || chr(10) || o.text ELSE o.text END, CASE WHEN b.borrows THEN o.text END, CASE WHEN b.borrows THEN CAST(length(tail) AS INT) ELSE 0 END
+FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1, LATERAL (SELECT {_strip("right(f.text, 500)")} AS tail) t, LATERAL (SELECT tail <> '' AND (o.chunk_type = 'image' OR (o.chunk_type = 'table' AND o.part = 1)) AS borrows) b)
+SELECT doc_id, CAST(i AS INT) AS chunk_seq, chunk_type, text, core_text, n AS overlap_prefix_chars, CAST(length(text) AS INT) AS char_count FROM f
+"""
+TABLE_SOURCES = f"""WITH {ELEMENTS}, fit AS (SELECT *, CASE WHEN t <> '' AND length(t) <= 400 AND (category = 'FigureCaption' OR regexp_matches(t, '(?i)^(table|tbl|exhibit)')) THEN t END AS c FROM (SELECT *, {_strip("text")} AS t FROM elements)),
+near AS (SELECT *, coalesce({", ".join(f"CASE WHEN lag(page, {-k}) OVER w IS NOT DISTINCT FROM page THEN lag(c, {-k}) OVER w END" for k in (-1, -2, 1, 2))}, '') AS caption FROM fit WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS n, count(*) FILTER (idx % 2 = 0) OVER (PARTITION BY doc_id, page) AS layer FROM near WHERE category = 'Table')
+SELECT doc_id, CASE WHEN n <= layer THEN 'text_layer' ELSE 'ocr_html' END AS table_source, count(*) AS tables, count(*) FILTER (caption <> '') AS captioned FROM e WHERE n <= layer OR t <> '' GROUP BY ALL"""
+LAYER = _boilerplate(0.1) + f""", l AS (SELECT doc_id, page, idx, text, CASE WHEN idx % 2 = 0 THEN text ELSE text || '!' END AS other FROM elements WHERE category = 'FigureCaption'),
+lk AS (SELECT doc_id, page, {_collapse("text")} || {_collapse("other")} AS any_cell, [regexp_replace(lower({_collapse("x")}), '\\p{{Nd}}+', '#', 'g') FOR x IN [text || ' ' || other, text, other]] AS keys FROM l),
+s AS (SELECT doc_id, list(key) AS bad FROM bp GROUP BY doc_id),
+j AS (SELECT lk.*, coalesce(bad, []) AS bad FROM lk LEFT JOIN s USING (doc_id))
+SELECT doc_id, page, count(*) AS tables, CAST(count(*) - 1 AS INT) AS last FROM j WHERE NOT list_contains(bad, keys[1]) AND NOT (list_contains(bad, keys[2]) AND list_contains(bad, keys[3])) AND any_cell <> '' GROUP BY doc_id, page"""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ CHUNK_SCHEMA = (
     "generated_caption_used:boolean,ocr_keywords:array<string>,ocr_raw_char_count:int,image_base64:string,image_mime_type:string,"
     "core_text:string,overlap_prefix_chars:int>"
 )
+_FIELDS = CHUNK_SCHEMA.replace(" string", ":string", 3).replace("metadata struct", "metadata:struct")
+ELEMENTS = "doc_id string, idx int, page int, category string, text string, text_as_html string, image_base64 string, image_mime_type string"
 REGISTRY = "doc_id string, name string, pdf_path string, chunks_path string, collection string, pages int, chunks int, status string, message string, progress string, is_sample boolean, created double"
 
 
@@ -43,28 +50,84 @@ def not_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
     return partition_key(files).join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def text_tables(tables: DataFrame, boilerplate: Column | None = None) -> DataFrame:
-    """Tables (doc_id, page, n, rows) of two rows or more that aren't all boilerplate."""
-    kept = tables.where(F.size("rows") >= 2)
-    return kept if boilerplate is None else kept.where(~F.forall("rows", lambda r: F.array_contains(boilerplate, F.array_join(r, " "))))
+def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    """(path, modificationTime, length, content) of the files of a folder, by a reader that any store has."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, keep_images: bool = True) -> None:
-    """Chunks as JSON lines, without image payloads if so asked."""
-    (chunks if keep_images else chunks.withColumn("metadata", F.col("metadata").dropFields("image_base64"))).write.mode("overwrite").json(path)
+def parse_files(files: DataFrame, parser: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Layout elements of files, by an injected parser: bytes to a list of {page, category, text, ...}.
+
+    Beside the ELEMENTS columns: cache_key, of the file's path, size and time; parse_error, the
+    reason if the parser failed, in one row without an element.
+    """
+    fields = [x.strip().split()[0] for x in ELEMENTS.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, content in zip(batch["cache_key"], batch["content"], strict=True):
+                rows, error = [], None
+                try:
+                    rows = parser(bytes(content))
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                out = [[key, i, *[r.get(c) for c in fields[2:]], key, None] for i, r in enumerate(rows)] or [[key, *[None] * (len(fields) - 1), key, error]]
+                yield pd.DataFrame(out, columns=[*fields, "cache_key", "parse_error"], dtype=object)
+
+    return partition_key(files).select("cache_key", "content").mapInPandas(run, f"{ELEMENTS}, cache_key string, parse_error string")
+
+
+def parsed(spark: SparkSession, folder: str, cache: str, parser: Callable[[bytes], list[dict]], glob: str = "*.pdf") -> DataFrame:
+    """Elements of a folder's files: from the cache, a Parquet table, where their keys are in it; others are parsed and added to it."""
+    files = binary_files(spark, folder, glob)
+    schema = f"{ELEMENTS}, cache_key string, parse_error string"
+    known = spark.read.schema(schema).parquet(cache) if _there(spark, cache) else spark.createDataFrame([], schema)
+    fresh = not_cached(files.drop("cache_key"), known.where("parse_error is null").select("cache_key").distinct())
+    parse_files(fresh.drop("cache_key"), parser).write.mode("append").parquet(cache)
+    mine = partition_key(files.drop("content")).select("cache_key")
+    return spark.read.schema(schema).parquet(cache).join(mine, "cache_key", "left_semi").where("parse_error is null and idx is not null")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); where they are one process, in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="leafsight-")
+        atexit.register(shutil.rmtree, root, True)
+    return f"{root.rstrip('/')}/leafsight-{tag}-{uuid.uuid4().hex}"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def write_chunks(chunks: DataFrame, path: str, keep_images: bool = True, array: bool = False) -> None:
+    """Chunks as JSON lines, or as one JSON array (of a document, in one row), without image payloads if so asked."""
+    kept = chunks if keep_images else chunks.withColumn("metadata", F.col("metadata").dropFields("image_base64"))
+    if array:
+        row = F.to_json(F.struct(*kept.columns), {"ignoreNullFields": "false"})
+        kept.agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        kept.write.mode("overwrite").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON arrays or lines, in one fixed schema."""
-    return spark.read.option("multiLine", True).schema(CHUNK_SCHEMA).json(path)
+    """Chunks of JSON arrays or lines, in one fixed schema: a file that begins with a bracket is an array."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"), F.regexp_like("value", F.lit(r"^\s*\[")).alias("array"))
+    arrays = text.where("array").select(F.explode(F.from_json("value", f"array<struct<{_FIELDS}>>")).alias("c")).select("c.*")
+    lines = text.where("not array").select(F.explode(F.split("value", "\n")).alias("v")).where(F.trim("v") != "").select(F.from_json("v", CHUNK_SCHEMA).alias("c")).select("c.*")
+    return arrays.unionByName(lines)
 
 
 def index_rows(chunks: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
-    """Chunks (chunk_id, chunk_type, text, metadata) as rows of the index, with vectors by `encode`, an expression or pandas UDF."""
+    """Chunks (chunk_id, chunk_type, text, metadata, doc_id if they have it) as rows of the index, with vectors by `encode`, an expression or pandas UDF."""
     m = F.col("metadata")
     page = F.coalesce(F.nullif(m["page_number"], F.lit(0)), F.lit(-1))
     return chunks.select(
-        "chunk_id", "chunk_type", "text", page.alias("page"), F.coalesce(m["title"], F.lit("")).alias("title"), F.length("text").alias("char_count"),
+        *(["doc_id"] if "doc_id" in chunks.columns else []), "chunk_id", "chunk_type", "text", page.alias("page"), F.coalesce(m["title"], F.lit("")).alias("title"), F.length("text").alias("char_count"),
         m["table_caption"].alias("table_caption"), m["table_part"].alias("table_part"), m["table_parts_total"].alias("table_parts_total"), m["caption"].alias("caption"),
         m["image_mime_type"].alias("image_mime_type"), m["overlap_prefix_chars"].alias("overlap_prefix_chars"),
         blank_to_null(F.array_join(m["ocr_keywords"], ", ")).alias("ocr_keywords"), blank_to_null(m["core_text"]).alias("core_text"),
@@ -76,11 +139,15 @@ def duplicates(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def write_index(rows: DataFrame, path: str, doc_id: str) -> None:
-    """Replace one document's partition of the index; repeated ids are refused."""
-    if (bad := duplicates(rows).first()) is not None:
+def write_index(rows: DataFrame, path: str, doc_id: str | None = None) -> None:
+    """Replace the documents' partitions of the index, all in one write; chunk ids repeated within a document are refused.
+
+    The documents are those of the column doc_id, or the one that is named.
+    """
+    rows = rows if doc_id is None else rows.withColumn("doc_id", F.lit(doc_id))
+    if (bad := rows.groupBy("doc_id", "chunk_id").count().where("count > 1").first()) is not None:
         raise StoreError(f"repeated chunk id {bad['chunk_id']}")
-    rows.withColumn("doc_id", F.lit(doc_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
 
 
 def scan_index(spark: SparkSession, path: str, doc_id: str | None = None, types: list[str] | None = None) -> DataFrame:
@@ -94,6 +161,60 @@ def register(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.max(F.coalesce("page", F.lit(0))).alias("pages"), F.count(F.lit(1)).alias("chunks"))
 
 
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """All documents' entries; none if there is no registry yet."""
+    return spark.read.schema(REGISTRY).parquet(path) if _there(spark, path) else spark.createDataFrame([], REGISTRY)
+
+
+def save_registry(entries: DataFrame, path: str) -> None:
+    """Write the registry anew: a few hundred bytes a document, read whole before it is replaced."""
+    spark = entries.sparkSession
+    held = spark.createDataFrame(entries.collect(), REGISTRY)
+    held.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def put_entry(spark: SparkSession, path: str, **fields: object) -> None:
+    """Add a document's entry, or change the fields given of the one it has."""
+    names = [x.split()[0] for x in REGISTRY.split(", ")]
+    now = load_registry(spark, path)
+    old = now.where(F.col("doc_id") == fields["doc_id"]).first()
+    row = (old.asDict() if old else dict.fromkeys(names) | {"pages": 0, "chunks": 0, "status": "ready", "message": "", "progress": "", "is_sample": False}) | fields
+    save_registry(now.where(F.col("doc_id") != fields["doc_id"]).unionByName(spark.createDataFrame([tuple(row[c] for c in names)], REGISTRY)), path)
+
+
+def register_sample(spark: SparkSession, path: str, pdf_path: str, chunks_path: str, collection: str, name: str, created: float = 0.0) -> dict | None:
+    """The sample document's entry, made if there is none; None if its files aren't there."""
+    there = load_registry(spark, path).where("is_sample").first()
+    if there is not None:
+        return there.asDict()
+    if not (_there(spark, pdf_path) and _there(spark, chunks_path)):
+        return None
+    chunks = read_chunks(spark, chunks_path).select(F.lit("sample").alias("doc_id"), F.col("metadata.page_number").alias("page"))
+    counts = register(chunks).first()
+    put_entry(
+        spark, path, doc_id="sample", name=name, pdf_path=pdf_path, chunks_path=chunks_path, collection=collection,
+        pages=counts["pages"] if counts else 0, chunks=counts["chunks"] if counts else 0, is_sample=True, created=created,
+    )
+    return load_registry(spark, path).where("is_sample").first().asDict()
+
+
+def index_document(spark: SparkSession, registry: str, doc_id: str, index: str, chunk: Callable[[], DataFrame], encode: Callable[[Column], Column]) -> str:
+    """Chunk and index one document, its entry going from indexing to ready, or to error with the reason; the status.
+
+    `chunk` gives (chunk_id, chunk_type, text, metadata). The entry says at each step what is done.
+    """
+    try:
+        put_entry(spark, registry, doc_id=doc_id, status="indexing", message="", progress="parsing pages and extracting tables and figures")
+        rows = chunk()
+        put_entry(spark, registry, doc_id=doc_id, chunks=rows.count(), progress="encoding chunks")
+        write_index(index_rows(rows, encode), index, doc_id)
+        put_entry(spark, registry, doc_id=doc_id, status="ready", message="", progress="")
+        return "ready"
+    except Exception as e:
+        put_entry(spark, registry, doc_id=doc_id, status="error", message=f"{type(e).__name__}: {e}", progress="")
+        return "error"
+
+
 def listed(registry: DataFrame) -> DataFrame:
     """Samples first, then by age."""
     return registry.orderBy(~F.col("is_sample"), "created")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import CHUNK_SCHEMA, index_rows, write_index
@@ -15,11 +14,8 @@ def ingest(spark: SparkSession, folder: str, index: str, state: str, encode: Cal
     """Index every new file of `folder` (JSON lines with doc_id), then stop; a rerun takes up what is new."""
 
     def put(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        # a document's rows replace those it had
-        for r in batch.select("doc_id").distinct().toLocalIterator():
-            write_index(index_rows(batch.where(F.col("doc_id") == r["doc_id"]), encode), index, r["doc_id"])
-        batch.unpersist()
+        # one write: the partitions of the documents in it are replaced, others stay
+        write_index(index_rows(batch, encode), index)
 
     rows = spark.readStream.schema("doc_id string, " + CHUNK_SCHEMA).json(folder)
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
