@@ -35,6 +35,76 @@ def test_parts_repeat_header_and_share_rows():
         assert shared and sum(len(r) + 1 for r in shared) <= 500
 
 
+def by_rows(markdown, caption, hard, overlap):
+    """Parts taken row by row, for comparison."""
+    head, rows = "\n".join(markdown.split("\n")[:2]) + "\n", markdown.split("\n")[2:]
+    lead = (caption + "\n\n" if caption else "") + head
+    if len(lead) + len("\n".join(rows)) <= hard:
+        return [rows]
+    out, now, new = [], [], 0
+    for r in rows:
+        if new and len(lead) + len("\n".join([*now, r])) > hard:
+            out.append(now)
+            k = len(now) - 1
+            while k > 0 and sum(len(x) + 1 for x in now[k - 1 :]) <= overlap:
+                k -= 1
+            now, new = now[k:], 0
+        now, new = [*now, r], new + 1
+    return [*out, now] if new else out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 120), max_size=40), st.integers(20, 300), st.integers(0, 200), st.sampled_from(["", "T", " Table 1 "]))
+def test_parts_are_those_taken_row_by_row(lengths, hard, overlap, caption):
+    markdown = "\n".join(["| h |", "| --- |", *("x" * n for n in lengths)])
+    got = chunking.split_markdown_table(markdown, caption, hard, overlap)
+    want = by_rows(markdown, caption.strip(), hard, overlap)
+    assert [p.split("\n")[4 if caption else 2 :] for p in got] == (want if lengths else [[""]] if hard >= len(markdown) + 1 + (len(caption.strip()) + 2 if caption else 0) else [p.split("\n")[4 if caption else 2 :] for p in got])
+
+
+def test_a_table_at_the_limit_is_one_part():
+    rows = HEAD + "\n" + "x" * (5000 - len(HEAD) - 1)
+    assert chunking.split_markdown_table(rows) == [rows] and chunking.split_markdown_table("one line", " T ") == ["T\n\none line"]
+
+
+def test_documents_are_chunked_whole(spark):
+    rows, n = [], 0
+
+    def add(doc, page, category, text, html=None, image=None):
+        nonlocal n
+        rows.append((doc, n, page, category, text, html, image, None))
+        n += 1
+
+    names = ["", "Intro", "Power", "Timing", "Package", "Orders"]
+    for doc in ("a", "b"):
+        for page in range(1, 6):
+            add(doc, page, "Header", f"Page {page} of the manual")
+            add(doc, page, "Title", names[page])
+            add(doc, page, "NarrativeText", f"word{page} " * 200)
+            add(doc, page, "NarrativeText", f"Table of {names[page]}")
+            add(doc, page, "Table", "raw cells", "<table><tr><td>A<td>B</tr><tr><td>1<td>2</tr></table>" if page != 2 else None)
+            add(doc, page, "Image", None, None, "QUJD" if page != 3 else "not base64!")
+            add(doc, page, "FigureCaption", f"Figure of {names[page]}. Shape")
+    spark_rows = spark.createDataFrame(rows, "doc_id string, idx int, page int, category string, text string, text_as_html string, image_base64 string, image_mime_type string")
+    layer = [("a", 1, 0, [["Page 1 of the", "manual"], ["page 9 of the manual"]]), ("a", 1, 1, [["X", "Y"], ["3", None]]), ("a", 2, 0, [["only one row"]])]
+    tables = spark.createDataFrame(layer, "doc_id string, page int, n int, rows array<array<string>>")
+    got = chunking.chunk_documents(spark_rows, tables, captioner=F.lit("A drawing. It has lines."), ocr=F.lit("Vcc pin the")).orderBy("doc_id", "chunk_seq").collect()
+    by = {k: [r for r in got if r["doc_id"] == "a" and r["chunk_type"] == k] for k in ("text", "table", "image")}
+    assert [r["chunk_seq"] for r in got if r["doc_id"] == "a"] == list(range(sum(map(len, by.values())))) and len({r["chunk_id"] for r in got}) == len(got)
+    assert not any("of the manual" in r["text"] for r in by["text"]) and by["text"][0]["title"] == "Intro"
+    first, second = by["table"][:2]
+    assert first["table_source"] == "text_layer" and (first["core_text"] or first["text"]).endswith("| X | Y |\n| --- | --- |\n| 3 |  |") and first["table_caption"] == "Table of Intro"
+    assert second["table_source"] == "ocr_html" and (second["core_text"] or second["text"]).endswith("raw cells")
+    assert len(by["image"]) == 4 and by["image"][0]["core_text"] == "Figure of Intro. Shape\n\nKeywords: vcc, pin\n\nA drawing." and by["image"][0]["ocr_keywords"] == ["vcc", "pin"]
+    for a, b in zip(got, got[1:]):
+        if b["core_text"]:
+            tail = a["text"][-500:].strip()
+            assert b["text"] == f"{tail}\n\n{b['core_text']}" and b["overlap_prefix_chars"] == len(tail)
+    checked = {r["rule"]: r for r in chunking.verify_chunks(chunking.chunk_documents(spark_rows, tables)).collect()}
+    assert all(r["broken"] == 0 for k, r in checked.items() if k != "text_not_short") and checked["core_text"]["checked"] > 0
+    assert chunking.chunk_documents(spark_rows, skip_images=True, strip_repeating=False, tables_from="html").where("chunk_type = 'image' or table_source = 'text_layer'").count() == 0
+
+
 def test_small_table_stays_whole():
     assert chunking.split_markdown_table(HEAD + "\n| 1 | 2 |", "Table 1") == ["Table 1\n\n" + HEAD + "\n| 1 | 2 |"]
     assert chunking.split_markdown_table("", "x") == []

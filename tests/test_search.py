@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from leafsight.functions import hooks
 from leafsight.functions import text as T
 from leafsight.functions import vectors
 from leafsight.operators import evaluate, search
@@ -50,12 +51,12 @@ def test_types_are_left_out_after_scoring(data):
 
 def test_lift_and_pages(data):
     c, q = data
-    hits = search.fuse(search.scored(c, q)).join(c.drop("embedding", "collection"), "chunk_seq")
+    hits = search.described(search.fuse(search.scored(c, q)), c, "page", "title", "chunk_type", "text")
     base = {(r["query_id"], r["chunk_seq"]): r["score"] for r in hits.collect()}
     for r in search.lift_sections(hits).collect():
         want = max(base[r["query_id"], r["chunk_seq"]], 0.5 * max(base[r["query_id"], i] for i in (0, 1))) if r["title"] == "s" else base[r["query_id"], r["chunk_seq"]]
         assert r["score"] == pytest.approx(want)
-    got = search.pages(search.lift_sections(hits)).where("query_id = 1").orderBy("page_rank").collect()
+    got = search.pages(search.lift_sections(hits.drop('text')), c).where("query_id = 1").orderBy("page_rank").collect()
     assert got[0]["page"] == 1 and got[0]["sections"] == ["s"] and len(got[0]["evidence"]) == 2
     assert search.context(search.top(hits, 2), 10).count() == 2 and search.citations(search.top(hits, 4)).count() > 0
 
@@ -84,5 +85,115 @@ def test_store_and_stream(spark, tmp_path):
         store.accept_upload("x.txt", 3)
 
 
+def test_collections_are_apart(spark, data):
+    c, q = data
+    both = c.unionByName(c.withColumn("collection", F.lit(2)).withColumn("text", F.concat("text", F.lit(" omega"))))
+    asked = q.unionByName(spark.createDataFrame([(3, 2, "alpha beta gamma", [1.0, 0.0])], q.schema))
+    got = search.search(both, asked, 9).collect()
+    assert len(got) == 3 * len(DOCS) and all(r["collection"] == (2 if r["query_id"] == 3 else 1) for r in got)
+    alone = {(r["query_id"], r["chunk_seq"]): (r["score"], r["rank"]) for r in search.search(c, q, 9).collect()}
+    assert alone == {(r["query_id"], r["chunk_seq"]): (r["score"], r["rank"]) for r in got if r["query_id"] < 3}
+    assert {(r["query_id"], r["page"]) for r in search.pages(search.described(search.fuse(search.scored(both, asked)), both, "page", "title", "chunk_type"), both).collect()} >= {(1, 1), (3, 1)}
+
+
+def test_stored_lexicon(spark, data, tmp_path):
+    c, q = data
+    search.lexicon(c).save(str(tmp_path))
+    stored = search.Lexicon.load(spark, str(tmp_path))
+    one, two = ({(r["query_id"], r["chunk_seq"]): r["bm25"] for r in search.bm25(x, q).collect()} for x in (c, stored))
+    assert one == pytest.approx(two) and one
+
+
+def test_untitled_chunks_are_no_section(spark):
+    rows = [(1, 1, i, None if i % 2 else " ", i / 10) for i in range(6)]
+    hits = spark.createDataFrame(rows, "query_id long, collection int, chunk_seq long, title string, score double")
+    assert all(r["score"] == r["chunk_seq"] / 10 for r in search.lift_sections(hits, 0.9, 100).collect())
+
+
+def test_answers(spark, data):
+    c, q = data
+    none = spark.createDataFrame([(9, 1, "x", [1.0, 0.0])], q.schema)
+    hits = search.search(c, q, 3)
+    got = {r["query_id"]: r for r in search.answers(q.unionByName(none), hits, lambda p: F.concat(F.lit(" says "), F.length(p).cast("string")), "nothing").collect()}
+    assert got[9]["answer"] == "nothing" and got[9]["citations"] == [] and got[1]["answer"].startswith("says ") and got[1]["citations"][0]["page"] == 1
+    text = search.context(hits.where("query_id = 1")).first()["context"]
+    assert text.startswith("[page 1 - s]\nbeta gamma") and "[page 2]" in search.context(search.search(c, q, 9).where("query_id = 2")).first()["context"]
+
+
+def test_strict_recall_and_profiles(spark):
+    hits = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "query_id long, rank int, page int")
+    gold = spark.createDataFrame([(1, 6, 2), (2, 9, 1), (3, 9, 1)], "query_id long, page int, grade int")
+    r = {x["query_id"]: x for x in evaluate.strict_recall(hits, gold).collect()}
+    assert (r[1]["recall_1"], r[1]["recall_3"], r[1]["first_rank"]) == (0, 1, 2) and r[2]["recall_5"] == r[3]["recall_5"] == 0
+    mix = evaluate.page_composition(spark.createDataFrame([(6, "text"), (6, "image"), (6, "image")], "page int, chunk_type string"))
+    assert {(x["page"], x["composition"]) for x in evaluate.gold_profile(gold, mix).collect()} == {(6, "ima2/tex1"), (9, "NOT INDEXED")}
+    ranked = spark.createDataFrame([(1, 6, 1), (2, 5, 1)], "query_id long, page int, page_rank int")
+    assert [(x["page"], x["missed"]) for x in evaluate.most_missed(ranked, gold, mix).collect()] == [(9, 2)]
+
+
+CHUNK = {"page_number": 2, "title": "t", "char_count": 4, "ocr_keywords": ["a", "b"], "image_base64": "QUJD"}
+
+
+@pytest.mark.parametrize("array", [False, True])
+def test_chunk_files_round_trip(spark, tmp_path, array):
+    rows = [(f"c{i}", "text", f'line one\n[two] "{i}" é', {**dict.fromkeys(["table_part", "core_text"]), **CHUNK}) for i in range(10)]
+    df = spark.createDataFrame([(a, b, c, {k: m.get(k) for k in [f.split(":")[0] for f in store.CHUNK_SCHEMA.split("struct<")[1][:-1].replace("array<string>", "array").split(",")]}) for a, b, c, m in rows], store.CHUNK_SCHEMA)
+    store.write_chunks(df, str(tmp_path / "x"), array=array)
+    back = store.read_chunks(spark, str(tmp_path / "x"))
+    assert sorted(back.collect()) == sorted(df.collect())
+    store.write_chunks(df, str(tmp_path / "y"), keep_images=False, array=array)
+    assert store.read_chunks(spark, str(tmp_path / "y")).where("metadata.image_base64 is null").count() == 10
+
+
+def test_registry_and_states(spark, tmp_path):
+    reg = str(tmp_path / "registry")
+    assert store.load_registry(spark, reg).count() == 0
+    assert store.register_sample(spark, reg, str(tmp_path / "no.pdf"), str(tmp_path / "no"), "col", "Sample") is None
+    (tmp_path / "a.pdf").write_bytes(b"pdf")
+    (tmp_path / "chunks.json").write_text('[{"chunk_id": "1", "metadata": {"page_number": 3}}, {"chunk_id": "2", "metadata": {}}]')
+    for _ in range(2):
+        entry = store.register_sample(spark, reg, str(tmp_path / "a.pdf"), str(tmp_path / "chunks.json"), "col", "Sample")
+        assert (entry["pages"], entry["chunks"], entry["is_sample"]) == (3, 2, True)
+    rows = spark.createDataFrame([("c1", "text", "some words", None)], store.CHUNK_SCHEMA)
+    encode = lambda c: vectors.hashed_encoder(T.tokenize(c))
+    store.put_entry(spark, reg, doc_id="d1", name="d", created=2.0, status="indexing")
+    with pytest.raises(store.NotReady):
+        store.ready(store.load_registry(spark, reg), "d1")
+    assert store.index_document(spark, reg, "d1", str(tmp_path / "index"), lambda: rows, encode) == "ready"
+    assert store.index_document(spark, reg, "d2", str(tmp_path / "index"), lambda: rows.unionByName(rows), encode) == "error"
+    got = {r["doc_id"]: r for r in store.load_registry(spark, reg).collect()}
+    assert got["d1"]["status"] == "ready" and got["d1"]["chunks"] == 1 and got["d2"]["status"] == "error" and "c1" in got["d2"]["message"] and len(got) == 3
+    assert [r["doc_id"] for r in store.listed(store.load_registry(spark, reg)).collect()][0] == "sample"
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    folder, cache = tmp_path / "in", str(tmp_path / "cache")
+    folder.mkdir()
+    (folder / "a.pdf").write_bytes(b"Title one\nbody")
+    (folder / "b.pdf").write_bytes(b"bad")
+    (folder / "c.txt").write_bytes(b"no")
+
+    def parser(data):
+        if data == b"bad":
+            raise ValueError("unreadable")
+        return [{"page": 1, "category": "Title" if i == 0 else "NarrativeText", "text": t} for i, t in enumerate(data.decode().split("\n"))]
+
+    for _ in range(2):
+        got = store.parsed(spark, str(folder), cache, parser).orderBy("idx").collect()
+        assert [(r["idx"], r["category"], r["text"]) for r in got] == [(0, "Title", "Title one"), (1, "NarrativeText", "body")]
+    assert spark.read.parquet(cache).where("parse_error like 'ValueError%'").count() >= 1 and spark.read.parquet(cache).where("idx = 0").count() == 1
+
+
+def test_model_hooks(spark):
+    def load():
+        return lambda x: str(10 // x)
+
+    df = spark.createDataFrame([(5,), (0,)], "x int")
+    assert [r["y"] for r in df.select(hooks.per_worker(load, F.col("x")).alias("y")).collect()] == ["2", ""]
+    assert [r["y"] for r in df.select(hooks.per_worker(lambda: 1 / 0, F.col("x")).alias("y")).collect()] == ["", ""]
+    unit = spark.createDataFrame([("ab",), ("c",)], "t string").select(hooks.encoder(lambda: lambda ts: [[len(t), 0.0, 3.0] for t in ts], F.col("t")).alias("v")).collect()
+    assert all(math.isclose(sum(x * x for x in r["v"]), 1, rel_tol=1e-6) for r in unit)
+
+
 def test_entry_names_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
