@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import boxed, settle, without
 from .components import components
 from .shingles import shingle_sets
 
@@ -32,8 +32,8 @@ BASE, RATE = 1.1, 20.0
 MARGIN = 0.2
 _MULTS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 512
-#: Bins of the fine signature, a power of two; the largest error of its estimate, about five deviations.
-BINS, FINE_MARGIN = 4096, 0.045
+#: Bins of the fine signature, a power of two; deviations of its estimate below the threshold at which a pair is ruled out.
+BINS, DEVIATIONS = 4096, 6.0
 #: Sets of this size and less are compared in full within a bucket; larger ones by their fine signatures first.
 SMALL = 512
 #: Rows of a bucket that are compared with each other at a time.
@@ -74,13 +74,20 @@ def fine(x: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=1).reshape(-1).view(np.int64)
 
 
-def fine_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of fine signatures: equal bins, less the quarter of unequal ones that agree by chance."""
+def fine_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of fine signatures, and how many bins it comes from: equal bins, less the quarter of unequal ones that agree by chance."""
     w = BINS // 64
     both = a[..., :w] & b[..., :w]
     agree = both & ~((a[..., w : 2 * w] ^ b[..., w : 2 * w]) | (a[..., 2 * w :] ^ b[..., 2 * w :]))
     either, both, agree = (np.bitwise_count(x).sum(axis=-1, dtype=np.int64) for x in (a[..., :w] | b[..., :w], both, agree))
-    return (4 * agree - both) / (3 * np.maximum(either, 1))
+    return (4 * agree - both) / (3 * np.maximum(either, 1)), either
+
+
+def fine_near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether fine signatures leave a similarity of `percent` possible: the fewer bins, the less they rule out."""
+    estimate, bins = fine_estimate(a, b)
+    t = percent / 100
+    return estimate >= t - DEVIATIONS * 4 / 3 * np.sqrt(t * (1 - t) / np.maximum(bins, 1)) - 0.01
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,7 +229,7 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
             if len(to):
                 exact = whole[to] & whole[a]
                 rough = to[~exact]
-                rough = rough[fine_estimate(bits[rough], bits[a]) >= percent / 100 - FINE_MARGIN]
+                rough = rough[fine_near(bits[rough], bits[a], percent)]
                 to = to[exact]
                 # values are cut to 32 bits: what a set lost by that bounds what the overlap lost
                 both = np.bitwise_count(full[to] & full[a]).sum(axis=1, dtype=np.int64) + np.minimum(lost[to], lost[a])
@@ -332,27 +339,29 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # a document with several texts reaches the least of their components
     out = sig.select("doc_id", "n_shingles", "set_key").join(by_key, F.col("set_key") == F.col("k"), "left")
     return out.select(
-        "doc_id", "n_shingles", F.least("doc_id", F.coalesce("c", "doc_id")).alias("component_id"),
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("c", "doc_id"))).alias("component_id"),
     ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs but for near-duplicates: of each group the smallest id stays, in the columns of docs.
+    """The rows of docs but for near-duplicates: of each group the smallest id stays, in the columns of docs, whatever others are called.
 
     Rows that share an id, and rows without one, are told apart by their texts: only what these have
-    in common links them. Of rows with the same id (or none) and text one stays; rows with neither stay.
+    in common links them. Of rows with the same id (or none) and text one stays, by a hash of all
+    its columns; rows with neither stay. docs is read more than once.
     """
     key = F.col("doc_id").cast("long")
     if not docs.groupBy(key.alias("i")).agg(F.count(F.lit(1)).alias("n")).where("i is null or n > 1").limit(1).count():
-        kept = link_components(docs, k, percent).where("kept").select(F.col("doc_id").alias("__id"))
-        return docs.join(kept, docs["doc_id"].cast("long") == kept["__id"], "left_semi")
-    digest = F.sha2("text", 256)
-    rows = docs.where("doc_id is not null or text is not null").withColumns({"__i": key, "__t": digest})
+        # what goes is less than what stays
+        gone = link_components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("k"))
+        return without(docs, key, gone)
+    rows = boxed(docs, key.alias("i"), F.sha2(F.col("text").cast("string"), 256).alias("t"), F.col("text").cast("string").alias("text"))
+    some, none = rows.where("i is not null or t is not null"), rows.where("i is null and t is null").select("row")
     # numbers of distinct (id, text) in the order of the ids
-    named = rows.select("__i", "__t", "text").dropDuplicates(["__i", "__t"]).orderBy(F.col("__i").asc_nulls_last(), "__t")
-    named = settle(named.select(F.monotonically_increasing_id().alias("doc_id"), "__i", "__t", "text"), "named")
+    named = some.select("i", "t", "text").dropDuplicates(["i", "t"]).orderBy(F.col("i").asc_nulls_last(), "t")
+    named = settle(named.select(F.monotonically_increasing_id().alias("doc_id"), "i", "t", "text"), "named")
     kept = link_components(named.select("doc_id", "text"), k, percent).where("kept").select("doc_id")
-    won = named.join(kept, "doc_id", "left_semi").select(F.col("doc_id").alias("__n"), F.col("__i").alias("__wi"), F.col("__t").alias("__wt"))
-    found = rows.join(won, F.col("__i").eqNullSafe(F.col("__wi")) & F.col("__t").eqNullSafe(F.col("__wt")))
-    one = found.groupBy("__n").agg(F.min(F.struct(*docs.columns)).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null and text is null"))
+    won = named.join(kept, "doc_id", "left_semi").select(F.col("doc_id").alias("n"), F.col("i").alias("wi"), F.col("t").alias("wt"))
+    found = some.join(won, F.col("i").eqNullSafe(F.col("wi")) & F.col("t").eqNullSafe(F.col("wt")))
+    one = found.groupBy("n").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return one.union(none).select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -15,21 +16,15 @@ _BYTE = np.random.Generator(np.random.PCG64(20240)).integers(1, 1 << 63, 256, np
 PIECE = 1 << 20
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as are needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
-                self.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _UNBASE)]))
-        return self.up, self.down
+def _powers(base: np.uint64) -> np.ndarray:
+    """The first PIECE + 1 powers modulo 2**64."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, base)]))
 
 
-_POWERS = _Powers()
+@cache
+def _both_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE), _powers(_UNBASE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,16 +38,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hash) of each word of ASCII-lower-cased bytes."""
+    """(first byte, hash) of each word of ASCII-lower-cased bytes, taken PIECE bytes at a time."""
     b = np.frombuffer(data, np.uint8)
     blank = _BLANK[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    up, down = _POWERS.get(len(b) + 1)
+    up, down = _both_powers()
+    sums = np.zeros(len(start), np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
-        return start, mix((sums[stop] - sums[start]) * down[start])
+        for at in range(0, len(b), PIECE):
+            # sums up to each byte of the piece; a word over its edge adds up from its parts
+            part = np.zeros(min(PIECE, len(b) - at) + 1, np.uint64)
+            np.cumsum(_BYTE[b[at : at + PIECE]] * up[: len(part) - 1], out=part[1:])
+            i, k = np.searchsorted(stop, at, "right"), np.searchsorted(start, at + PIECE)
+            first, last = np.maximum(start[i:k] - at, 0), np.minimum(stop[i:k] - at, len(part) - 1)
+            here = (part[last] - part[first]) * down[first]
+            if k > i and start[i] < at:
+                # so many bytes of the word came before
+                here[0] *= np.uint64(pow(int(_BASE), int(at - start[i]), 1 << 64))
+            sums[i:k] += here
+        return start, mix(sums)
 
 
 def _fold(h: np.ndarray, k: int) -> np.ndarray:
