@@ -80,10 +80,12 @@ FROM s LEFT JOIN least_reached ON doc_id = a
 """,
     "op4_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(md5(text), '-') AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(length(text), 0) AS chars FROM documents
+  SELECT doc_id, source, coalesce(md5(text), '-') AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(length(text), 0) AS chars,
+    coalesce(len(regexp_extract_all(text, '[0-9#{}<>|_=+*^~@$%&/\\\[\]]')), 0) AS odd FROM documents
 ), k AS (
-  SELECT *, pow((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || h), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE,
-    1 / (1 / (1 + abs((CASE WHEN size > 0 THEN chars / size ELSE 0 END) - 6.0::DOUBLE) / 6.0::DOUBLE))) AS key FROM d
+  SELECT *, ln((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || h), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+    / (1.0::DOUBLE / (1.0::DOUBLE + abs((CASE WHEN size > 0 THEN chars / size ELSE 0 END) - 6.0::DOUBLE) / 6.0::DOUBLE)
+      / (1.0::DOUBLE + 4.0::DOUBLE * (CASE WHEN chars > 0 THEN odd / chars ELSE 0 END)) * (0.25::DOUBLE + 0.75::DOUBLE * least(1.0::DOUBLE, size / 50.0::DOUBLE))) AS key FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM k GROUP BY source
 ), c AS (
