@@ -31,5 +31,5 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each with its shard and slot."""
-    return sharding.shard_rows(docs, SHARDS, ["doc_id", "text"])
+    """All documents, each with its shard and slot. docs is read from the files that the stage before has written."""
+    return sharding.shard_rows(docs, SHARDS, ["doc_id", "text"], reread=True)
