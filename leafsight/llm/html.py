@@ -4,13 +4,20 @@ Block elements stand on lines of their own, paragraphs and the like between blan
 items behind bullets or numbers at their depth, table cells in columns of equal width. What a
 browser hides (scripts, styles, templates, the hidden attribute, display:none, closed dialogs
 and so on) is left out; of a style attribute whole declarations count, of a drop-down list the
-selected option, of svg its text elements. Style sheets are not read.
+selected option, of an input field what it says, of svg its text elements. Style sheets are not
+read.
+
+Time and memory grow with the length of a page, whatever its tags: open elements are looked up
+by their names, and nesting takes no recursion, so that pages may be nested to any depth. Lists
+are indented up to MOST_INDENT and tables within more than MOST_TABLES others have their cells
+one after another; no text is lost by either.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 from unicodedata import east_asian_width
 
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-HIDDEN = frozenset("head script style template title meta link base noscript iframe noembed noframes object audio video canvas datalist param source track area annotation annotation-xml rp".split())
+HIDDEN = frozenset("head script style template title meta link base noscript iframe noembed noframes object audio video canvas progress meter datalist param source track area annotation annotation-xml rp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul caption tbody thead tfoot tr td th xmp plaintext textarea option optgroup foreignobject mtr".split()
 )
@@ -48,7 +55,7 @@ IMPLIED = {
 HEAD_ONLY = frozenset("title meta link base style script noscript template head html".split())
 BARRIER = frozenset("table td th caption html template button object".split())
 
-_TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z)|>)|![^>]*>?|\?[^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
+_TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z)|>)|![^>]*>?|\?[^>]*>?|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Searched in the page itself: lower-casing may lengthen it. ASCII, as the Kelvin sign is no k in a tag.
 _END = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I | re.A) for tag in RAW}
@@ -123,18 +130,53 @@ class Node:
         return self.seen and self.space != "svg"
 
 
+class _Open:
+    """The open elements, and for each name where among them it stands."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    @property
+    def last(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        """Close all from number i on."""
+        while len(self.stack) > i:
+            self.at[self.stack.pop().tag].pop()
+
+    def near(self, tags: Iterable[str]) -> int:
+        """The number of the innermost of these; 0 if none is open."""
+        return max([x[-1] for t in tags if (x := self.at.get(t))], default=0)
+
+    def outermost(self, tags: Iterable[str], within: int) -> int:
+        """The number of the outermost of these within that element; 0 if there is none."""
+        found = [x[k] for t in tags if (x := self.at.get(t)) and (k := bisect_right(x, within)) < len(x)]
+        return min(found, default=0)
+
+
+_CELLS = ("td", "th", "caption", "table")
+_TABLE_ENDS = frozenset("table tr tbody thead tfoot body html".split())
+
+
 def build(html: str) -> Node:
-    """The tree of a page. Never fails: what can't be a tag is text, what isn't closed ends with the page."""
+    """The tree of a page. Never fails: what can't be a tag is text, what isn't closed ends with the page.
+
+    A tag that the page ends within is no text, and neither is what follows its name.
+    """
     root = Node("#root", {})
-    stack = [root]
+    open_ = _Open(root)
     pos, n = 0, len(html)
 
     def text(t: str) -> None:
         if t:
-            if stack[-1].tag in ("html", "head", "#root") and t.strip():
-                while stack[-1].tag == "head":
-                    stack.pop()
-            stack[-1].kids.append(t)
+            if open_.last.tag == "head" and t.strip():
+                open_.cut(len(open_.stack) - 1)
+            open_.last.kids.append(t)
 
     while pos < n:
         m = _TAG.search(html, pos)
@@ -144,59 +186,44 @@ def build(html: str) -> Node:
         if m.start() > pos:
             text(unescape(html[pos : m.start()]))
         pos = m.end()
-        if stack[-1].space and html.startswith("<![CDATA[", m.start()):
+        if open_.last.space and html.startswith("<![CDATA[", m.start()):
             end = html.find("]]>", m.start() + 9)
             text(html[m.start() + 9 : end if end >= 0 else n])
             pos = end + 3 if end >= 0 else n
             continue
         if m[1]:
             tag = m[1].lower()
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].kids.append(Node("p", {}, stack[-1]))
-                continue
-            if tag == "br":
-                stack[-1].kids.append(Node("br", {}, stack[-1]))
+            if tag == "p" and not open_.at.get("p") or tag == "br":
+                open_.last.kids.append(Node(tag, {}, open_.last))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag or tag[0] == "h" and tag in _HEADINGS and stack[i].tag in _HEADINGS:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "caption", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            i = open_.near(_HEADINGS if tag in _HEADINGS else (tag,))
+            if i and (tag in _TABLE_ENDS or i >= open_.near(_CELLS)):
+                open_.cut(i)
         elif m[2]:
+            if not m[4]:
+                break
             tag = m[2].lower()
             attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3] and not m[3].isspace() else {}
-            if stack[-1].space and stack[-1].tag not in MATH_TEXT and tag in BREAKOUT:
-                while stack[-1].space and stack[-1].tag not in MATH_TEXT:
-                    stack.pop()
+            if open_.last.space and open_.last.tag not in MATH_TEXT and tag in BREAKOUT:
+                while open_.last.space and open_.last.tag not in MATH_TEXT:
+                    open_.cut(len(open_.stack) - 1)
             if tag not in HEAD_ONLY:
-                while stack[-1].tag == "head":
-                    stack.pop()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BARRIER:
-                        break
-            if tag in _HEADINGS and stack[-1].tag in _HEADINGS:
-                stack.pop()
+                while open_.last.tag == "head":
+                    open_.cut(len(open_.stack) - 1)
+            if tag in CLOSES_P and (i := open_.near(("p",))) > open_.near(BARRIER):
+                open_.cut(i)
+            if tag in _HEADINGS and open_.last.tag in _HEADINGS:
+                open_.cut(len(open_.stack) - 1)
             if tag in IMPLIED:
                 ends, limit = IMPLIED[tag]
-                cut = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        cut = i
-                    elif stack[i].tag in limit:
-                        break
-                if cut:
-                    del stack[cut:]
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr", {}, stack[-1])
-                stack[-1].kids.append(row)
-                stack.append(row)
-            node = Node(tag, attrs, stack[-1])
-            stack[-1].kids.append(node)
+                if i := open_.outermost(ends, open_.near(limit - ends)):
+                    open_.cut(i)
+            if tag in ("td", "th") and open_.last.tag in ("table", "tbody", "thead", "tfoot"):
+                row = Node("tr", {}, open_.last)
+                open_.last.kids.append(row)
+                open_.push(row)
+            node = Node(tag, attrs, open_.last)
+            open_.last.kids.append(node)
             if (node.space or tag == "foreignobject") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
                 continue
             if tag in RAW:
@@ -207,7 +234,7 @@ def build(html: str) -> Node:
                 close = n if end < 0 else html.find(">", end)
                 pos = n if close < 0 else min(n, close + 1)
             elif tag not in VOID:
-                stack.append(node)
+                open_.push(node)
     return root
 
 
@@ -246,6 +273,7 @@ class _Page:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.indent, self.lead = "", None
+        self.tables = 0
 
     def put(self, t: str) -> None:
         self.now.append(t)
@@ -263,14 +291,55 @@ class _Page:
             self.lines.append("")
 
 
-#: Lines of cells wider than this are not padded to, and move what stands to their right.
-WIDEST = 80
+#: Lines of cells wider than this are not padded to, and move what stands to their right; likewise columns beyond MOST_WIDE.
+WIDEST, MOST_WIDE = 80, 4000
+MOST_INDENT, MOST_TABLES = 120, 16
+#: What is yet to be rendered: a generator that yields those to be rendered before it goes on.
+_Work = Iterator["_Work"]
 
 
-def _table(node: Node, page: _Page) -> None:
-    rows: list[tuple[bool, list[str]]] = []
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    return min(int(value[:9]), most) if value.isascii() and value.isdigit() else 1
 
-    def gather(x: Node) -> None:
+
+def _table(node: Node, page: _Page, within: int) -> _Work:
+    """Cells in columns: a cell goes to the first column that no cell of its row, nor one that reaches down from above, has taken."""
+    rows: list[dict[int, list[str]]] = []
+    # columns taken from above: (first column, columns, rows left, -1: as many as the section has)
+    above: list[tuple[int, int, int]] = []
+
+    def row(tr: Node) -> _Work:
+        nonlocal above
+        cells: dict[int, list[str]] = {}
+        taken, kept, at = sorted(above), [], 0
+        left = iter([*taken, None])
+        block = next(left)
+        for c in tr.kids:
+            if not isinstance(c, Node) or c.tag not in ("td", "th") or c.gone:
+                continue
+            while block is not None and at >= block[0]:
+                at = max(at, block[0] + block[1])
+                block = next(left)
+            if within >= MOST_TABLES:
+                page.end()
+                yield _render(c, page)
+                page.end()
+                continue
+            inner = _Page()
+            inner.tables = within + 1
+            yield _render(c, inner)
+            inner.end()
+            cells[at] = inner.lines
+            wide, deep = max(1, _span(c, "colspan", 1000)), _span(c, "rowspan", 65534)
+            if deep != 1:
+                kept.append((at, wide, deep - 1))
+            at += wide
+        above = [(a, w, r - (r > 0)) for a, w, r in taken if r != 1] + kept
+        rows.append(cells)
+
+    def gather(x: Node) -> _Work:
+        nonlocal above
         for k in x.kids:
             if isinstance(k, str):
                 if x.shows and k.strip():
@@ -278,40 +347,55 @@ def _table(node: Node, page: _Page) -> None:
             elif k.gone:
                 continue
             elif k.tag == "tr":
-                cells = []
-                for c in k.kids:
-                    if isinstance(c, Node) and c.tag in ("td", "th") and not c.gone:
-                        inner = _Page()
-                        _render(c, inner)
-                        inner.end()
-                        cells.append(inner.lines)
-                        span = c.attrs.get("colspan", "")
-                        cells += [[]] * (min(int(span), 1000) - 1 if span.isdigit() and span.isascii() else 0)
-                rows.append(cells)
+                yield row(k)
             elif k.tag in ("tbody", "thead", "tfoot"):
-                gather(k)
+                above = []
+                yield gather(k)
+                above = []
             elif k.tag == "caption":
                 page.end()
-                _render(k, page)
+                yield _render(k, page)
                 page.end()
             elif k.tag not in ("colgroup", "col"):
-                _element(k, page)
+                yield _element(k, page)
 
-    gather(node)
+    yield gather(node)
     page.end()
-    if not rows:
+    if within >= MOST_TABLES:
         return
     # one enormous cell doesn't pad all others: they align among themselves
-    wide = [max([w for r in rows if i < len(r) for w in map(_width, r[i]) if w <= WIDEST], default=0) for i in range(max(map(len, rows)))]
-    for r in rows:
-        for k in range(max([len(c) for c in r], default=0)):
-            parts = [(c[k] if k < len(c) else "") for c in r]
-            line = "  ".join(p + " " * max(0, wide[i] - _width(p)) for i, p in enumerate(parts)).rstrip()
+    wide: dict[int, int] = {}
+    for cells in rows:
+        for at, lines in cells.items():
+            wide[at] = max([wide.get(at, 0), *(w for w in map(_width, lines) if w <= WIDEST)])
+    columns = sorted(wide)
+    total = 0
+    for c in columns:
+        total += wide[c] + 2
+        if total > MOST_WIDE:
+            wide[c] = 0
+    for cells in rows:
+        if not cells:
+            continue
+        mine = columns[: columns.index(max(cells)) + 1] if len(columns) < 64 else [c for c in columns if c <= max(cells)]
+        for k in range(max(map(len, cells.values()))):
+            parts = [(x[k] if (x := cells.get(c)) and k < len(x) else "", wide[c]) for c in mine]
+            line = "  ".join(t + " " * max(0, w - _width(t)) for t, w in parts).rstrip()
             if line.strip():
                 page.lines.append(page.indent + line)
 
 
-def _element(x: Node, page: _Page) -> None:
+def _input(x: Node) -> str:
+    """What a field or button says."""
+    kind, value = x.attrs.get("type", "text").strip().lower(), x.attrs.get("value", "")
+    if kind in ("hidden", "checkbox", "radio", "range", "color", "file", "image"):
+        return ""
+    if kind in ("submit", "reset", "button"):
+        return value
+    return "" if kind == "password" and value else value or x.attrs.get("placeholder", "")
+
+
+def _element(x: Node, page: _Page) -> _Work:
     tag = x.tag
     if x.gone:
         return
@@ -324,6 +408,8 @@ def _element(x: Node, page: _Page) -> None:
     if tag == "img":
         return
     if tag == "input":
+        if x.seen and (said := _input(x)):
+            page.put(f" {said} ")
         return
     if tag == "select":
         for i, o in enumerate(_options(x)):
@@ -334,11 +420,11 @@ def _element(x: Node, page: _Page) -> None:
     if tag == "mfrac":
         for k in x.kids:
             if isinstance(k, Node):
-                _element(k, page)
+                yield _element(k, page)
                 page.put(" ")
         return
     if tag not in BLOCK and not (tag == "text" and x.space == "text"):
-        _render(x, page)
+        yield _render(x, page)
         if tag == "mtd":
             page.put(" ")
         return
@@ -347,9 +433,11 @@ def _element(x: Node, page: _Page) -> None:
     if tag in ("pre", "listing", "xmp", "plaintext", "textarea"):
         raw = "".join(_plain(x)).replace("\r\n", "\n").replace("\r", "\n")
         raw = raw.removeprefix("\n")
+        if tag == "textarea" and not raw and x.seen:
+            raw = x.attrs.get("placeholder", "")
         page.lines += [page.indent + l.rstrip() for l in raw.rstrip("\n").split("\n")] if raw.strip() else []
     elif tag == "table":
-        _table(x, page)
+        yield _table(x, page, page.tables)
     elif tag in ("ul", "ol", "menu", "dir"):
         depth, number = page.indent, 1
         start = x.attrs.get("start", "")
@@ -360,27 +448,31 @@ def _element(x: Node, page: _Page) -> None:
                 page.end()
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
-                page.lead, page.indent = depth + (mark if k.seen else " " * len(mark)), depth + " " * len(mark)
-                _render(k, page)
+                page.lead, page.indent = depth + (mark if k.seen else " " * len(mark)), _deeper(depth, len(mark))
+                yield _render(k, page)
                 page.end()
                 page.indent, page.lead = depth, None
             elif isinstance(k, Node):
-                _element(k, page)
+                yield _element(k, page)
             elif x.shows and k.strip():
                 page.put(k)
         page.end()
         page.indent = depth
     elif tag in ("dd", "blockquote"):
         depth = page.indent
-        page.indent = depth + "    "
-        _render(x, page)
+        page.indent = _deeper(depth, 4)
+        yield _render(x, page)
         page.end()
         page.indent = depth
     else:
-        _render(x, page)
+        yield _render(x, page)
     page.gap() if spaced else page.end()
 
 
+def _deeper(indent: str, by: int) -> str:
+    return indent + " " * by if len(indent) < MOST_INDENT else indent
+
+
 def _plain(x: Node) -> Iterator[str]:
     stack = [(x, iter(x.kids))]
     while stack:
@@ -399,24 +491,13 @@ def _plain(x: Node) -> Iterator[str]:
             stack.append((k, iter(k.kids)))
 
 
-#: Elements nested deeper than this are rendered as running text; browsers cut at a like depth.
-DEPTH = 200
-
-
-def _render(x: Node, page: _Page, _deep: list[int] = [0]) -> None:  # noqa: B006
-    if _deep[0] >= DEPTH:
-        page.put(" ".join(_plain(x)))
-        return
-    _deep[0] += 1
-    try:
-        for k in x.kids:
-            if isinstance(k, str):
-                if x.shows:
-                    page.put(k)
-            else:
-                _element(k, page)
-    finally:
-        _deep[0] -= 1
+def _render(x: Node, page: _Page) -> _Work:
+    for k in x.kids:
+        if isinstance(k, str):
+            if x.shows:
+                page.put(k)
+        elif not k.gone:
+            yield _element(k, page)
 
 
 def render(html: str | None) -> str:
@@ -424,7 +505,13 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     page = _Page()
-    _render(build(html), page)
+    work = [_render(build(html), page)]
+    while work:
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        else:
+            work.append(inner)
     page.end()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
@@ -432,7 +519,11 @@ def render(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for every row of pages (page_id, url, html). Rows that repeat stay repeated."""
+    """(page_id, url, text) for every row of pages (page_id, url, html). Rows that repeat stay repeated.
+
+    A null html gives an empty text, null ids and URLs stay null, an empty table gives no rows;
+    other columns of pages are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
