@@ -15,7 +15,7 @@ vectors, and gives each query's best of that block. Equal vectors are searched o
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -131,15 +131,24 @@ def nearest(vectors: DataFrame, step: int = 20, k: int = 20) -> DataFrame:
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id. Rows without
     an id, and vectors that are null, empty, zero or hold null or non-finite components, take no
-    part; nor do vectors of another length than most have. Rows that share an id and a vector
-    count once. A table without queries or candidates gives no rows.
+    part. Vectors of unlike lengths have no inner product, so each length is searched by itself,
+    with an index of its own. Rows that share an id and a vector count once. A table without
+    queries or candidates gives no rows; other columns are not looked at.
     """
     e = F.col("embedding")
     ok = F.size(e) > 0
     ok &= F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & ok)
-    lengths = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    rows = rows.where(F.size("embedding") == (lengths["d"] if lengths else 0)).dropDuplicates(["vec_id", "embedding"])
+    rows = settle(rows.dropDuplicates(["vec_id", "embedding"]), "vectors")
+    # a table has vectors of one length, or of a few
+    lengths = sorted(r["d"] for r in rows.where(F.col("vec_id") % step == 0).select(F.size("embedding").alias("d")).distinct().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, [_alike(rows.where(F.size("embedding") == d), step, k) for d in lengths])
+
+
+def _alike(rows: DataFrame, step: int, k: int) -> DataFrame:
+    """`nearest` among distinct (vec_id, embedding) of one length."""
     # a class per distinct vector, with the members that can be among anybody's nearest
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = settle(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("cls", F.get("members", 0)), "classes")
@@ -147,9 +156,6 @@ def nearest(vectors: DataFrame, step: int = 20, k: int = 20) -> DataFrame:
         rows.where(F.col("vec_id") % step == 0).join(classes.select("embedding", F.col("cls").alias("q")), "embedding").select(F.col("vec_id").alias("query_id"), "q"), "asked"
     )
     n = classes.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
     # SAMPLE vectors at most
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("cls", "embedding").toPandas().sort_values("cls")
     coder = fit(np.stack(sample["embedding"].to_numpy()), k)
