@@ -223,7 +223,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> Da
         F.coalesce(F.col("tf") * F.col("logp"), F.lit(0.0)).alias("lp"),
     )
     h = F.col("h")
-    # sums in a fixed order of size are not to be had from a shuffle; decimals keep reruns equal
+    # the order in which a shuffle adds is not fixed, so reruns may differ in the last digits
     flat = tail.select("rid", h["doc_id"].alias("doc_id"), h["held_out"].alias("held_out"), h["n_tokens"].alias("n_tokens"), (F.col("known") + F.coalesce(h["n_known"], F.lit(0))).alias("known"), (F.col("base") + F.coalesce(h["base"], F.lit(0.0))).alias("base"), (F.col("lp") + F.coalesce(h["lp"], F.lit(0.0))).alias("lp"))
     out = flat.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

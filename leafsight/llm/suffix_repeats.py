@@ -412,16 +412,19 @@ def strip_repeats(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> Da
                 first, n, owner, home, place = places
                 if len(first):
                     # the answers one after another, and where each shard's and each segment's begin
-                    lows, base, begin = [], np.zeros(shards, np.int64), 0
+                    # a few thousand shards at most have something of this block, however many there are
+                    lows, mine, base, begin = [], sorted(number), [], 0
                     within: list[np.ndarray] = []
                     total = 0
-                    for s, known in number.items():
+                    for s in mine:
+                        known = number[s]
                         sizes = np.array([len(t) - least + 1 for t in known], np.int64)
                         lows.append(np.frombuffer(_unpack(got[s]), np.int64))
                         within.append(total + np.cumsum(sizes) - sizes)
-                        base[s], begin, total = begin, begin + len(sizes), total + int(sizes.sum())
+                        base.append(begin)
+                        begin, total = begin + len(sizes), total + int(sizes.sum())
                     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    low = np.concatenate(lows)[np.repeat(np.concatenate(within)[base[home] + place], n) + step]
+                    low = np.concatenate(lows)[np.repeat(np.concatenate(within)[np.array(base)[np.searchsorted(mine, home)] + place], n) + step]
                     where = np.repeat(first, n) + step
                     starts[where[low < np.repeat(owner, n)]] = 1
                 sums = np.cumsum(starts[:-1])
