@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, lattice, mixing, multi_index, setsketch, sharding, suffix_repeats, toxicity, warc
+from . import decontaminate, fill_middle, filter_audit, html, langid, lattice, mixing, multi_index, setsketch, sharding, suffix_repeats, toxicity, warc
 from .common import read_table, shared_path
 
 
@@ -57,9 +57,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs), reject=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fill_middle.restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_mixing, op5_nearest, op6_lattice, op7_warc, op8_repeats, op9_html_text, op10_sharding)
+    for f in (
+        op1_decontamination, op2_toxicity, op3_near_duplicates, op4_mixing, op5_nearest, op6_lattice, op7_warc, op8_repeats, op9_html_text, op10_sharding,
+        op11_language_id, op12_filter_audit, op13_fill_middle,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,5 +140,46 @@ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS k FROM e GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
 FROM n LEFT JOIN g USING (doc_id)
+""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > least, FALSE) AS e FROM w
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+k AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (
+  SELECT p.v || q.v || r.v || s.v || t.v AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE p.v NOT IN (q.v, r.v, s.v, t.v) AND q.v NOT IN (r.v, s.v, t.v) AND r.v NOT IN (s.v, t.v) AND s.v <> t.v
+), g AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+j AS (
+  SELECT k.*, filter_order, step, fails[instr('ABCDE', filter_order[step])] AS own,
+    list_bool_or([FALSE] || list_transform(range(1, step), lambda i: fails[instr('ABCDE', filter_order[i])])) AS earlier FROM k, g
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f,
+    CAST(coalesce(sum(n) FILTER (NOT own AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (own AND earlier), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (own AND len(list_filter(fails, lambda z: z)) = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (own AND NOT earlier), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (own AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM j GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+""",
+    "op13_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS p, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS q,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), s AS (
+  SELECT *, coalesce(array_to_string(u[1:p], ''), '') AS prefix, coalesce(array_to_string(u[p + 1:q], ''), '') AS middle, coalesce(array_to_string(u[q + 1:], ''), '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM s
 """,
 }
