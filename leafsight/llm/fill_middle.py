@@ -1,9 +1,10 @@
 """Fill-in-middle: a document cut at two unit borders, its middle moved to the end.
 
 Units are rows: matches of UNIT are exploded with their places, running sums of their lengths say
-where each ends, the two cuts asked for of a document meet the units by their ordinals, and the
-offsets gathered per document cut its text. Texts are shuffled once, by document, and the explode,
-the running sums, both joins and the aggregation keep to that partitioning.
+where they end, the two cuts asked for of a document meet the units by their ordinals, and the
+offsets gathered per document cut its text. The running sums have two levels, over blocks of BLOCK
+units and over the units of the blocks with a cut, so that no sort holds all units. Texts are
+shuffled once, by document; all that follows keeps to that partitioning.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ UNIT = "[A-Za-z]+|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percent of documents left as they are, and, of the others, those that begin with the suffix.
 PLAIN_PERCENT, SUFFIX_FIRST_PERCENT = 10, 20
+BLOCK = 64
 #: A row's id (0 where it has none), whether it has none, and a hash of its text.
 KEY = ("id", "no_id", "h")
 
@@ -31,30 +33,60 @@ def _form() -> Column:
     return F.when(plain, "plain").when(_draw(3) % 100 < SUFFIX_FIRST_PERCENT, "spm").otherwise("psm")
 
 
+def _cuts() -> tuple[Column, Column]:
+    """After how many of a text's n units its prefix and its middle end."""
+    a, b = _draw(0) % (F.col("n") + 1), _draw(1) % (F.col("n") + 1)
+    return F.least(a, b).alias("first"), F.greatest(a, b).alias("second")
+
+
 def cut_requests(texts: DataFrame) -> DataFrame:
-    """(id, no_id, h, n, form, first, second): after how many of a text's n units its prefix and its middle end."""
+    """(id, no_id, h, n, form, first, second) of every text."""
     n = F.regexp_count("text", F.lit(UNIT)).cast("long")
-    own = texts.select(*KEY, n.alias("n"), _form().alias("form"))
-    a, b = _draw(0) % (F.col("n") + 1), _draw(1) % (F.col("n") + 1)
-    return own.select(*KEY, "n", "form", F.least(a, b).alias("first"), F.greatest(a, b).alias("second"))
+    return texts.select(*KEY, n.alias("n"), _form().alias("form")).select(*KEY, "n", "form", *_cuts())
+
+
+def _units(texts: DataFrame) -> DataFrame:
+    return texts.where(_form() != "plain").select(*KEY, F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)).alias("units"))
+
+
+def _of(cut: str) -> Column:
+    """The block that the unit before a cut stands in."""
+    return F.floor((F.col(cut) - 1) / BLOCK)
+
+
+def block_starts(texts: DataFrame) -> DataFrame:
+    """(id, no_id, h, block, start): the code points before each block of BLOCK units of the texts that are cut."""
+    units = _units(texts).select(*KEY, F.posexplode("units").alias("pos", "unit"))
+    sums = units.groupBy(*KEY, F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.sum(F.length("unit")).alias("size"))
+    before = Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*KEY, "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
 
 
 def unit_ends(texts: DataFrame) -> DataFrame:
-    """(id, no_id, h, place, ends) of the units of texts that are cut: the place from 1, and the code points up to the unit's end."""
-    cut = texts.where(_form() != "plain").select(*KEY, F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("pos", "unit"))
-    units = cut.select(*KEY, (F.col("pos") + 1).alias("place"), F.length("unit").alias("size"))
-    so_far = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return units.select(*KEY, "place", F.sum("size").over(so_far).alias("ends"))
+    """(id, no_id, h, place, end) of the units in the blocks with a cut: the place from 1, and the code points from the block's start to the unit's end."""
+    asked = _units(texts).select("*", F.size("units").cast("long").alias("n")).select(*KEY, "units", *_cuts())
+    blocks = asked.select(*KEY, "units", F.explode(F.array_distinct(F.array(_of("first"), _of("second")))).alias("block")).where("block >= 0")
+    units = blocks.select(*KEY, "block", F.posexplode(F.slice("units", (F.col("block") * BLOCK + 1).cast("int"), BLOCK)).alias("pos", "unit"))
+    so_far = Window.partitionBy(*KEY, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return units.select(*KEY, (F.col("block") * BLOCK + F.col("pos") + 1).alias("place"), F.sum(F.length("unit")).over(so_far).alias("end"))
+
+
+def _meet(requests: DataFrame, rows: DataFrame, hit: Column) -> DataFrame:
+    """Requests with the rows of their text for which `hit` holds; ordinals are no part of the join's key, so rows stay where the texts are."""
+    other = rows.select(*[F.col(k).alias(f"r_{k}") for k in KEY], *[c for c in rows.columns if c not in KEY])
+    return requests.join(other, (F.col("id") == F.col("r_id")) & (F.col("no_id") == F.col("r_no_id")) & (F.col("h") == F.col("r_h")) & hit, "left")
 
 
 def _offsets(texts: DataFrame) -> DataFrame:
     """(id, no_id, h, n, form, a, b): code points of the prefix, and of prefix and middle. A cut after no unit meets none and is 0."""
-    ends = unit_ends(texts).select(*[F.col(k).alias(f"u_{k}") for k in KEY], "place", "ends")
-    same = (F.col("id") == F.col("u_id")) & (F.col("no_id") == F.col("u_no_id")) & (F.col("h") == F.col("u_h"))
-    # the ordinals are no part of the join's key, so the rows stay where the documents are
-    met = cut_requests(texts).join(ends, same & ((F.col("place") == F.col("first")) | (F.col("place") == F.col("second"))), "left")
-    at = lambda c: F.coalesce(F.max(F.when(F.col("place") == F.col(c), F.col("ends"))), F.lit(0))
-    return met.groupBy(*KEY, "n", "form").agg(at("first").alias("a"), at("second").alias("b"))
+    of = lambda value, hit: F.coalesce(F.max(F.when(hit, F.col(value))), F.lit(0))
+    in_first, in_second = F.col("block") == _of("first"), F.col("block") == _of("second")
+    own = [*KEY, "n", "form", "first", "second"]
+    met = _meet(cut_requests(texts), block_starts(texts), in_first | in_second)
+    starts = met.groupBy(*own).agg(of("start", in_first).alias("a0"), of("start", in_second).alias("b0"))
+    at_first, at_second = F.col("place") == F.col("first"), F.col("place") == F.col("second")
+    ends = _meet(starts, unit_ends(texts), at_first | at_second).groupBy(*own, "a0", "b0").agg(of("end", at_first).alias("a1"), of("end", at_second).alias("b1"))
+    return ends.select(*KEY, "n", "form", (F.col("a0") + F.col("a1")).alias("a"), (F.col("b0") + F.col("b1")).alias("b"))
 
 
 def transform(docs: DataFrame) -> DataFrame:
@@ -69,7 +101,7 @@ def transform(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     own = own.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"), "text")
-    # repeated rows are one here; the filter keeps `copies` in all three uses, so that one shuffle serves them
+    # repeated rows are one here; the filter keeps `copies` in all its uses, so that one shuffle serves them
     texts = own.groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).where("copies > 0")
     rows = texts.join(_offsets(texts), list(KEY))
     prefix, middle = F.expr("substring(text, 1, a)"), F.expr("substring(text, a + 1, b - a)")
