@@ -1,9 +1,10 @@
 """HTML to text by layout: a tree is built with implied tags, then its visible text is rendered.
 
 Block elements stand on lines of their own, paragraphs and the like between blank lines, list
-items behind bullets or numbers at their depth, table cells in columns of equal width. What a
-browser hides (scripts, styles, templates, the hidden attribute, display:none, closed dialogs
-and so on) is left out; of a style attribute whole declarations count, of a drop-down list the
+items behind bullets or numbers at their depth, table cells in columns of equal width, and what
+stands between a table's cells before the table. What a browser hides (scripts, styles, templates,
+the hidden attribute, display:none, closed dialogs, closed details but for their summary, and so
+on) is left out; display in a style attribute makes blocks of inline elements and the reverse; of a style attribute whole declarations count, of a drop-down list the
 selected option, of an input field what it says, of svg its text elements. Style sheets are not
 read.
 
@@ -68,6 +69,9 @@ _VISIBILITY = frozenset("visible hidden collapse inherit initial unset revert re
 _DISPLAY = frozenset(
     "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-caption table-column table-column-group table-row-group table-header-group table-footer-group flow flow-root list-item contents run-in math ruby ruby-base ruby-text ruby-base-container ruby-text-container -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex inherit initial unset revert revert-layer".split()
 )
+_BLOCKS = frozenset("block flex grid table list-item flow flow-root table-row table-caption table-row-group table-header-group table-footer-group -webkit-box -webkit-flex".split())
+_INLINE = frozenset("inline inline-block inline-flex inline-grid inline-table table-cell contents run-in ruby -webkit-inline-box -webkit-inline-flex".split())
+_FLEX = frozenset("flex inline-flex grid inline-grid -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex".split())
 # Elements of svg that are not drawn where they stand, and those of html that end an open svg or math.
 SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
 BREAKOUT = frozenset(
@@ -97,9 +101,14 @@ def style(text: str) -> dict[str, str]:
 
 
 class Node:
-    """An element. space: "svg", "text" (of svg), "math" or "" (html); seen: its visibility, inherited; gone: not displayed, with all within."""
+    """An element.
 
-    __slots__ = ("tag", "attrs", "kids", "space", "seen", "gone")
+    space: "svg", "text" (of svg), "math" or "" (html); seen: its visibility, inherited; gone: not
+    displayed, with all within; block: whether it stands on lines of its own; holds: cells or rows
+    of the table around it stand within it, though it is no part of a table.
+    """
+
+    __slots__ = ("tag", "attrs", "kids", "space", "seen", "gone", "display", "block", "holds")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.kids = tag, attrs, []
@@ -123,6 +132,11 @@ class Node:
             self.gone = "hidden" in attrs or tag == "dialog" and "open" not in attrs
         if tag == "input" and attrs.get("type", "").lower() == "hidden":
             self.gone = True
+        self.display, self.holds = rules.get("display", ""), False
+        first = self.display.partition(" ")[0]
+        usual = tag in BLOCK or tag == "text" and self.space == "text"
+        # children of flex boxes and grids are boxes of their own
+        self.block = first in _BLOCKS or (usual and first not in _INLINE) or parent is not None and not parent.space and parent.display.rpartition(" ")[2] in _FLEX
 
     @property
     def shows(self) -> bool:
@@ -160,6 +174,7 @@ class _Open:
 
 
 _CELLS = ("td", "th", "caption", "table")
+_TABLE_PARTS = frozenset("table tr td th tbody thead tfoot caption".split())
 _TABLE_ENDS = frozenset("table tr tbody thead tfoot body html".split())
 
 
@@ -224,6 +239,12 @@ def build(html: str) -> Node:
                 open_.push(row)
             node = Node(tag, attrs, open_.last)
             open_.last.kids.append(node)
+            if tag in ("td", "th", "tr", "tbody", "thead", "tfoot"):
+                # a form around cells, say; those marked before end the way up, so that all ways together are short
+                for x in reversed(open_.stack):
+                    if x.tag in _TABLE_PARTS or x.holds:
+                        break
+                    x.holds = True
             if (node.space or tag == "foreignobject") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
                 continue
             if tag in RAW:
@@ -274,6 +295,8 @@ class _Page:
         self.now: list[str] = []
         self.indent, self.lead = "", None
         self.tables = 0
+        # the list around: whether it is numbered, the next number, and what is added to it
+        self.items: list | None = None
 
     def put(self, t: str) -> None:
         self.now.append(t)
@@ -315,8 +338,31 @@ def _table(node: Node, page: _Page, within: int) -> _Work:
         taken, kept, at = sorted(above), [], 0
         left = iter([*taken, None])
         block = next(left)
-        for c in tr.kids:
-            if not isinstance(c, Node) or c.tag not in ("td", "th") or c.gone:
+        rest: list[Node] = []
+        work = [iter(tr.kids)]
+        shows = [tr.shows]
+        while work:
+            c = next(work[-1], None)
+            if c is None:
+                work.pop()
+                shows.pop()
+                continue
+            # what is no cell stands before the table, as in browsers; cells within it are the row's
+            if isinstance(c, str):
+                if shows[-1] and c.strip():
+                    page.put(f" {c} ")
+                continue
+            if c.gone:
+                continue
+            if c.tag in ("tr", "tbody", "thead", "tfoot"):
+                rest.append(c)
+                continue
+            if c.tag not in ("td", "th"):
+                if c.holds:
+                    work.append(iter(c.kids))
+                    shows.append(c.shows)
+                else:
+                    yield _element(c, page)
                 continue
             while block is not None and at >= block[0]:
                 at = max(at, block[0] + block[1])
@@ -337,6 +383,8 @@ def _table(node: Node, page: _Page, within: int) -> _Work:
             at += wide
         above = [(a, w, r - (r > 0)) for a, w, r in taken if r != 1] + kept
         rows.append(cells)
+        for r in rest:
+            yield row(r) if r.tag == "tr" else gather(r)
 
     def gather(x: Node) -> _Work:
         nonlocal above
@@ -356,6 +404,8 @@ def _table(node: Node, page: _Page, within: int) -> _Work:
                 page.end()
                 yield _render(k, page)
                 page.end()
+            elif k.holds:
+                yield row(k) if any(isinstance(c, Node) and c.tag in ("td", "th") for c in k.kids) else gather(k)
             elif k.tag not in ("colgroup", "col"):
                 yield _element(k, page)
 
@@ -423,11 +473,26 @@ def _element(x: Node, page: _Page) -> _Work:
                 yield _element(k, page)
                 page.put(" ")
         return
-    if tag not in BLOCK and not (tag == "text" and x.space == "text"):
+    if not x.block and tag not in _OWN:
+        apart = tag == "mtd" or x.display == "table-cell"
+        if apart:
+            page.put(" ")
         yield _render(x, page)
-        if tag == "mtd":
+        if apart:
             page.put(" ")
         return
+    if tag == "li" and page.items is not None:
+        numbered, number, step = page.items
+        if numbered and re.fullmatch(_NUMBER, x.attrs.get("value", "").strip()):
+            number = int(x.attrs["value"])
+        page.items[1] = number + step
+        page.end()
+        depth, mark = page.indent, f"{number}. " if numbered else "- "
+        page.lead, page.indent = depth + (mark if x.seen else " " * len(mark)), _deeper(depth, len(mark))
+        yield _render(x, page)
+        page.end()
+        page.indent, page.lead = depth, None
+        return
     spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and page.indent)
     page.gap() if spaced else page.end()
     if tag in ("pre", "listing", "xmp", "plaintext", "textarea"):
@@ -439,25 +504,13 @@ def _element(x: Node, page: _Page) -> _Work:
     elif tag == "table":
         yield _table(x, page, page.tables)
     elif tag in ("ul", "ol", "menu", "dir"):
-        depth, number = page.indent, 1
-        start = x.attrs.get("start", "")
-        if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start):
-            number = int(start)
-        for k in x.kids:
-            if isinstance(k, Node) and k.tag == "li" and not k.gone:
-                page.end()
-                mark = f"{number}. " if tag == "ol" else "- "
-                number += 1
-                page.lead, page.indent = depth + (mark if k.seen else " " * len(mark)), _deeper(depth, len(mark))
-                yield _render(k, page)
-                page.end()
-                page.indent, page.lead = depth, None
-            elif isinstance(k, Node):
-                yield _element(k, page)
-            elif x.shows and k.strip():
-                page.put(k)
+        depth, outer = page.indent, page.items
+        start, back = x.attrs.get("start", "").strip(), tag == "ol" and "reversed" in x.attrs
+        number = int(start) if tag == "ol" and re.fullmatch(_NUMBER, start) else _items(x) if back else 1
+        page.items = [tag == "ol", number, -1 if back else 1]
+        yield _render(x, page)
         page.end()
-        page.indent = depth
+        page.indent, page.items = depth, outer
     elif tag in ("dd", "blockquote"):
         depth = page.indent
         page.indent = _deeper(depth, 4)
@@ -469,6 +522,22 @@ def _element(x: Node, page: _Page) -> _Work:
     page.gap() if spaced else page.end()
 
 
+#: Elements with a layout of their own, whatever their display.
+_OWN = frozenset("pre listing xmp plaintext textarea table ul ol menu dir".split())
+_NUMBER = r"-?[0-9]{1,9}"
+
+
+def _items(x: Node) -> int:
+    """The number of a list's items, without those of lists within."""
+    n, stack = 0, list(x.kids)
+    while stack:
+        k = stack.pop()
+        if isinstance(k, Node) and not k.gone:
+            n += k.tag == "li"
+            stack += k.kids if k.tag not in ("li", "ul", "ol", "menu", "dir", "table") else []
+    return n
+
+
 def _deeper(indent: str, by: int) -> str:
     return indent + " " * by if len(indent) < MOST_INDENT else indent
 
@@ -492,6 +561,11 @@ def _plain(x: Node) -> Iterator[str]:
 
 
 def _render(x: Node, page: _Page) -> _Work:
+    if x.tag == "details" and "open" not in x.attrs:
+        # closed: its first summary only
+        for k in [k for k in x.kids if isinstance(k, Node) and k.tag == "summary"][:1]:
+            yield _element(k, page)
+        return
     for k in x.kids:
         if isinstance(k, str):
             if x.shows:

@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the presence of hashed character n-grams of a whole text, those whose shares among
-toxic and other training texts differ by more than SURE standard deviations, however many these
-are: noise among the others costs more than it brings. For each feature the ratio r = log((p / |p|) / (q / |q|)) of its smoothed document counts
+toxic and other training texts differ by more than SURE standard deviations (of n training texts
+no feature can show more than sqrt(n); with fewer than 64, half of that is enough), however many
+these are: noise among the others costs more than it brings. For each feature the ratio r = log((p / |p|) / (q / |q|)) of its smoothed document counts
 among toxic and other training texts scales its column; a logistic regression is then fitted on
 the scaled columns. The training texts stay on the executors: a step of the fit sends the weights
 of the features out and gets the sums of the gradient back.
@@ -129,7 +130,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> ToxicityModel:
-    """Fit on labelled documents. Without both classes among them the model gives their share to every text, without any it calls none toxic."""
+    """Fit on labelled documents. Without both classes among them the model gives their share to every text, without any it calls none toxic.
+
+    Few labels tell few n-grams apart: with ten of a class, only what stands in most of their texts
+    and in few others counts. Columns of docs and labels other than doc_id, text and toxic are not
+    looked at, whatever their names.
+    """
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Toxicit
     # counts are `limit` at most
     others, toxics = (sums(rows, 1 << BITS, np.uint16 if limit < 1 << 16 else np.uint32, lambda toxic, has, c=c: ((toxic == c).astype(float), 0.0))[0] for c in (0, 1))
     both = (others + toxics) / (pos + neg)
-    chosen = np.flatnonzero(np.abs(toxics / pos - others / neg) > SURE * np.sqrt(both * (1 - both) * (1 / pos + 1 / neg))).astype(np.int32)
+    chosen = np.flatnonzero(np.abs(toxics / pos - others / neg) > min(SURE, np.sqrt(pos + neg) / 2) * np.sqrt(both * (1 - both) * (1 / pos + 1 / neg))).astype(np.int32)
     ratio = np.log(((toxics[chosen] + 1) / (pos + 2)) / ((others[chosen] + 1) / (neg + 2)))
     del others, toxics, both
     spark, n, size = docs.sparkSession, pos + neg, len(chosen)

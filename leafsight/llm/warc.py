@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle, without
+
 MIN_REVISIT = 100
 ROLL = 256 << 20
 RANGE = 8 << 20
@@ -29,10 +31,10 @@ INDEX = "page_id long, url string, file string, offset long, length long, digest
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record. A response holds an HTTP header and the payload, a revisit the HTTP header only."""
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One record. A response holds an HTTP header and the payload, a revisit the HTTP header only; both say the payload's size and digest."""
     revisit = refers_to is not None
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     fields = [
         "WARC/1.1",
@@ -63,11 +65,11 @@ def parse(raw: bytes) -> dict:
 
 
 def plan_revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, refers_to) of rows whose payload is that of a row with a smaller page_id."""
-    slim = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b")).where(F.octet_length("b") >= least)
-    slim = slim.select("page_id", F.sha2("b", 256).alias("digest"))
+    """(page_id, url, digest, bytes, refers_to) of rows whose payload, of `least` bytes or more, is that of a row with a smaller page_id."""
+    slim = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("b"))
+    slim = slim.select("page_id", "url", F.sha2("b", 256).alias("digest"), F.octet_length("b").cast("long").alias("bytes")).where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select(F.col("digest").alias("f_digest"), "refers_to")
-    return slim.join(first, F.col("digest") == F.col("f_digest")).where("page_id > refers_to").select(F.col("page_id").alias("r_id"), "refers_to").distinct()
+    return slim.join(first, F.col("digest") == F.col("f_digest")).where("page_id > refers_to").select("page_id", "url", "digest", "bytes", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT) -> DataFrame:
@@ -75,11 +77,20 @@ def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT) -> DataFrame:
 
     A null html is an empty payload, a null URL leaves its field out. Among equal payloads of
     `least` bytes or more the smallest page_id is the response; rows with that same id are
-    responses too, rows without an id are responses always.
+    responses too, rows without an id are responses always. A row is told by its id and payload
+    together: each row gives one record, also where an id has several payloads. Of revisits only
+    ids and digests move; the payloads of responses stay where they are read, but for those that
+    the filter of revisits can't tell apart. Other columns of pages are not looked at.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    revisits = plan_revisits(rows, least)
-    rows = rows.join(revisits, F.col("page_id") == F.col("r_id"), "left").select("page_id", "url", "html", "refers_to")
+    revisits = settle(plan_revisits(rows, least), "revisits")
+    key = F.concat_ws(":", F.col("page_id").cast("string"), F.sha2(F.coalesce("html", F.lit("")), 256))
+    # smaller payloads and rows without an id have no key: they are never revisits
+    key = F.when(F.col("page_id").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least), key)
+    gone = revisits.select(F.concat_ws(":", F.col("page_id").cast("string"), "digest").alias("k")).distinct()
+    none = F.lit(None)
+    kept = without(rows, key, gone).select("page_id", "url", "html", none.cast("string").alias("digest"), none.cast("long").alias("bytes"), none.cast("long").alias("refers_to"))
+    rows = kept.unionByName(revisits.select("page_id", "url", none.cast("string").alias("html"), "digest", "bytes", "refers_to"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -87,7 +98,7 @@ def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT) -> DataFrame:
         try:
             for batch in batches:
                 found = []
-                for page_id, url, html, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")], strict=True):
+                for page_id, url, html, digest, size, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if out is None or at >= ROLL:
                         if out is not None:
                             out.close()
@@ -96,11 +107,12 @@ def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT) -> DataFrame:
                         store.create_dir(f"{base}/archive", recursive=True)
                         out = store.open_output_stream(f"{base}/archive/{name}", compression=None)
                     payload = (html or "").encode("utf-8", "surrogatepass")
-                    digest = hashlib.sha256(payload).hexdigest()
+                    if refers_to is None:
+                        digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
                     packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    raw = packer.compress(record(page_id, url, payload, digest, refers_to)) + packer.flush()
+                    raw = packer.compress(record(page_id, url, payload, size, digest, refers_to)) + packer.flush()
                     out.write(raw)
-                    found.append((page_id, url, name, at, len(raw), digest, len(payload), "response" if refers_to is None else "revisit", refers_to))
+                    found.append((page_id, url, name, at, len(raw), digest, size, "response" if refers_to is None else "revisit", refers_to))
                     at += len(raw)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _INDEX_TYPES, strict=True)], _INDEX_NAMES)
