@@ -99,6 +99,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/leafsight-{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: what reads it twice computes it once."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
@@ -123,11 +130,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_rows(chunks: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
-    """Chunks (chunk_id, chunk_type, text, metadata, doc_id if they have it) as rows of the index, with vectors by `encode`, an expression or pandas UDF."""
+    """Chunks (chunk_id, chunk_type, text, metadata; doc_id and chunk_seq if they have them) as rows of the index, with vectors by `encode`, an expression or pandas UDF."""
     m = F.col("metadata")
     page = F.coalesce(F.nullif(m["page_number"], F.lit(0)), F.lit(-1))
     return chunks.select(
-        *(["doc_id"] if "doc_id" in chunks.columns else []), "chunk_id", "chunk_type", "text", page.alias("page"), F.coalesce(m["title"], F.lit("")).alias("title"), F.length("text").alias("char_count"),
+        *[c for c in ("doc_id", "chunk_seq") if c in chunks.columns], "chunk_id", "chunk_type", "text", page.alias("page"), F.coalesce(m["title"], F.lit("")).alias("title"), F.length("text").alias("char_count"),
         m["table_caption"].alias("table_caption"), m["table_part"].alias("table_part"), m["table_parts_total"].alias("table_parts_total"), m["caption"].alias("caption"),
         m["image_mime_type"].alias("image_mime_type"), m["overlap_prefix_chars"].alias("overlap_prefix_chars"),
         blank_to_null(F.array_join(m["ocr_keywords"], ", ")).alias("ocr_keywords"), blank_to_null(m["core_text"]).alias("core_text"),
@@ -204,7 +211,7 @@ def index_document(spark: SparkSession, registry: str, doc_id: str, index: str,
     `chunk` gives (chunk_id, chunk_type, text, metadata). The entry says at each step what is done.
     """
     try:
-        put_entry(spark, registry, doc_id=doc_id, status="indexing", message="", progress="parsing pages and extracting tables and figures")
+        put_entry(spark, registry, doc_id=doc_id, status="indexing", message="", progress="chunking")
         rows = chunk()
         put_entry(spark, registry, doc_id=doc_id, chunks=rows.count(), progress="encoding chunks")
         write_index(index_rows(rows, encode), index, doc_id)
@@ -261,6 +268,36 @@ def with_cache(queries: DataFrame, cache: DataFrame, model: str, version: str, g
     return known.unionByName(generate(keyed.join(cache.select("cache_key"), "cache_key", "left_anti")).select(known.columns))
 
 
+ANSWERS = "cache_key string, answer string"
+
+
+def load_answers(spark: SparkSession, cache: str) -> DataFrame:
+    """(cache_key, answer) of a cache of models' answers, one row a key; none if there is no cache yet."""
+    rows = spark.read.schema(ANSWERS).parquet(cache) if _there(spark, cache) else spark.createDataFrame([], ANSWERS)
+    # two runs at once may both have asked; null answers are failures
+    return rows.where("answer is not null").groupBy("cache_key").agg(F.min("answer").alias("answer"))
+
+
+def asked_once(rows: DataFrame, payload: Column, cache: str, model: str, version: str, ask: Callable[[Column], Column], answer: str = "answer") -> DataFrame:
+    """rows with the column `answer`: what a model says of their payloads, asked once for each distinct payload, in this run and in later ones.
+
+    `cache` is a Parquet table by the digest of model, version and payload. Payloads that it lacks
+    are brought together (with map-side combination: copies are no burden), given to `ask`, an
+    expression or pandas UDF of the column it is given, and the answers are appended before
+    anything reads them, so that a plan that uses them twice asks nothing. A model that fails on a
+    payload answers null, which is not kept: the next run asks again. A null payload is not asked
+    about and has no answer.
+    """
+    spark = rows.sparkSession
+    key = F.when(payload.isNotNull(), F.sha2(F.concat_ws("|", F.lit(model), F.lit(version), payload.cast("string")), 256))
+    each = rows.select(key.alias("cache_key"), payload.alias("payload")).where("cache_key is not null").groupBy("cache_key").agg(F.first("payload").alias("payload"))
+    fresh = each.join(load_answers(spark, cache).select("cache_key"), "cache_key", "left_anti")
+    fresh.select("cache_key", ask(F.col("payload")).cast("string").alias("answer")).write.mode("append").parquet(cache)
+    told = load_answers(spark, cache).select(F.col("cache_key").alias("told_key"), F.col("answer").alias("told"))
+    every = [c for c in rows.columns if c != answer]
+    return rows.join(told, key == F.col("told_key"), "left").select(*every, F.col("told").alias(answer))
+
+
 def image_payload(base64: Column) -> Column:
     """The bytes of an image, null if they can't be read."""
     return F.try_to_binary(base64, F.lit("base64"))

@@ -4,7 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafsight.functions import text as T
-from leafsight.operators import chunking
+from leafsight.functions import vectors
+from leafsight.operators import chunking, search
+from leafsight.sources import store
 
 HEAD = "| a | b |\n| --- | --- |"
 BIG = HEAD + "\n" + "\n".join(f"| {i} | {'x' * 120} |" for i in range(200))
@@ -154,3 +156,70 @@ def test_sections(spark):
     assert [t for _, t, _ in got][:2] == ["Intro", "Next"] and all(len(x) <= 5000 for _, _, x in got)
     assert got[0][0] == 1 and got[-1][1] == "Next"
     assert isinstance(chunking.section_texts([]), list) and pd is not None
+
+
+TITLES = ["", "Intro", "Power", "Timing", "Package"]
+PAGES = [
+    (d, 10 * p + k, p, category, text, image)
+    for d in ("a", "b")
+    for p in range(1, 5)
+    for k, (category, text, image) in enumerate([("Title", TITLES[p], None), ("NarrativeText", f"volt{p} rail " * 120, None), ("Image", None, ("QUJD", "REVG")[p % 2]), ("Image", None, "no base64!" if p == 2 else "QUJD")])
+]
+ELEMENTS = "doc_id string, idx int, page int, category string, text string, image_base64 string"
+
+
+def test_models_are_asked_once_for_a_payload(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(answer):
+        def ask(payload):
+            @F.pandas_udf("string")
+            def said(x: pd.Series) -> pd.Series:
+                calls.add(len(x))
+                return x.map(lambda v: None if answer is None else f"{answer} {v}")
+
+            return said(payload)
+
+        return ask
+
+    e = spark.createDataFrame(PAGES, ELEMENTS)
+    run = lambda caption="shows.", **kw: chunking.chunk_documents(e, captioner=model(caption), ocr=model("reads"), **kw).where("chunk_type = 'image'").orderBy("doc_id", "chunk_seq").collect()
+    first = run(cache=str(tmp_path / "c"))
+    assert calls.value == 4 and len(first) == 14 and {r["caption"] for r in first} == {"shows. QUJD", "shows. REVG"} and all(r["ocr_keywords"][0] == "reads" for r in first)
+    assert run(cache=str(tmp_path / "c")) == first and calls.value == 4
+    # another version asks anew; a model that fails is asked again the next time; without a cache each run asks, once
+    assert run(cache=str(tmp_path / "c"), version="2") == first and calls.value == 8
+    assert {r["caption"] for r in run(None, cache=str(tmp_path / "d"))} == {""} and calls.value == 12
+    assert run(cache=str(tmp_path / "d")) == first and calls.value == 14
+    assert run() == first and calls.value == 18
+    assert run(None) != first and calls.value == 22
+
+
+def test_expressions_are_evaluated_once_an_image(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def said(x: pd.Series) -> pd.Series:
+        calls.add(len(x))
+        return x.map(lambda v: f"says {v}")
+
+    got = chunking.chunk_documents(spark.createDataFrame(PAGES, ELEMENTS), captioner=said(F.col("image_base64")))
+    assert got.where("caption like 'says%'").count() == 14 == calls.value
+
+
+def test_from_elements_to_a_search(spark, tmp_path):
+    e = spark.createDataFrame(PAGES, ELEMENTS)
+    records = chunking.chunk_records(chunking.chunk_documents(e, captioner=F.lit("A plot."), ocr=F.lit("Vcc")))
+    encode = lambda c: vectors.hashed_encoder(T.tokenize(c))
+    store.write_chunks(records, str(tmp_path / "chunks"))
+    back = store.read_chunks(spark, str(tmp_path / "chunks"))
+    assert sorted(back.collect()) == sorted(records.select(*back.columns).collect()) and records.where("metadata.overlap_prefix_chars = 0").count() == 0
+    assert records.where("metadata.page_number is null or metadata.title = '' or metadata.char_count <> length(text)").count() == 0
+    store.write_index(store.index_rows(records, encode), str(tmp_path / "index"))
+    index = store.scan_index(spark, str(tmp_path / "index")).withColumn("collection", F.col("doc_id").cast("string"))
+    q = spark.createDataFrame([(1, "a", "volt3"), (2, "b", "volt1 rail")], "query_id long, collection string, text string").withColumn("qvec", encode(F.col("text")))
+    top = {r["query_id"]: r for r in search.search(index, q, 1).collect()}
+    assert (top[1]["collection"], top[1]["page"], top[1]["title"]) == ("a", 3, "Timing") and (top[2]["collection"], top[2]["page"]) == ("b", 1)
+    assert {r["page"] for r in search.search(index, q, 9, types=["image"]).collect()} == {1, 2, 3, 4}
+    registry = str(tmp_path / "registry")
+    assert store.index_document(spark, registry, "a", str(tmp_path / "other"), lambda: records.where("doc_id = 'a'").drop("doc_id"), encode) == "ready"
