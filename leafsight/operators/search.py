@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, snippet, tokenize
-from ..functions.vectors import dot
+from .blocks import all_scores, k_best
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 CHUNK = ("collection", "chunk_seq")
-#: Parts into which the pairs of a collection are dealt.
-DEAL = 64
 
 
 @dataclass(frozen=True)
@@ -92,15 +90,16 @@ def bm25(chunks: DataFrame | Lexicon, queries: DataFrame, text: Column | None =
     return hit.groupBy("query_id", *CHUNK).agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("bm25"))
 
 
+def _keyed(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return chunks.select(F.col("collection").alias("key"), *CHUNK, "embedding"), queries.select(F.col("collection").alias("key"), "query_id", "qvec")
+
+
 def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, collection, chunk_seq, cos) of every chunk of the query's collection; vectors have length one.
 
-    Queries are copied to DEAL parts of their collection, so that a large one is nobody's alone.
+    By matrix products, block by block, where the chunks lie. Vectors of unlike length have no row.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("part")
-    q = queries.select("query_id", "collection", "qvec", parts)
-    c = chunks.select(*CHUNK, "embedding", F.pmod(F.xxhash64("chunk_seq"), F.lit(DEAL)).cast("int").alias("part"))
-    return q.join(c, ["collection", "part"]).select("query_id", *CHUNK, dot(F.col("embedding"), F.col("qvec")).alias("cos"))
+    return all_scores(*_keyed(chunks, queries))
 
 
 def minmax(scores: DataFrame, *columns: str) -> DataFrame:
@@ -156,7 +155,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 5, chunk_type: str |
         some = some.where(F.col("chunk_type") == chunk_type)
     if page is not None:
         some = some.where(F.col("page") == page)
-    return top(dense(some, queries).withColumn("score", F.col("cos")), k)
+    return top(k_best(*_keyed(some, queries), k).withColumn("score", F.col("cos")), k)
 
 
 def lift_sections(hits: DataFrame, decay: float | Column = 0.5, max_group: int | Column = 4, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -172,11 +171,13 @@ def lift_sections(hits: DataFrame, decay: float | Column = 0.5, max_group: int |
 
 def page_scores(hits: DataFrame, max_pages: int, cutoff: float = 0.0) -> DataFrame:
     """(query_id, page, score, page_rank): pages by their best chunk, as many as are asked for, none below the cutoff's share of the best."""
-    ranked = hits.withColumn("rank", F.row_number().over(best_first(["query_id"])))
-    page = ranked.groupBy("query_id", "page").agg(F.max("score").alias("score"), F.min("rank").alias("first"))
+    # a page's best chunk, by partial maxima: chunks are not ranked among all of their query
+    best = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("chunk_seq")).alias("seq")))
+    page = hits.groupBy("query_id", "page").agg(F.max("score").alias("score"), best.alias("first"))
     w = Window.partitionBy("query_id")
-    page = page.withColumn("page_rank", F.row_number().over(w.orderBy("first"))).withColumn("best", F.max("score").over(w))
-    return page.where((F.col("page_rank") <= max_pages) & (F.col("score") >= cutoff * F.col("best"))).select("query_id", "page", "score", "page_rank")
+    page = page.withColumn("page_rank", F.row_number().over(w.orderBy(F.desc("first"), "page"))).where(F.col("page_rank") <= max_pages)
+    page = page.withColumn("best", F.max("score").over(w))
+    return page.where(F.col("score") >= cutoff * F.col("best")).select("query_id", "page", "score", "page_rank")
 
 
 def pages(hits: DataFrame, chunks: DataFrame, max_pages: int = 8, cutoff: float = 0.55) -> DataFrame:

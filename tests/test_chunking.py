@@ -209,7 +209,7 @@ def test_expressions_are_evaluated_once_an_image(spark):
 
 def test_from_elements_to_a_search(spark, tmp_path):
     e = spark.createDataFrame(PAGES, ELEMENTS)
-    records = chunking.chunk_records(chunking.chunk_documents(e, captioner=F.lit("A plot."), ocr=F.lit("Vcc")))
+    records = store.written(chunking.chunk_records(chunking.chunk_documents(e, captioner=F.lit("A plot."), ocr=F.lit("Vcc"))), "records")
     encode = lambda c: vectors.hashed_encoder(T.tokenize(c))
     store.write_chunks(records, str(tmp_path / "chunks"))
     back = store.read_chunks(spark, str(tmp_path / "chunks"))
