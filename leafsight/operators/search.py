@@ -15,29 +15,97 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, snippet, tokenize
+from ..sources.store import written
 from .blocks import all_scores, k_best
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 CHUNK = ("collection", "chunk_seq")
 
 
+#: Partitions of stored postings by the hash of their term, and chunk numbers that a block of them spans.
+BUCKETS, SPAN = 32, 256
+#: Postings of its most telling terms that a query looks at for a first bound.
+LEAD = 2000
+#: Chunks that are scored in full for the bound, so many for each row that is asked for.
+SEEDS = 4
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """What lexical search needs of a corpus: postings (collection, chunk_seq, term, tf, dl), terms (collection, term, df, idf), stats (collection, n, avgdl)."""
+    """What lexical search needs of a corpus.
+
+    postings (collection, chunk_seq, term, tf, dl), counts (collection, n), and from these terms
+    (collection, term, df, idf) and stats (collection, n, avgdl).
+    """
 
     postings: DataFrame
+    counts: DataFrame
+
+    @property
+    def stats(self) -> DataFrame:
+        length = self.postings.groupBy("collection").agg(F.sum("tf").alias("length"))
+        return self.counts.join(length, "collection", "left").select("collection", "n", (F.coalesce("length", F.lit(0)) / F.col("n")).alias("avgdl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return _idf(self.postings.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df")), self.counts)
+
+    def save(self, path: str) -> StoredLexicon:
+        """Write blocks, terms and stats below `path`; texts are tokenised once for all of them.
+
+        A block holds the postings of a term within SPAN chunk numbers, weighted, under their
+        greatest weight; blocks lie in BUCKETS partitions by the hash of their term.
+        """
+        flat = Lexicon(written(self.postings, "postings"), self.counts)
+        flat.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        stats = F.broadcast(self.postings.sparkSession.read.parquet(f"{path}/stats").select("collection", "avgdl"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        weighed = flat.postings.join(stats, "collection").select(*CHUNK, "term", _weight().alias("w"))
+        blocks = weighed.groupBy("collection", "term", F.floor(F.col("chunk_seq") / SPAN).alias("span")).agg(F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("chunk_seq", "w"))).alias("hits"))
+        # a common term's blocks may fill several files of its bucket
+        blocks.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        top = self.postings.sparkSession.read.parquet(f"{path}/blocks").groupBy("collection", "term").agg(F.max("top").alias("top"))
+        flat.terms.join(top, ["collection", "term"]).select("*", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        return StoredLexicon.load(self.postings.sparkSession, path)
+
+
+@dataclass(frozen=True)
+class StoredLexicon:
+    """blocks (collection, term, span, top, hits, bucket), terms (collection, term, df, idf, top, bucket), stats (collection, n, avgdl)."""
+
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
-    def save(self, path: str) -> None:
-        """Write the three tables below `path`, postings sorted by term, so that a reader skips what isn't asked for."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Lexicon:
-        return Lexicon(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
+    def load(spark: SparkSession, path: str) -> StoredLexicon:
+        return StoredLexicon(*[spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")])
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, collection, term, bucket, df, weight, top) of the queries' terms that the corpus has; weight: how often it is asked for, by its idf."""
+        words = _asked(queries).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        known = _pruned(self.terms, words).join(words, ["collection", "term", "bucket"])
+        return known.select("query_id", "collection", "term", "bucket", "df", (F.col("qtf") * F.col("idf")).alias("weight"), "top")
+
+    def gains(self, asked: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+        """(query_id, collection, chunk_seq, gain) for each posting of the terms asked for, within spans (query_id, collection, span) if given."""
+        hit = _pruned(self.blocks, asked).join(asked.select("query_id", "collection", "term", "weight"), ["collection", "term"])
+        hit = hit if spans is None else hit.join(spans, ["query_id", "collection", "span"], "left_semi")
+        return hit.select("query_id", "collection", "weight", F.explode("hits").alias("h")).select("query_id", "collection", "h.chunk_seq", (F.col("weight") * F.col("h.w")).alias("gain"))
+
+
+def _pruned(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the buckets that are asked for: BUCKETS numbers at most, as literals, so that other partitions aren't read."""
+    return rows.where(F.col("bucket").isin([r["bucket"] for r in asked.select("bucket").distinct().collect()]))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    words = queries.select("query_id", "collection", F.explode(tokenize(F.col("text"))).alias("term"))
+    return words.groupBy("query_id", "collection", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _weight() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def _words(chunks: DataFrame, text: Column | None) -> DataFrame:
@@ -54,11 +122,15 @@ def statistics(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms (collection, term, df, idf; negative idf are a quarter of the mean) and stats (collection, n, avgdl)."""
     stats = words.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
     df = words.select("collection", F.explode(F.array_distinct("words")).alias("term")).groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
+    return _idf(df, stats), stats
+
+
+def _idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(collection, term, df, idf)."""
     # a row for each collection
     raw = df.join(F.broadcast(stats.select("collection", "n")), "collection").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("collection").agg(F.avg("raw").alias("mean"))
-    terms = raw.join(F.broadcast(mean), "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return terms, stats
+    return raw.join(F.broadcast(mean), "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def inverse_frequencies(chunks: DataFrame, text: Column | None = None) -> DataFrame:
@@ -67,14 +139,15 @@ def inverse_frequencies(chunks: DataFrame, text: Column | None = None) -> DataFr
 
 
 def lexicon(chunks: DataFrame, text: Column | None = None) -> Lexicon:
-    words = _words(chunks, text)
-    each = words.select(*CHUNK, F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return Lexicon(each.groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), *statistics(words))
+    each = _words(chunks, text).select(*CHUNK, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return Lexicon(each.groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), chunks.groupBy("collection").agg(F.count(F.lit(1)).alias("n")))
 
 
-def bm25(chunks: DataFrame | Lexicon, queries: DataFrame, text: Column | None = None) -> DataFrame:
+def bm25(chunks: DataFrame | Lexicon | StoredLexicon, queries: DataFrame, text: Column | None = None) -> DataFrame:
     """(query_id, collection, chunk_seq, bm25) of chunks that share a term with the query, of chunks or of a lexicon made before."""
-    asked = queries.select("query_id", "collection", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "collection", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    if isinstance(chunks, StoredLexicon):
+        return chunks.gains(written(chunks.asked(queries), "asked")).groupBy("query_id", *CHUNK).agg(F.sum("gain").alias("bm25"))
+    asked = _asked(queries)
     if isinstance(chunks, Lexicon):
         terms, stats = chunks.terms, chunks.stats
         hit = chunks.postings.join(asked, ["collection", "term"])
@@ -86,8 +159,62 @@ def bm25(chunks: DataFrame | Lexicon, queries: DataFrame, text: Column | None =
         some = each.join(asked.select("collection", "term").distinct(), ["collection", "term"], "left_semi").groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         hit = some.join(asked, ["collection", "term"])
     hit = hit.join(terms.select("collection", "term", "idf"), ["collection", "term"]).join(F.broadcast(stats.select("collection", "avgdl")), "collection")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", *CHUNK).agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("bm25"))
+    return hit.groupBy("query_id", *CHUNK).agg(F.sum(F.col("qtf") * F.col("idf") * _weight()).alias("bm25"))
+
+
+@dataclass(frozen=True)
+class Bounded:
+    """The steps of a bounded search: the terms that must be looked at in full, the others, and the chunks that may be among the best, with what they have so far."""
+
+    essential: DataFrame
+    others: DataFrame
+    candidates: DataFrame
+
+
+def bounded(words: StoredLexicon, queries: DataFrame, k: int) -> Bounded:
+    """Which postings a search for the k best needs.
+
+    A query's most telling terms, LEAD postings or a little more, give it SEEDS * k promising
+    chunks; these are scored in full, and the k-th best of them is the bar. Terms that together can't lift a chunk over it are not
+    essential: chunks that have no other term are never looked at, and of those that do, only those
+    go on that could still reach the bar.
+    """
+    q = Window.partitionBy("query_id", "collection")
+    queries = written(queries.select("query_id", "collection", "text"), "queries")
+    bound = F.greatest(F.col("weight") * F.col("top"), F.lit(0.0))
+    terms = words.asked(queries).withColumn("bound", bound).withColumn("loss", F.least(F.col("weight") * F.col("top"), F.lit(0.0)))
+    by_size = q.orderBy(F.desc("bound"), "term")
+    terms = terms.withColumn("before", F.coalesce(F.sum("df").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    terms = written(terms.withColumn("up_to", F.sum("bound").over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing))), "terms")
+    first = words.gains(terms.where(F.col("before") < LEAD)).groupBy("query_id", *CHUNK).agg(F.sum("gain").alias("score"))
+    seeds = written(top(first, SEEDS * k).select("query_id", *CHUNK), "seeds")
+    whole = words.gains(terms, _spans(seeds)).join(seeds, ["query_id", *CHUNK], "left_semi").groupBy("query_id", *CHUNK).agg(F.sum("gain").alias("score"))
+    kth = top(whole, k).where(F.col("rank") == k).select("query_id", "collection", (F.col("score") - 1e-9).alias("bar"))
+    terms = written(terms.join(kth, ["query_id", "collection"], "left"), "bars")
+    # without a bar all terms count, as do those that lower a score
+    needed = F.coalesce(F.col("up_to") >= F.col("bar"), F.lit(True)) | (F.col("loss") < 0)
+    essential, others = terms.where(needed), terms.where(~needed)
+    rest = terms.groupBy("query_id", "collection").agg(F.min("bar").alias("bar"), F.sum(F.when(~needed, F.col("bound")).otherwise(0.0)).alias("rest"))
+    have = words.gains(essential).groupBy("query_id", *CHUNK).agg(F.sum("gain").alias("score"))
+    hopeful = have.join(rest, ["query_id", "collection"]).where(F.coalesce(F.col("score") + F.col("rest") >= F.col("bar"), F.lit(True)))
+    return Bounded(essential, others, written(hopeful.select("query_id", *CHUNK, "score"), "candidates"))
+
+
+def _spans(chunks: DataFrame) -> DataFrame:
+    return chunks.select("query_id", "collection", F.floor(F.col("chunk_seq") / SPAN).alias("span")).distinct()
+
+
+def other_gains(words: StoredLexicon, found: Bounded) -> DataFrame:
+    """(query_id, collection, chunk_seq, gain) of candidates by terms that aren't essential; blocks without candidates are not opened."""
+    some = words.gains(found.others, _spans(found.candidates))
+    return some.join(found.candidates.select("query_id", *CHUNK), ["query_id", *CHUNK], "left_semi")
+
+
+def best_bm25(words: StoredLexicon, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, collection, chunk_seq, score, rank) of the k best by BM25, as top of bm25 has them, from the postings that can matter."""
+    found = bounded(words, queries, k)
+    every = found.candidates.unionByName(other_gains(words, found).withColumnRenamed("gain", "score"))
+    return top(every.groupBy("query_id", *CHUNK).agg(F.sum("score").alias("score")), k)
 
 
 def _keyed(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +239,7 @@ def minmax(scores: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*[f"{n}_{c}" for c in columns for n in ("lo", "hi")])
 
 
-def scored(chunks: DataFrame, queries: DataFrame, words: Lexicon | None = None) -> DataFrame:
+def scored(chunks: DataFrame, queries: DataFrame, words: Lexicon | StoredLexicon | None = None) -> DataFrame:
     """(query_id, collection, chunk_seq, cos, bm25, norm_cos, norm_bm25) of every chunk of the query's collection."""
     both = dense(chunks, queries).join(bm25(words or chunks, queries), ["query_id", *CHUNK], "left").fillna(0.0, ["bm25"])
     return minmax(both, "cos", "bm25")
@@ -139,7 +266,7 @@ def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFra
 
 
 def search(
-    chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.6, mode: str = "hybrid", types: list[str] | None = None, words: Lexicon | None = None
+    chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.6, mode: str = "hybrid", types: list[str] | None = None, words: Lexicon | StoredLexicon | None = None
 ) -> DataFrame:
     """Ranked chunks; types are left out after scoring, so scores don't change with them."""
     hits = fuse(scored(chunks, queries, words), alpha, mode)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, elements, evaluate, search
+from ..operators import chunking, elements, evaluate, search, vector_index
 from ..sources import store
 from . import bindings as b
 from . import oracle
@@ -205,11 +205,10 @@ def r1_bm25(s, d):
 
 @query(oracle.BM25)
 def r5_stored_lexicon(s, d):
-    """As r1_bm25, from tables that are written first and read again."""
+    """As r1_bm25, from blocks of postings that are written first, those read that bounds leave."""
     path = store.scratch(s, "lexicon")
     search.lexicon(b.corpus(s, d)).save(path)
-    hits = search.bm25(search.Lexicon.load(s, path), b.queries(s, d)).withColumn("score", F.col("bm25"))
-    return _rounded(search.top(hits, 10), "query_id", "rank", "chunk_seq")
+    return _rounded(search.best_bm25(search.StoredLexicon.load(s, path), b.queries(s, d), 10), "query_id", "rank", "chunk_seq")
 
 
 @query(oracle.COLLECTIONS)
@@ -229,6 +228,13 @@ def s8_filtered_knn(s, d):
     return _rounded(search.nearest(b.chunks(s, d), b.queries(s, d), 10, "table"), "query_id", "rank", "chunk_seq")
 
 
+@query(oracle.FILTERED)
+def s8_vector_index(s, d):
+    """As s8_filtered_knn, from an index that is built and stored first: exact, by the lists' bounds."""
+    index = vector_index.build(b.chunks(s, d).drop("text"), store.scratch(s, "vectors"))
+    return _rounded(vector_index.nearest(index, b.queries(s, d), 10, "table", exact=True), "query_id", "rank", "chunk_seq")
+
+
 @query(oracle.MINMAX)
 def f2_minmax(s, d):
     return _rounded(search.scored(b.chunks(s, d), b.queries(s, d)), "query_id", "chunk_seq", scores=("cos", "bm25", "norm_cos", "norm_bm25"))

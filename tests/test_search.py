@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -99,9 +100,35 @@ def test_collections_are_apart(spark, data):
 def test_stored_lexicon(spark, data, tmp_path):
     c, q = data
     search.lexicon(c).save(str(tmp_path))
-    stored = search.Lexicon.load(spark, str(tmp_path))
-    one, two = ({(r["query_id"], r["chunk_seq"]): r["bm25"] for r in search.bm25(x, q).collect()} for x in (c, stored))
-    assert one == pytest.approx(two) and one
+    stored = search.StoredLexicon.load(spark, str(tmp_path))
+    one, two, three = ({(r["query_id"], r["chunk_seq"]): r["bm25"] for r in search.bm25(x, q).collect()} for x in (c, stored, search.lexicon(c)))
+    assert one == pytest.approx(two) and one == pytest.approx(three) and one
+    best = {(r["query_id"], r["chunk_seq"]): r["score"] for r in search.best_bm25(stored, q, 9).collect()}
+    assert one == pytest.approx(best)
+
+
+def test_bounded_search_has_the_same_rows_from_fewer_postings(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    words = [f"w{int(r.paretovariate(0.7)) % 3000}" for _ in range(60_000)]
+    rows = [(i % 2, i // 2, None, " ".join(r.choices(words, k=r.randint(5, 60)))) for i in range(3000)] + [(0, 5000, None, ""), (1, 5000, None, None)]
+    c = spark.createDataFrame(rows, "collection int, chunk_seq long, title string, text string")
+    # common words beside telling ones, as people ask
+    ask = lambda: " ".join([*r.choices([w for w in words if len(w) > 3], k=4), *r.choices([f"w{i}" for i in range(1, 12)], k=4), "unknown"])
+    q = spark.createDataFrame([(i, i % 2, ask()) for i in range(40)] + [(50, 0, ""), (51, 7, "w1"), (52, 1, "w1 w1 w1")], "query_id long, collection int, text string")
+    stored = search.lexicon(c).save(str(tmp_path / "lexicon"))
+    want = {(x["query_id"], x["rank"]): (x["chunk_seq"], round(x["bm25"], 9)) for x in search.top(search.bm25(c, q).withColumn("score", F.col("bm25")), 10).collect()}
+    for lead in (2000, 1):
+        monkeypatch.setattr(search, "LEAD", lead)
+        got = {(x["query_id"], x["rank"]): (x["chunk_seq"], round(x["score"], 9)) for x in search.best_bm25(stored, q, 10).collect()}
+        assert got == want
+    monkeypatch.setattr(search, "LEAD", 500)
+    found = search.bounded(stored, q, 10)
+    every, scored = stored.gains(stored.asked(q)).count(), stored.gains(found.essential).count() + search.other_gains(stored, found).count()
+    assert scored < 0.8 * every and found.others.count() > 0
+    one = stored.asked(q.where("query_id = 52"))
+    plan = stored.gains(one)._jdf.queryExecution().executedPlan().toString()
+    asked = [x["bucket"] for x in one.select("bucket").distinct().collect()]
+    assert len(asked) == 1 and any(f"bucket#" in p and str(asked[0]) in p for p in [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]])
 
 
 def test_untitled_chunks_are_no_section(spark):
