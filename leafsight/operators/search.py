@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, snippet, tokenize
+from ..functions.text import collapse, shown_score, snippet, tokenize
 from ..sources.store import written
 from .blocks import all_scores, k_best
 
@@ -307,8 +307,8 @@ def page_scores(hits: DataFrame, max_pages: int, cutoff: float = 0.0) -> DataFra
     return page.where(F.col("score") >= cutoff * F.col("best")).select("query_id", "page", "score", "page_rank")
 
 
-def pages(hits: DataFrame, chunks: DataFrame, max_pages: int = 8, cutoff: float = 0.55) -> DataFrame:
-    """Pages by their best chunk, with section headings and the three best chunks as evidence.
+def pages(hits: DataFrame, chunks: DataFrame, max_pages: int = 8, cutoff: float = 0.55, as_shown: bool = False) -> DataFrame:
+    """Pages by their best chunk, with section headings and the three best chunks as evidence; scores as they are shown, if so asked.
 
     hits: (query_id, collection, chunk_seq, page, title, chunk_type, score) of all chunks. Only the
     pages that are kept gather their chunks, and only evidence meets its text.
@@ -324,8 +324,9 @@ def pages(hits: DataFrame, chunks: DataFrame, max_pages: int = 8, cutoff: float
     one = F.struct("place", "title", "chunk_type", "snippet", "score")
     page = mine.groupBy("query_id", "page_rank", "page", "page_score").agg(F.array_sort(F.collect_list(one)).alias("all"))
     sections = F.array_distinct(F.filter(F.transform("all", lambda x: x["title"]), lambda t: t != ""))
-    evidence = F.transform(F.slice("all", 1, 3), lambda x: F.struct(x["chunk_type"].alias("type"), x["title"].alias("title"), x["snippet"].alias("snippet"), x["score"].alias("score")))
-    return page.select("query_id", "page_rank", "page", F.col("page_score").alias("score"), sections.alias("sections"), evidence.alias("evidence"))
+    said = shown_score if as_shown else lambda c: c
+    evidence = F.transform(F.slice("all", 1, 3), lambda x: F.struct(x["chunk_type"].alias("type"), x["title"].alias("title"), x["snippet"].alias("snippet"), said(x["score"]).alias("score")))
+    return page.select("query_id", "page_rank", "page", said(F.col("page_score")).alias("score"), sections.alias("sections"), evidence.alias("evidence"))
 
 
 def context(hits: DataFrame, budget: int = 4000) -> DataFrame:

@@ -412,15 +412,16 @@ def j11_decay_group_sweep(s, d):
     return _rounded(evaluate.averages(per, "decay", "max_group"), "decay", "max_group", "queries", scores=MEASURES)
 
 
-def _swept(s, d, hits: DataFrame, by: tuple[str, ...], pool: int = 40, ks: tuple[int, ...] = (1, 3, 5, 10), tuning: bool = False) -> DataFrame:
-    """Averages by all of `by` but the query, over its first `pool` chunks; of the tuning queries only, if so asked."""
+def _swept(s, d, hits: DataFrame, by: tuple[str, ...], pool: int | None = 40, ks: tuple[int, ...] = (1, 3, 5, 10), tuning: bool = False) -> DataFrame:
+    """Averages by all of `by` but the query, over its first `pool` chunks (None: all); of the tuning queries only, if so asked."""
     q = b.queries(s, d).select("query_id", "holdout")
     if tuning:
         hits = hits.join(F.broadcast(q.where("not holdout").select("query_id")), "query_id", "left_semi")
-    best = search.top(hits, pool, by)
+    best = hits if pool is None else search.top(hits, pool, by)
     best = best if "page" in best.columns else search.described(best, b.chunks(s, d), "page")
+    ranked = evaluate.all_pages(best, by) if pool is None else evaluate.ranked_pages(best, by)
     gold = b.gold(s, d).join(q.where("not holdout") if tuning else q, "query_id", "left_semi")
-    per = evaluate.metrics(evaluate.ranked_pages(best, by), gold, ks, by=by)
+    per = evaluate.metrics(ranked, gold, ks, by=by)
     group = [c for c in by if c != "query_id"]
     measures = (*[f"hit_{k}" for k in ks], *[f"recall_{k}" for k in ks], "ndcg")
     return _rounded(evaluate.averages(per, *group, columns=measures), *group, "queries", scores=measures)
@@ -441,11 +442,11 @@ def _blends(pair: tuple[DataFrame, DataFrame], name: str, steps: int) -> DataFra
 
 @query(oracle.SECTION_EVAL)
 def e2_section_eval(s, d):
-    """Without section lift, and with the strong setting, over 104 chunks."""
+    """Without section lift, and with the strong setting, over all chunks."""
     c = b.chunks(s, d)
     hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title").select("query_id", *search.CHUNK, "page", "title", "score")
     hits = hits.select("*", F.explode(F.array(F.lit(0.0), F.lit(0.85))).alias("decay"))
-    return _swept(s, d, search.lift_sections(hits, F.col("decay"), 8, ("decay", "query_id")), ("decay", "query_id"), 104, (1, 3, 5, 10, 20))
+    return _swept(s, d, search.lift_sections(hits, F.col("decay"), 8, ("decay", "query_id")), ("decay", "query_id"), None, (1, 3, 5, 10, 20))
 
 
 @query(oracle.PASSAGE_EVAL)
@@ -460,12 +461,12 @@ def j11_beta_sweep(s, d):
 
 @query(oracle.METADATA_EVAL)
 def e4_metadata_eval(s, d):
-    return _swept(s, d, _blends(_metadata(s, d), "gamma", 2), ("gamma", "query_id"), 104, (1, 3, 5, 10, 20))
+    return _swept(s, d, _blends(_metadata(s, d), "gamma", 2), ("gamma", "query_id"), None, (1, 3, 5, 10, 20))
 
 
 @query(oracle.METADATA_SWEEP)
 def j11_gamma_sweep(s, d):
-    return _swept(s, d, _blends(_metadata(s, d), "gamma", 10), ("gamma", "query_id"), 104, (1, 3, 5, 10, 20), tuning=True)
+    return _swept(s, d, _blends(_metadata(s, d), "gamma", 10), ("gamma", "query_id"), None, (1, 3, 5, 10, 20), tuning=True)
 
 
 def _reranked(s, d, shares: int) -> DataFrame:
@@ -531,9 +532,10 @@ def e8_alpha_tuning(s, d):
 
 @query(oracle.PROFILE)
 def j12_gold_profile(s, d):
-    """Gold against an index without its tables, so that some pages aren't indexed as they were."""
-    index = b.corpus(s, d).where("chunk_seq % 20 < 10")
-    return evaluate.gold_profile(b.gold(s, d), evaluate.page_composition(index)).select("query_id", "page", "grade", "composition")
+    """Gold, and for each of its pages one that lies beyond the last page, against what the index has of them."""
+    index = b.corpus(s, d)
+    beyond = b.gold(s, d).crossJoin(F.broadcast(index.agg(F.max("page").alias("last")))).select("query_id", (F.col("page") + F.col("last") + 1).alias("page"), "grade")
+    return evaluate.gold_profile(b.gold(s, d).unionByName(beyond), evaluate.page_composition(index)).select("query_id", "page", "grade", "composition")
 
 
 @query(oracle.MISSES_BY_KIND)
@@ -548,13 +550,16 @@ def a16_most_missed(s, d):
 
 @query(oracle.ROUNDED)
 def f13_shown_score(s, d):
-    p = search.page_scores(_hits(s, d), 8, 0.55)
-    return p.select("query_id", "page", F.round(F.abs(T.shown_score(F.col("score")) - F.col("score")), 4).alias("off"))
+    """Scores of pages and of their first evidence, as they are shown."""
+    p = search.pages(_hits(s, d), b.chunks(s, d), as_shown=True)
+    return p.select("query_id", "page_rank", "page", "score", F.col("evidence")[0]["score"].alias("first_score"))
 
 
 @query(oracle.STOP_UNION)
 def u2_stop_union(s, d):
-    return s.createDataFrame([(w,) for w in T.stop_union(T.KEYWORD_STOPWORDS, ("which", "datasheet", "via"))], "word string")
+    """Keywords of documents, without the words of two lists."""
+    words = T.stop_union(T.KEYWORD_STOPWORDS, ("datasheet", "via", "which", "der", "die", "les", "los"))
+    return _docs(s, d).select("doc_id", F.array_join(T.keywords(F.col("text"), stop=words), ", ").alias("words"))
 
 
 @query(oracle.TOP_TYPE)
@@ -592,12 +597,11 @@ def c9_chunk_documents(s, d):
 
 @query(oracle.TABLE_SOURCES)
 def c2_table_chunks(s, d):
-    """How many tables come from where, and in how many parts."""
+    """The parts of all tables, with where they come from."""
     e = b.elements(s, d)
     titled = elements.running_titles(e)
     tables = elements.match_text_tables(elements.table_captions(titled), elements.text_tables(_tables(s, d)))
-    parts = chunking.table_chunks(tables).where("table_part = 1")
-    return parts.groupBy("doc_id", "table_source").agg(F.count(F.lit(1)).alias("tables"), F.count_if(F.col("table_caption") != "").alias("captioned"))
+    return chunking.table_chunks(tables).select("doc_id", "idx", "page", "table_source", "table_caption", "table_part", "table_parts_total", "text")
 
 
 @query()

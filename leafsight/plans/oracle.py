@@ -269,11 +269,13 @@ MEDIAN = "SELECT lang, CAST(median(n_chars) AS DOUBLE) AS median_chars FROM docu
 DUPLICATES = "SELECT sha256(text) AS chunk_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1"
 REGISTER = f"WITH {CORPUS} SELECT title AS doc_id, max(page) AS pages, count(*) AS chunks FROM corpus GROUP BY title"
 DEEP = (1, 3, 5, 10, 20)
+#: No cut: the pool is the whole index.
+WHOLE = 1 << 62
 SECTION_EVAL = _evaluated(
     "score", "swept", "decay, query_id",
     HYBRID + """, swept AS (SELECT query_id, chunk_seq, CAST(decay AS DOUBLE) AS decay, CASE WHEN decay > 0 AND trim(title) <> '' AND count(*) OVER g BETWEEN 2 AND 8 THEN greatest(base, decay * max(base) OVER g) ELSE base END AS score
   FROM fused CROSS JOIN (SELECT unnest([0.0, 0.85]::DOUBLE[]) AS decay) WINDOW g AS (PARTITION BY query_id, trim(title), decay))""",
-    DEEP, 104,
+    DEEP, WHOLE,
 ) + _averaged("decay", DEEP)
 _PASSAGE = PASSAGE[: PASSAGE.index(" SELECT query_id, rank")]
 _METADATA = METADATA[: METADATA.index(" SELECT query_id, rank")]
@@ -288,8 +290,8 @@ _P = (_PASSAGE, "norm JOIN hn USING (query_id, chunk_seq)", "nh", "beta")
 PASSAGE_EVAL = _second(*_P, 2, (1, 3, 5, 10), 40, False)
 PASSAGE_SWEEP = _second(*_P, 5, (1, 3, 5, 10), 40, True)
 _M = (_METADATA, "norm JOIN (SELECT query_id, chunk_seq, 0.6 * norm_cos + 0.4 * norm_bm25 AS mh FROM mnorm) m USING (query_id, chunk_seq)", "mh", "gamma")
-METADATA_EVAL = _second(*_M, 2, DEEP, 104, False)
-METADATA_SWEEP = _second(*_M, 10, DEEP, 104, True)
+METADATA_EVAL = _second(*_M, 2, DEEP, WHOLE, False)
+METADATA_SWEEP = _second(*_M, 10, DEEP, WHOLE, True)
 _RERANKED = RERANK[: RERANK.index("SELECT query_id, page, CAST(row_number()")].rstrip()
 
 
@@ -320,14 +322,15 @@ DENSE_EVAL = _strict(_DENSE_ONLY) + " SELECT query_id, recall_1, recall_3, recal
 DENSE_TYPES = BASE + f" SELECT chunk_type, count(*) AS n FROM ({_DENSE_ONLY}) WHERE rank = 1 GROUP BY chunk_type"
 TUNING_ALPHA = _evaluated("alpha * norm_cos + (1 - alpha) * norm_bm25", f"norm CROSS JOIN {_grid('alpha', 10)}", "alpha, query_id", tuning=True) + _averaged("alpha")
 _MIX = "n AS (SELECT page, chunk_type, left(chunk_type, 3) || count(*) AS s FROM corpus {0} GROUP BY page, chunk_type), mix AS (SELECT page, string_agg(s, '/' ORDER BY chunk_type) AS composition FROM n GROUP BY page)"
-PROFILE = f"WITH {CHUNKS}, {ASKED}{GOLD}, " + _MIX.format("WHERE chunk_seq % 20 < 10") + " SELECT query_id, page, grade, coalesce(composition, 'NOT INDEXED') AS composition FROM gold LEFT JOIN mix USING (page)"
+PROFILE = f"WITH {CHUNKS}, {ASKED}{GOLD}, " + _MIX.format("") + """, far AS (SELECT * FROM gold UNION ALL SELECT query_id, page + (SELECT max(page) FROM corpus) + 1, grade FROM gold)
+SELECT query_id, page, grade, coalesce(composition, 'NOT INDEXED') AS composition FROM far LEFT JOIN mix USING (page)"""
 MISSES_BY_KIND = _evaluated(_HY) + " SELECT kind, count(*) AS missed FROM met JOIN asked USING (query_id) WHERE coalesce(page_rank, 99) > 5 GROUP BY kind"
 MOST_MISSED = (
     _evaluated(_HY) + ", " + _MIX.format("")
     + ", top AS (SELECT page, count(*) AS missed FROM met WHERE coalesce(page_rank, 99) > 5 GROUP BY page ORDER BY missed DESC, page LIMIT 10) SELECT page, missed, coalesce(composition, 'NOT INDEXED') AS composition FROM top LEFT JOIN mix USING (page)"
 )
-ROUNDED = PAGES[: PAGES.index(",\nfirsts AS")] + " SELECT query_id, page, round(abs(round(score, 4) - score), 4) AS off FROM kept"
-STOP_UNION = f"SELECT DISTINCT unnest(list_concat({_KEYWORD_STOP}, ['which', 'datasheet', 'via'])) AS word"
+ROUNDED = PAGES[: PAGES.index(",\nfirsts AS")] + " SELECT query_id, page_rank, page, round(score, 4) AS score, round(score, 4) AS first_score FROM kept"
+STOP_UNION = KEYWORDS.replace(_KEYWORD_STOP, f"list_concat({_KEYWORD_STOP}, ['datasheet', 'via', 'der', 'die', 'les', 'los'])")
 COLLECTIONS = f"""WITH {CHUNKS.replace(", chunks AS (", ", every AS (")}, chunks AS (SELECT chunk_seq % 3 + 1 AS collection, chunk_seq // 3 AS chunk_seq, title, text, embedding FROM every), {ASKED},
 q AS (SELECT *, query_id % 3 + 1 AS collection FROM asked),
 tf AS (SELECT collection, chunk_seq, term, count(*) AS tf FROM (SELECT collection, chunk_seq, unnest({_tokens("coalesce(title, '') || ' ' || text")}) AS term FROM chunks) GROUP BY ALL),
@@ -370,8 +373,12 @@ SELECT doc_id, CAST(i AS INT) AS chunk_seq, chunk_type, text, core_text, n AS ov
 """
 TABLE_SOURCES = f"""WITH {ELEMENTS}, fit AS (SELECT *, CASE WHEN t <> '' AND length(t) <= 400 AND (category = 'FigureCaption' OR regexp_matches(t, '(?i)^(table|tbl|exhibit)')) THEN t END AS c FROM (SELECT *, {_strip("text")} AS t FROM elements)),
 near AS (SELECT *, coalesce({", ".join(f"CASE WHEN lag(page, {-k}) OVER w IS NOT DISTINCT FROM page THEN lag(c, {-k}) OVER w END" for k in (-1, -2, 1, 2))}, '') AS caption FROM fit WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
-e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS n, count(*) FILTER (idx % 2 = 0) OVER (PARTITION BY doc_id, page) AS layer FROM near WHERE category = 'Table')
-SELECT doc_id, CASE WHEN n <= layer THEN 'text_layer' ELSE 'ocr_html' END AS table_source, count(*) AS tables, count(*) FILTER (caption <> '') AS captioned FROM e WHERE n <= layer OR t <> '' GROUP BY ALL"""
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS n, count(*) FILTER (idx % 2 = 0) OVER (PARTITION BY doc_id, page) AS layer FROM near WHERE category = 'Table'),
+c AS (SELECT *, replace({_collapse("left(text, 60)")}, '|', '\\|') AS a, len(string_split(text, ' ')) AS b FROM e),
+l AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS n, '| line | words |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || a || ' | ' || b || ' |' AS m FROM c WHERE idx % 2 = 0)
+SELECT doc_id, idx, page, CASE WHEN n <= layer THEN 'text_layer' ELSE 'ocr_html' END AS table_source, caption AS table_caption, 1 AS table_part, 1 AS table_parts_total,
+  CASE WHEN n <= layer THEN CASE WHEN caption <> '' THEN caption || chr(10) || chr(10) ELSE '' END || m ELSE {_strip("caption || chr(10) || chr(10) || text")} END AS text
+FROM e LEFT JOIN l USING (doc_id, page, n) WHERE n <= layer OR t <> ''"""
 LAYER = _boilerplate(0.1) + f""", l AS (SELECT doc_id, page, idx, text, CASE WHEN idx % 2 = 0 THEN text ELSE text || '!' END AS other FROM elements WHERE category = 'FigureCaption'),
 lk AS (SELECT doc_id, page, {_collapse("text")} || {_collapse("other")} AS any_cell, [regexp_replace(lower({_collapse("x")}), '\\p{{Nd}}+', '#', 'g') FOR x IN [text || ' ' || other, text, other]] AS keys FROM l),
 s AS (SELECT doc_id, list(key) AS bad FROM bp GROUP BY doc_id),

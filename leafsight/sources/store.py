@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -83,7 +84,7 @@ def parsed(spark: SparkSession, folder: str, cache: str, parser: Callable[[bytes
     schema = f"{ELEMENTS}, cache_key string, parse_error string"
     known = spark.read.schema(schema).parquet(cache) if _there(spark, cache) else spark.createDataFrame([], schema)
     fresh = not_cached(files.drop("cache_key"), known.where("parse_error is null").select("cache_key").distinct())
-    parse_files(fresh.drop("cache_key"), parser).write.mode("append").parquet(cache)
+    append(parse_files(fresh.drop("cache_key"), parser), cache)
     mine = partition_key(files.drop("content")).select("cache_key")
     return spark.read.schema(schema).parquet(cache).join(mine, "cache_key", "left_semi").where("parse_error is null and idx is not null")
 
@@ -99,6 +100,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/leafsight-{tag}-{uuid.uuid4().hex}"
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add df to the table at `path`, in a folder of this write's own: writers at the same time share no temporary files, so none removes another's."""
+    df.write.parquet(f"{path}/write={uuid.uuid4().hex}")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: what reads it twice computes it once."""
     path = scratch(df.sparkSession, tag)
@@ -168,25 +174,35 @@ def register(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.max(F.coalesce("page", F.lit(0))).alias("pages"), F.count(F.lit(1)).alias("chunks"))
 
 
+#: An event of the registry: the fields of an entry that change (null: as they were), when, and by which call.
+EVENTS = f"{REGISTRY}, at double, event string"
+
+
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """All documents' entries; none if there is no registry yet."""
-    return spark.read.schema(REGISTRY).parquet(path) if _there(spark, path) else spark.createDataFrame([], REGISTRY)
+    """All documents' entries, each field as the latest event of its document that names it left it; none if there is no registry yet."""
+    events = spark.read.schema(EVENTS).parquet(path) if _there(spark, path) else spark.createDataFrame([], EVENTS)
+    names = [x.split()[0] for x in REGISTRY.split(", ")][1:]
+    latest = [F.max(F.when(F.col(c).isNotNull(), F.struct("at", "event", F.col(c).alias("value"))))["value"].alias(c) for c in names]
+    return events.groupBy("doc_id").agg(*latest)
 
 
-def save_registry(entries: DataFrame, path: str) -> None:
-    """Write the registry anew: a few hundred bytes a document, read whole before it is replaced."""
-    spark = entries.sparkSession
-    held = spark.createDataFrame(entries.collect(), REGISTRY)
-    held.coalesce(1).write.mode("overwrite").parquet(path)
+def put_entries(entries: DataFrame, path: str) -> None:
+    """Append events: what `entries` (doc_id and any other columns of the registry) changes. Writers don't wait for each other, and nothing is ever replaced."""
+    row = [F.col(n).cast(k).alias(n) if n in entries.columns else F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in REGISTRY.split(", "))]
+    append(entries.select(*row, F.lit(time.time()).alias("at"), F.lit(uuid.uuid4().hex).alias("event")), path)
 
 
 def put_entry(spark: SparkSession, path: str, **fields: object) -> None:
-    """Add a document's entry, or change the fields given of the one it has."""
-    names = [x.split()[0] for x in REGISTRY.split(", ")]
-    now = load_registry(spark, path)
-    old = now.where(F.col("doc_id") == fields["doc_id"]).first()
-    row = (old.asDict() if old else dict.fromkeys(names) | {"pages": 0, "chunks": 0, "status": "ready", "message": "", "progress": "", "is_sample": False}) | fields
-    save_registry(now.where(F.col("doc_id") != fields["doc_id"]).unionByName(spark.createDataFrame([tuple(row[c] for c in names)], REGISTRY)), path)
+    """Add a document's entry, or change the fields given of the one it has. A new entry has what isn't given as none, 0 or ready."""
+    names = [x.split() for x in REGISTRY.split(", ")]
+    new = load_registry(spark, path).where(F.col("doc_id") == fields["doc_id"]).isEmpty()
+    row = ({"pages": 0, "chunks": 0, "status": "ready", "message": "", "progress": "", "is_sample": False} if new else {}) | fields
+    put_entries(spark.createDataFrame([tuple(row.get(n) for n, _ in names)], REGISTRY).coalesce(1), path)
+
+
+def compact_registry(spark: SparkSession, path: str, to: str) -> None:
+    """Write the events that still count, one a document, as a registry at `to`. The one at `path` stays as it is."""
+    put_entries(load_registry(spark, path), to)
 
 
 def register_sample(spark: SparkSession, path: str, pdf_path: str, chunks_path: str, collection: str, name: str, created: float = 0.0) -> dict | None:
@@ -246,6 +262,24 @@ def accept_upload(name: str, size: int) -> None:
         raise BadRequest("the file is empty")
 
 
+def add_uploads(spark: SparkSession, registry: str, files: DataFrame, count_pages: Callable[[Column], Column], collection: str = "documents") -> DataFrame:
+    """Entries (doc_id, name, pages, status) in state indexing for files (path, length, modificationTime, content), all in one append.
+
+    The id is a digest of the file's bytes, so that a file sent twice has one entry; `count_pages`,
+    an expression or pandas UDF of the bytes, is asked once a file. Files that accept_upload would
+    refuse get an entry in state error that says why.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    why = F.when(~F.lower(name).endswith(".pdf"), "only PDF files are taken").when(F.col("length") == 0, "the file is empty").otherwise("")
+    each = files.select(F.left(F.sha2("content", 256), F.lit(12)).alias("doc_id"), name.alias("name"), F.col("path").alias("pdf_path"), why.alias("message"), "content")
+    fine = each.where("message = ''").withColumn("pages", count_pages(F.col("content")).cast("int"))
+    both = fine.unionByName(each.where("message <> ''").withColumn("pages", F.lit(0))).drop("content").dropDuplicates(["doc_id"])
+    rows = both.withColumns({"status": F.when(F.col("message") == "", "indexing").otherwise("error"), "chunks": F.lit(0), "collection": F.lit(collection), "progress": F.lit(""), "is_sample": F.lit(False), "created": F.lit(time.time())})
+    kept = written(rows, "uploads")
+    put_entries(kept, registry)
+    return kept.select("doc_id", "name", "pages", "status")
+
+
 def gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Queries (query_id, text, kind, holdout) and grades (query_id, page, grade) of a YAML list."""
     import yaml
@@ -292,7 +326,7 @@ def asked_once(rows: DataFrame, payload: Column, cache: str, model: str, version
     key = F.when(payload.isNotNull(), F.sha2(F.concat_ws("|", F.lit(model), F.lit(version), payload.cast("string")), 256))
     each = rows.select(key.alias("cache_key"), payload.alias("payload")).where("cache_key is not null").groupBy("cache_key").agg(F.first("payload").alias("payload"))
     fresh = each.join(load_answers(spark, cache).select("cache_key"), "cache_key", "left_anti")
-    fresh.select("cache_key", ask(F.col("payload")).cast("string").alias("answer")).write.mode("append").parquet(cache)
+    append(fresh.select("cache_key", ask(F.col("payload")).cast("string").alias("answer")), cache)
     told = load_answers(spark, cache).select(F.col("cache_key").alias("told_key"), F.col("answer").alias("told"))
     every = [c for c in rows.columns if c != answer]
     return rows.join(told, key == F.col("told_key"), "left").select(*every, F.col("told").alias(answer))

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ import __spark_entry__ as entry
 from leafsight.functions import hooks
 from leafsight.functions import text as T
 from leafsight.functions import vectors
-from leafsight.operators import evaluate, search
+from leafsight.operators import evaluate, search, timing
 from leafsight.sources import store
 from leafsight.streaming.ingest import ingest
 
@@ -193,6 +194,50 @@ def test_registry_and_states(spark, tmp_path):
     assert [r["doc_id"] for r in store.listed(store.load_registry(spark, reg)).collect()][0] == "sample"
 
 
+def test_registry_is_a_log_of_events(spark, tmp_path):
+    reg = str(tmp_path / "registry")
+    # two writers that have read the same state: each changes fields of its own, nothing is lost
+    store.put_entry(spark, reg, doc_id="a", name="A", status="indexing")
+    one = spark.createDataFrame([("a", "ready")], "doc_id string, status string")
+    two = spark.createDataFrame([("a", 7), ("b", 3)], "doc_id string, pages int")
+    store.put_entries(one, reg)
+    store.put_entries(two, reg)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: store.put_entries(spark.createDataFrame([(f"d{i}", i), ("a", i)], "doc_id string, chunks int"), reg), range(8)))
+    got = {r["doc_id"]: r for r in store.load_registry(spark, reg).collect()}
+    assert (got["a"]["name"], got["a"]["status"], got["a"]["pages"]) == ("A", "ready", 7) and got["b"]["pages"] == 3
+    assert {got[f"d{i}"]["chunks"] for i in range(8)} == set(range(8)) and got["a"]["chunks"] in range(8)
+    before = spark.read.parquet(reg).count()
+    store.compact_registry(spark, reg, str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == len(got) == 10 < before
+    assert sorted(store.load_registry(spark, str(tmp_path / "small")).collect()) == sorted(store.load_registry(spark, reg).collect())
+
+
+def test_uploads_get_entries(spark, tmp_path):
+    folder, reg = tmp_path / "in", str(tmp_path / "registry")
+    folder.mkdir()
+    for name, data in {"a.pdf": b"one\ftwo", "copy.PDF": b"one\ftwo", "c.txt": b"x"}.items():
+        (folder / name).write_bytes(data)
+    pages = lambda c: F.size(F.split(F.decode(c, "UTF-8"), "\f"))
+    files = store.binary_files(spark, str(folder), "*")
+    # Spark's reader passes over empty files; an upload comes as a row
+    files = files.unionByName(files.limit(1).withColumns({"path": F.lit("/up/b.pdf"), "length": F.lit(0).cast("long"), "content": F.lit("").cast("binary")}))
+    got = {r["doc_id"]: r for r in store.add_uploads(spark, reg, files, pages).collect()}
+    kept = {r["doc_id"]: r for r in store.load_registry(spark, reg).collect()}
+    assert len(got) == len(kept) == 3 and sorted(r["status"] for r in kept.values()) == ["error", "error", "indexing"]
+    assert [(r["pages"], r["chunks"]) for r in kept.values() if r["status"] == "indexing"] == [(2, 0)]
+    assert {r["message"] for r in kept.values()} == {"", "the file is empty", "only PDF files are taken"}
+    store.add_uploads(spark, reg, files, pages)
+    assert store.load_registry(spark, reg).count() == 3
+
+
+def test_stage_medians(spark, data):
+    got = timing.stage_medians(*data, asked=1)
+    assert set(got) == {"dense", "bm25", "total", "fusion"} and got["total"] > 0
+    rate = timing.encoder_rate(data[0], lambda c: vectors.hashed_encoder(T.tokenize(c)), 1)
+    assert rate["ms_per_chunk"] > 0 and rate["chunks_per_s"] > 0 and rate["load_s"] >= 0
+
+
 def test_files_are_parsed_once(spark, tmp_path):
     folder, cache = tmp_path / "in", str(tmp_path / "cache")
     folder.mkdir()
