@@ -24,6 +24,8 @@ CHUNK = ("collection", "chunk_seq")
 
 #: Partitions of stored postings by the hash of their term, and chunk numbers that a block of them spans.
 BUCKETS, SPAN = 32, 256
+#: Postings that a file of stored blocks holds, or a little more.
+FILE = 1_000_000
 #: Postings of its most telling terms that a query looks at for a first bound.
 LEAD = 2000
 #: Chunks that are scored in full for the bound, so many for each row that is asked for.
@@ -60,10 +62,13 @@ class Lexicon:
         flat.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         stats = F.broadcast(self.postings.sparkSession.read.parquet(f"{path}/stats").select("collection", "avgdl"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-        weighed = flat.postings.join(stats, "collection").select(*CHUNK, "term", _weight().alias("w"))
-        blocks = weighed.groupBy("collection", "term", F.floor(F.col("chunk_seq") / SPAN).alias("span")).agg(F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("chunk_seq", "w"))).alias("hits"))
-        # a common term's blocks may fill several files of its bucket
-        blocks.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        span = F.floor(F.col("chunk_seq") / SPAN).alias("span")
+        weighed = flat.postings.join(stats, "collection").select(*CHUNK, "term", _weight().alias("w"), bucket, span)
+        # one shuffle deals postings to files: those of a bucket to several, by their spans, so that a common term is nobody's alone
+        parts = flat.postings.count() // (BUCKETS * FILE) + 1
+        dealt = weighed.withColumn("part", F.pmod("span", F.lit(parts))).repartition("bucket", "part")
+        blocks = dealt.groupBy("bucket", "part", "collection", "term", "span").agg(F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("chunk_seq", "w"))).alias("hits"))
+        blocks.drop("part").sortWithinPartitions("bucket", "collection", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         top = self.postings.sparkSession.read.parquet(f"{path}/blocks").groupBy("collection", "term").agg(F.max("top").alias("top"))
         flat.terms.join(top, ["collection", "term"]).select("*", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         return StoredLexicon.load(self.postings.sparkSession, path)
@@ -139,7 +144,8 @@ def inverse_frequencies(chunks: DataFrame, text: Column | None = None) -> DataFr
 
 
 def lexicon(chunks: DataFrame, text: Column | None = None) -> Lexicon:
-    each = _words(chunks, text).select(*CHUNK, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    # a chunk's text is shuffled once; its words are counted where it comes to
+    each = _words(chunks.repartition(*CHUNK), text).select(*CHUNK, F.size("words").alias("dl"), F.explode("words").alias("term"))
     return Lexicon(each.groupBy(*CHUNK, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), chunks.groupBy("collection").agg(F.count(F.lit(1)).alias("n")))
 
 
