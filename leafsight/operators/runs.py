@@ -30,8 +30,8 @@ class _Block:
     def __init__(self, pdf: pd.DataFrame, limit: int, hard: int) -> None:
         pdf = pdf.sort_values("at")
         self.at, self.doc, self.limit, self.hard = pdf["at"].to_numpy(), pdf["doc"].to_numpy(), limit, hard
-        self.n = len(self.at)
-        self.sums = np.concatenate([[0], np.cumsum(pdf["n"].to_numpy().astype("int64") + 2)])
+        self.n, self.each = len(self.at), pdf["n"].to_numpy().astype("int64")
+        self.sums = np.concatenate([[0], np.cumsum(self.each + 2)])
         opens = pdf["opens"].to_numpy().astype(bool)
         opens[1:] |= self.doc[1:] != self.doc[:-1]
         #: the first row from each one on that opens a run
@@ -81,7 +81,7 @@ class _Block:
 
 
 def runs(rows: DataFrame, limit: int, hard: int, block: int = BLOCK) -> DataFrame:
-    """(at, run) of rows (doc, at, n, opens): the `at` of the first row of the run that each row is in.
+    """(doc, at, n, run) of rows (doc, at, n, opens): the `at` of the first row of the run that each row is in.
 
     A run takes the next row of its document if the row doesn't open one, the run is shorter than
     `limit`, and both together, with two characters between them, are not over `hard`. `at` is
@@ -109,8 +109,8 @@ def runs(rows: DataFrame, limit: int, hard: int, block: int = BLOCK) -> DataFram
     def mark(pdf: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
         x = _Block(pdf, limit, hard)
         r = next(reached.itertuples(index=False))
-        return pd.DataFrame({"at": x.at, "run": x.starts((r.doc, r.start, r.length) if r.doc is not None else None)})
+        return pd.DataFrame({"doc": x.doc, "at": x.at, "n": x.each, "run": x.starts((r.doc, r.start, r.length) if r.doc is not None else None)})
 
     answers = cut.groupBy("part", "b").applyInPandas(answer, _ANSWER)
     reached = answers.repartition(1).sortWithinPartitions("part", "b").mapInPandas(reach, _REACH)
-    return cut.groupBy("part", "b").cogroup(reached.groupBy("part", "b")).applyInPandas(mark, "at long, run long")
+    return cut.groupBy("part", "b").cogroup(reached.groupBy("part", "b")).applyInPandas(mark, "doc string, at long, n long, run long")

@@ -163,7 +163,7 @@ def w8_reading_order(s, d):
     return _overlap_input(s, d).select("doc_id", "build_seq", "chunk_seq")
 
 
-@query()
+@query(oracle.SECTION_CHUNKS)
 def c1_section_chunks(s, d):
     return chunking.section_chunks(b.elements(s, d))
 

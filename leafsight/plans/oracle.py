@@ -371,6 +371,29 @@ UNION ALL SELECT o.doc_id, o.i, o.chunk_type, CASE WHEN b.borrows THEN tail || c
 FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1, LATERAL (SELECT {_strip("right(f.text, 500)")} AS tail) t, LATERAL (SELECT tail <> '' AND (o.chunk_type = 'image' OR (o.chunk_type = 'table' AND o.part = 1)) AS borrows) b)
 SELECT doc_id, CAST(i AS INT) AS chunk_seq, chunk_type, text, core_text, n AS overlap_prefix_chars, CAST(length(text) AS INT) AS char_count FROM f
 """
+def _greedy(name: str, rows: str, limit: int) -> str:
+    """CTE name(doc_id, i, run): rows (doc_id, i, n, opens) taken one after the other, `run` being the i of a run's first."""
+    takes = f"NOT r.opens AND x.size < {limit} AND x.size + 2 + r.n <= 5000"
+    return f"""{name} AS (SELECT doc_id, i, i AS run, n AS size FROM {rows} WHERE i = 1
+UNION ALL SELECT r.doc_id, r.i, CASE WHEN {takes} THEN x.run ELSE r.i END, CASE WHEN {takes} THEN x.size + 2 + r.n ELSE r.n END FROM {name} AS x JOIN {rows} AS r ON r.doc_id = x.doc_id AND r.i = x.i + 1)"""
+
+
+_BLANK = "strpos(reverse(left(rest, 5001)), ' ')"
+_AT = f"CASE WHEN length(rest) <= 5000 THEN length(rest) WHEN {_BLANK} BETWEEN 1 AND 5000 THEN 5001 - {_BLANK} ELSE 5000 END"
+SECTION_CHUNKS = f"""WITH RECURSIVE {ELEMENTS},
+whole AS (SELECT doc_id, idx, page, category, {_strip("text")} AS rest FROM elements WHERE category NOT IN ('Table', 'Image')),
+cut AS (SELECT doc_id, idx, page, category, -1 AS k, '' AS piece, rest FROM whole
+UNION ALL SELECT doc_id, idx, page, category, k + 1, regexp_replace(left(rest, {_AT}), '{_WS}$', ''), regexp_replace(substr(rest, {_AT} + 1), '^{_WS}', '') FROM cut WHERE rest <> ''),
+pieces AS MATERIALIZED (SELECT doc_id, page, piece, length(piece) AS n, category = 'Title' AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS i FROM cut WHERE k >= 0),
+{_greedy("sectioned", "pieces", 3000)},
+sections AS MATERIALIZED (SELECT doc_id, run AS first, sum(n) + 2 * (count(*) - 1) AS n, false AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS i FROM sectioned JOIN pieces USING (doc_id, i) GROUP BY doc_id, run),
+{_greedy("chunked", "sections", 1000)},
+owned AS (SELECT p.*, c.run FROM pieces AS p JOIN sectioned AS s USING (doc_id, i) JOIN sections AS t ON t.doc_id = p.doc_id AND t.first = s.run JOIN chunked AS c ON c.doc_id = p.doc_id AND c.i = t.i),
+chunks AS (SELECT doc_id, run, string_agg(piece, chr(10) || chr(10) ORDER BY i) AS core, arg_min(page, i) AS page, arg_min(piece, i) FILTER (WHERE opens) AS own FROM owned GROUP BY doc_id, run),
+seeds AS (SELECT doc_id, arg_min(rest, idx) AS seed FROM whole WHERE category = 'Title' GROUP BY doc_id),
+full_texts AS (SELECT doc_id, row_number() OVER w - 1 AS seq, page, coalesce(last_value(own IGNORE NULLS) OVER w, seed, '') AS title, coalesce(right(lag(core) OVER w, 500) || ' ', '') || core AS text
+FROM chunks LEFT JOIN seeds USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY run))
+SELECT doc_id, seq::INTEGER AS seq, page::INTEGER AS page, title, text, length(text)::INTEGER AS char_count FROM full_texts"""
 TABLE_SOURCES = f"""WITH {ELEMENTS}, fit AS (SELECT *, CASE WHEN t <> '' AND length(t) <= 400 AND (category = 'FigureCaption' OR regexp_matches(t, '(?i)^(table|tbl|exhibit)')) THEN t END AS c FROM (SELECT *, {_strip("text")} AS t FROM elements)),
 near AS (SELECT *, coalesce({", ".join(f"CASE WHEN lag(page, {-k}) OVER w IS NOT DISTINCT FROM page THEN lag(c, {-k}) OVER w END" for k in (-1, -2, 1, 2))}, '') AS caption FROM fit WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
 e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS n, count(*) FILTER (idx % 2 = 0) OVER (PARTITION BY doc_id, page) AS layer FROM near WHERE category = 'Table'),

@@ -8,9 +8,10 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, digest_id, document_input
@@ -128,11 +129,55 @@ def write_chunks(chunks: DataFrame, path: str, keep_images: bool = True, array:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON arrays or lines, in one fixed schema: a file that begins with a bracket is an array."""
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"), F.regexp_like("value", F.lit(r"^\s*\[")).alias("array"))
-    arrays = text.where("array").select(F.explode(F.from_json("value", f"array<struct<{_FIELDS}>>")).alias("c")).select("c.*")
-    lines = text.where("not array").select(F.explode(F.split("value", "\n")).alias("v")).where(F.trim("v") != "").select(F.from_json("v", CHUNK_SCHEMA).alias("c")).select("c.*")
-    return arrays.unionByName(lines)
+    """Chunks of JSON arrays or lines, in one fixed schema: a file that begins with a bracket is an array.
+
+    Files of either kind are split among tasks, however large they are. What comes after an
+    array's last whole record is left out; a line that isn't JSON is a row of nulls. Arrays are
+    written as records to the shared folder.
+    """
+    heads = spark.read.text(path, lineSep="}").select(F.left(F.ltrim(F.regexp_replace("value", r"^[\s\x{feff}]+", "")), F.lit(1)).alias("c"), "_metadata.file_path", "_metadata.file_block_start")
+    firsts = heads.where("file_block_start = 0").withColumn("i", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("c", "i").alias("c"))
+    # as many names as Spark's own listing of the files holds
+    kinds = [(r["c"] == "[", unquote(r["file_path"])) for r in firsts.collect()]
+    arrays, lines = [p for a, p in kinds if a], [p for a, p in kinds if not a]
+    out = spark.read.schema(CHUNK_SCHEMA).json(lines) if lines else spark.createDataFrame([], CHUNK_SCHEMA)
+    return out.unionByName(array_records(spark, arrays).select(F.from_json("value", CHUNK_SCHEMA).alias("c")).select("c.*")) if arrays else out
+
+
+def array_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The objects of JSON arrays, as texts (file_path, value), of files that many tasks read.
+
+    Files are read in pieces that end at a closing brace, which any reader of lines can find from
+    any place in a file. Whether a piece begins within a string follows from the number of quotes
+    before it, and how deep in brackets it ends from those outside of strings before it: sums
+    within each block of a file, then over the blocks. An object ends where the depth is one again.
+    """
+    text = spark.read.text(paths, lineSep="}").select("_metadata.file_path", F.col("_metadata.file_block_start").alias("b"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    outside = lambda x: F.regexp_replace(x, r'"[^"]*("|$)', "")
+    depth = lambda x: F.regexp_count(x, F.lit(r"[\[{]")) - F.regexp_count(x, F.lit(r"[\]}]"))
+    x = text.withColumn("i", F.monotonically_increasing_id()).withColumn("plain", plain).withColumn("q", F.regexp_count("plain", F.lit('"')) % 2)
+    # the brace that ends the piece counts where it isn't within a string
+    from_out, from_in = depth(outside(F.col("plain"))) - (1 - F.col("q")), depth(outside(F.regexp_replace("plain", r'^[^"]*("|$)', ""))) - F.col("q")
+    x = written(x.select("file_path", "b", "i", "value", "q", from_out.alias("d0"), from_in.alias("d1")), "pieces")
+    here = Window.partitionBy("file_path", "b").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = Window.partitionBy("file_path").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("q").over(here), F.lit(0)) - F.col("q")
+    light = x.select("file_path", "b", "i", "q", "d0", "d1", (within % 2).alias("p"))
+    as_begun = lambda s: F.when((F.col("p") + s) % 2 == 0, F.col("d0")).otherwise(F.col("d1"))
+    light = light.select("file_path", "b", "i", ((F.col("p") + F.col("q")) % 2).alias("p"), F.sum(as_begun(0)).over(here).alias("s0"), F.sum(as_begun(1)).over(here).alias("s1"))
+    blocks = light.groupBy("file_path", "b").agg(F.max_by("p", "i").alias("p"), F.max_by("s0", "i").alias("s0"), F.max_by("s1", "i").alias("s1"))
+    blocks = blocks.withColumn("begun", F.coalesce(F.sum("p").over(past), F.lit(0)) % 2)
+    blocks = blocks.select("file_path", "b", "begun", F.coalesce(F.sum(F.when(F.col("begun") == 0, F.col("s0")).otherwise(F.col("s1"))).over(past), F.lit(0)).alias("deep"))
+    at = light.join(blocks, ["file_path", "b"])
+    ends = ((F.col("p") + F.col("begun")) % 2 == 0) & (F.col("deep") + F.when(F.col("begun") == 0, F.col("s0")).otherwise(F.col("s1")) == 1)
+    at = at.select("file_path", "b", "i", F.when(ends, 1).otherwise(0).alias("end"))
+    at = at.withColumn("n", F.sum("end").over(here) - F.col("end"))
+    earlier = at.groupBy("file_path", "b").agg(F.sum("end").alias("ends")).select("file_path", "b", F.coalesce(F.sum("ends").over(past), F.lit(0)).alias("n0"))
+    owner = at.join(earlier, ["file_path", "b"]).select("file_path", "b", "i", (F.col("n0") + F.col("n")).alias("n"), "end")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "value"))), lambda v: v["value"])
+    whole = x.join(owner, ["file_path", "b", "i"]).groupBy("file_path", "n").agg(F.concat(F.array_join(pieces, "}"), F.lit("}")).alias("value"), F.max("end").alias("end"))
+    return whole.where("end = 1").select("file_path", F.regexp_replace("value", r"^[^{]+", "").alias("value"))
 
 
 def index_rows(chunks: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:

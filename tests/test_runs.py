@@ -23,7 +23,7 @@ def test_runs_over_blocks_are_those_of_a_fold(spark):
     for limit, hard, block, doc_every, open_every, most in ((30, 50, 3, 40, 9, 20), (30, 50, 1, 4000, 4000, 8), (12, 90, 7, 300, 10**6, 95), (40, 40, 5, 300, 60, 3)):
         rows = [(f"d{i // doc_every}", (i // 100 << 33) + i % 100, rnd.randint(1, most), rnd.randint(1, open_every) == 1) for i in range(900)]
         df = spark.createDataFrame(rows, "doc string, at long, n int, opens boolean")
-        assert sorted(map(tuple, runs(df, limit, hard, block).collect())) == folded(rows, limit, hard)
+        assert sorted(map(tuple, runs(df, limit, hard, block).select("at", "run").collect())) == folded(rows, limit, hard)
 
 
 def test_section_chunks_are_those_of_a_fold(spark):
