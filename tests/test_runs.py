@@ -47,9 +47,9 @@ def test_section_chunks_are_those_of_a_fold(spark):
             want.append((d, i, page, title, full, len(full)))
             before = text
     key = lambda r: (str(r[0]), r[1])
-    for spread, block in ((1, 100_000), (3, 7)):
-        with_parts = df.repartition(spread)
-        got = chunking.section_chunks(with_parts, 40, 80, 120, 25, block)
+    # in groups, all by blocks, some by blocks
+    for spread, whole, block in ((1, 10**6, 1), (3, 0, 7), (2, 3000, 100_000)):
+        got = chunking.section_chunks(df.repartition(spread), 40, 80, 120, 25, whole, block)
         assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     assert chunking.section_chunks(df.where("false")).count() == 0
 
@@ -70,5 +70,6 @@ def test_overlaps_are_cut_where_nothing_carries(spark):
         borrows = before is not None and kind != "text" and not (kind == "table" and part > 1) and tail
         before, doc = f"{tail}\n\n{text}" if borrows else text, d
         want.append((d, i, before, text if borrows else None, len(tail) if borrows else 0))
-    got = chunking.cross_chunk_overlap(df.orderBy(F.rand(1)), 10)
-    assert sorted(map(tuple, got.select("doc_id", "chunk_seq", "text", "core_text", "overlap_prefix_chars").collect())) == want
+    for block in (1, 7, 4096):
+        got = chunking.cross_chunk_overlap(df.orderBy(F.rand(1)), 10, block)
+        assert sorted(map(tuple, got.select("doc_id", "chunk_seq", "text", "core_text", "overlap_prefix_chars").collect())) == want
