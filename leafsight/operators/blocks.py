@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 MOST_SENT, MOST_SCORES = 64 << 20, 32 << 20
 #: Scores are compared at so many decimals.
 DIGITS = 9
+#: Rows with the scores of a grid that a task gathers before it keeps the best.
+HELD = 200_000
 Asked = dict[object, tuple[list, np.ndarray]]
 
 
@@ -132,3 +134,66 @@ def k_best(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query], kinds[0]), pa.array(where.tolist(), kinds[1]), pa.array(seq, kinds[2]), pa.array(cos)], _NAMES)
 
     return _over(rows, queries, work, schema)
+
+
+def _picks(table: pa.Table, scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each column of scores, which rows are among the k best of their query: larger scores first, then smaller numbers."""
+    query = np.asarray(table.column("query_id").combine_chunks().dictionary_encode().indices)
+    base = np.lexsort((np.asarray(table.column("chunk_seq")), query))
+    out = []
+    for column in scores.T:
+        order = base[np.lexsort((-column[base], query[base]))]
+        first = np.searchsorted(query[order], query[order])
+        out.append(order[np.arange(len(order)) - first < k])
+    return out
+
+
+def grid_best(rows: DataFrame, k: int, held: int = HELD) -> DataFrame:
+    """(at, query_id, collection, chunk_seq, score): the k best of each query at each place of `scores`, and perhaps others.
+
+    rows: (query_id, collection, chunk_seq, scores array<double>), as many scores in each row as there
+    are points in a grid; null scores come last, NaN first. A task keeps the rows that are among its k best anywhere,
+    so a row is never repeated for each point. It holds some `held` rows at most: if more than
+    half of these are among the best, it hands them on and begins anew.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = ("query_id", "collection", "chunk_seq")
+    types = [rows.schema[n].dataType for n in names]
+    fields = ["at", *names, "score"]
+    schema = "at int, " + ", ".join(f"{n} {t.simpleString()}" for n, t in zip(names, types, strict=True)) + ", score double"
+    kinds = [pa.int32(), *map(to_arrow_type, types), pa.float64()]
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        flat = np.asarray(table.column("scores").combine_chunks().flatten().fill_null(-np.inf))
+        return np.where(np.isnan(flat), np.inf, flat).reshape(table.num_rows, -1)
+
+    def best(table: pa.Table, scores: np.ndarray, picks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at, some in enumerate(picks):
+            mine = table.take(pa.array(some))
+            columns = [mine.column(n).combine_chunks().cast(t) for n, t in zip(names, kinds[1:4], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int32)), *columns, pa.array(scores[some, at])], fields)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            parts.append(batch)
+            count += batch.num_rows
+            if count < held:
+                continue
+            table = pa.Table.from_batches(parts)
+            scores = matrix(table)
+            picks = _picks(table, scores, k)
+            kept = np.unique(np.concatenate(picks))
+            if len(kept) > held // 2:
+                yield from best(table, scores, picks)
+                parts, count = [], 0
+            else:
+                parts, count = table.take(pa.array(kept)).combine_chunks().to_batches(), len(kept)
+        if count:
+            table = pa.Table.from_batches(parts)
+            scores = matrix(table)
+            yield from best(table, scores, _picks(table, scores, k))
+
+    return rows.select(*names, "scores").mapInArrow(work, schema)

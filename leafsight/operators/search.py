@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, shown_score, snippet, tokenize
 from ..sources.store import written
-from .blocks import all_scores, k_best
+from .blocks import DIGITS, all_scores, grid_best, k_best
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 CHUNK = ("collection", "chunk_seq")
@@ -291,15 +291,38 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 5, chunk_type: str |
     return top(k_best(*_keyed(some, queries), k).withColumn("score", F.col("cos")), k)
 
 
-def lift_sections(hits: DataFrame, decay: float | Column = 0.5, max_group: int | Column = 4, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Chunks of a section of 2..max_group chunks score at least decay times its best. Chunks without a title are no section."""
-    d = decay if isinstance(decay, Column) else F.lit(decay)
+def with_sections(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Hits with the size and the best score of their section; chunks without a title are no section, of size 0."""
     name = F.trim(F.coalesce("title", F.lit("")))
     # untitled chunks are spread, not gathered as if they were one section
     group = Window.partitionBy(*by, "collection", name, F.when(name == "", F.col("chunk_seq")))
-    size = F.count(F.lit(1)).over(group)
-    lifted = F.greatest(F.col("score"), d * F.max("score").over(group))
-    return hits.withColumn("score", F.when((d > 0) & (name != "") & (size >= 2) & (size <= max_group), lifted).otherwise(F.col("score")))
+    size = F.when(name == "", F.lit(0)).otherwise(F.count(F.lit(1)).over(group))
+    return hits.withColumns({"section_size": size, "section_best": F.max("score").over(group)})
+
+
+def lifted(decay: float | Column, max_group: int | Column) -> Column:
+    """The score of a hit with its section: in sections of 2..max_group chunks at least decay times the best."""
+    d = decay if isinstance(decay, Column) else F.lit(decay)
+    some = (d > 0) & (F.col("section_size") >= 2) & (F.col("section_size") <= max_group)
+    return F.when(some, F.greatest(F.col("score"), d * F.col("section_best"))).otherwise(F.col("score"))
+
+
+def lift_sections(hits: DataFrame, decay: float | Column = 0.5, max_group: int | Column = 4, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Chunks of a section of 2..max_group chunks score at least decay times its best. Chunks without a title are no section."""
+    return with_sections(hits, by).withColumn("score", lifted(decay, max_group)).drop("section_size", "section_best")
+
+
+def top_of_grid(hits: DataFrame, grid: list[dict], score: Callable[[dict], Column], k: int) -> DataFrame:
+    """(a column for each of the grid's names, query_id, collection, chunk_seq, score, rank): the k best of each query at each point of a grid.
+
+    `score` makes of a point, a value for each name, the score of a hit there. A hit stays one row
+    with all its scores, and only what a task finds among its k best becomes a row of a point, so
+    what is shuffled and sorted doesn't grow with hits times points. Scores are rounded as they are compared.
+    """
+    rows = hits.select("query_id", *CHUNK, F.array(*[F.round(score(p), DIGITS).cast("double") for p in grid]).alias("scores"))
+    points = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in p.items()]) for p in grid])
+    some = grid_best(rows, k).withColumn("point", F.get(points, F.col("at")))
+    return top(some.select("point.*", "query_id", *CHUNK, "score"), k, (*grid[0], "query_id"))
 
 
 def page_scores(hits: DataFrame, max_pages: int, cutoff: float = 0.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluate
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,8 +43,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that hold the query's text have grade 2, the next ones 1."""
-    c, q = chunks(spark, sf_dir).select("collection", "page", "text"), queries(spark, sf_dir).select("query_id", "collection", F.col("text").alias("q"))
-    found = c.join(q, "collection").where(F.contains("text", "q")).select("query_id", "page").distinct()
+    found = evaluate.pages_holding(chunks(spark, sf_dir), queries(spark, sf_dir))
     graded = found.select("query_id", F.explode(F.array(F.struct("page", F.lit(2).alias("grade")), F.struct((F.col("page") + 1).alias("page"), F.lit(1).alias("grade")))).alias("g"))
     return graded.groupBy("query_id", "g.page").agg(F.max("g.grade").alias("grade"))
 

@@ -389,35 +389,40 @@ def j10_changed(s, d):
     return ranks[0].join(ranks[1], "query_id").withColumn("changed", F.col("vector") != F.col("hybrid"))
 
 
+def _steps(name: str, steps: int) -> list[dict]:
+    return [{name: i / steps} for i in range(steps + 1)]
+
+
+def _by_alpha(c: DataFrame, q: DataFrame) -> DataFrame:
+    """The first 40 chunks at each share of the vectors, with their pages."""
+    best = search.top_of_grid(search.scored(c, q), _steps("alpha", 10), lambda p: p["alpha"] * F.col("norm_cos") + (1 - p["alpha"]) * F.col("norm_bm25"), 40)
+    return search.described(best, c, "page")
+
+
 @query(oracle.ALPHA)
 def j11_alpha_sweep(s, d):
-    c = b.chunks(s, d)
-    grid = F.explode(F.array(*[F.lit(i / 10) for i in range(11)])).alias("alpha")
-    hits = search.fuse(search.scored(c, b.queries(s, d)).select("*", grid), F.col("alpha"))
-    hits = search.described(search.top(hits, 40, ("alpha", "query_id")), c, "page")
     by = ("alpha", "query_id")
-    per = evaluate.metrics(evaluate.ranked_pages(hits, by), b.gold(s, d), by=by)
+    per = evaluate.metrics(evaluate.ranked_pages(_by_alpha(b.chunks(s, d), b.queries(s, d)), by), b.gold(s, d), by=by)
     return _rounded(evaluate.averages(per, "alpha"), "alpha", "queries", scores=MEASURES)
 
 
 @query(oracle.SECTIONS_SWEEP)
 def j11_decay_group_sweep(s, d):
     c = b.chunks(s, d)
-    hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title").select("query_id", *search.CHUNK, "page", "title", "score")
-    cells = F.array(*[F.struct(F.lit(x).alias("decay"), F.lit(g).alias("max_group")) for x in (0.0, 0.3, 0.5, 0.7, 0.85, 1.0) for g in (2, 4, 8, 1000)])
-    hits = hits.select("*", F.explode(cells).alias("g")).select("*", "g.decay", "g.max_group")
+    hits = search.with_sections(search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "title"))
+    grid = [{"decay": x, "max_group": g} for x in (0.0, 0.3, 0.5, 0.7, 0.85, 1.0) for g in (2, 4, 8, 1000)]
+    best = search.described(search.top_of_grid(hits, grid, lambda p: search.lifted(p["decay"], p["max_group"]), 40), c, "page")
     by = ("decay", "max_group", "query_id")
-    lifted = search.lift_sections(hits, F.col("decay"), F.col("max_group"), by)
-    per = evaluate.metrics(evaluate.ranked_pages(search.top(lifted, 40, by), by), b.gold(s, d), by=by)
+    per = evaluate.metrics(evaluate.ranked_pages(best, by), b.gold(s, d), by=by)
     return _rounded(evaluate.averages(per, "decay", "max_group"), "decay", "max_group", "queries", scores=MEASURES)
 
 
 def _swept(s, d, hits: DataFrame, by: tuple[str, ...], pool: int | None = 40, ks: tuple[int, ...] = (1, 3, 5, 10), tuning: bool = False) -> DataFrame:
-    """Averages by all of `by` but the query, over its first `pool` chunks (None: all); of the tuning queries only, if so asked."""
+    """Averages by all of `by` but the query, over its first `pool` chunks (None: all), found already if hits have ranks; of the tuning queries only, if so asked."""
     q = b.queries(s, d).select("query_id", "holdout")
     if tuning:
         hits = hits.join(F.broadcast(q.where("not holdout").select("query_id")), "query_id", "left_semi")
-    best = hits if pool is None else search.top(hits, pool, by)
+    best = hits if pool is None or "rank" in hits.columns else search.top(hits, pool, by)
     best = best if "page" in best.columns else search.described(best, b.chunks(s, d), "page")
     ranked = evaluate.all_pages(best, by) if pool is None else evaluate.ranked_pages(best, by)
     gold = b.gold(s, d).join(q.where("not holdout") if tuning else q, "query_id", "left_semi")
@@ -431,15 +436,24 @@ def _grid(name: str, steps: int) -> F.Column:
     return F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias(name)
 
 
-def _blends(pair: tuple[DataFrame, DataFrame], name: str, steps: int) -> DataFrame:
-    """Scores of all shares of a second channel from 0 to 1."""
+def _both(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The scores of two channels, `score` and `o`."""
     base, other = pair
-    both = search.blend(base.select("query_id", *search.CHUNK, "score"), other, F.lit(0.0))
     o = other.select("query_id", *search.CHUNK, F.col("score").alias("o"))
-    both = both.join(o, ["query_id", *search.CHUNK]).select("*", _grid(name, steps))
+    return base.select("query_id", *search.CHUNK, "score").join(o, ["query_id", *search.CHUNK])
+
+
+def _blends(pair: tuple[DataFrame, DataFrame], name: str, steps: int) -> DataFrame:
+    """Scores of all shares of a second channel from 0 to 1."""
+    both = _both(pair).select("*", _grid(name, steps))
     return both.withColumn("score", (1 - F.col(name)) * F.col("score") + F.col(name) * F.col("o")).drop("o")
 
 
+def _by_beta(s, d, steps: int) -> DataFrame:
+    """The first 40 chunks at each share of the passages."""
+    return search.top_of_grid(_both(_passage(s, d)), _steps("beta", steps), lambda p: (1 - p["beta"]) * F.col("score") + p["beta"] * F.col("o"), 40)
+
+
 @query(oracle.SECTION_EVAL)
 def e2_section_eval(s, d):
     """Without section lift, and with the strong setting, over all chunks."""
@@ -451,12 +465,12 @@ def e2_section_eval(s, d):
 
 @query(oracle.PASSAGE_EVAL)
 def e3_passage_eval(s, d):
-    return _swept(s, d, _blends(_passage(s, d), "beta", 2), ("beta", "query_id"))
+    return _swept(s, d, _by_beta(s, d, 2), ("beta", "query_id"))
 
 
 @query(oracle.PASSAGE_SWEEP)
 def j11_beta_sweep(s, d):
-    return _swept(s, d, _blends(_passage(s, d), "beta", 5), ("beta", "query_id"), tuning=True)
+    return _swept(s, d, _by_beta(s, d, 5), ("beta", "query_id"), tuning=True)
 
 
 @query(oracle.METADATA_EVAL)
@@ -526,8 +540,7 @@ def e7_dense_types(s, d):
 
 @query(oracle.TUNING_ALPHA)
 def e8_alpha_tuning(s, d):
-    hits = search.fuse(search.scored(b.chunks(s, d), b.queries(s, d)).select("*", _grid("alpha", 10)), F.col("alpha"))
-    return _swept(s, d, hits, ("alpha", "query_id"), tuning=True)
+    return _swept(s, d, _by_alpha(b.chunks(s, d), b.queries(s, d).where("not holdout")), ("alpha", "query_id"), tuning=True)
 
 
 @query(oracle.PROFILE)

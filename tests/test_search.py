@@ -132,6 +132,42 @@ def test_bounded_search_has_the_same_rows_from_fewer_postings(spark, tmp_path, m
     assert len(asked) == 1 and any(f"bucket#" in p and str(asked[0]) in p for p in [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]])
 
 
+@pytest.mark.parametrize("held", [10, 70, 100_000])
+def test_best_of_a_grid(spark, held):
+    draw = random.Random(held)
+    rows = [(q, 1, i, draw.choice([0.0, 0.5, draw.random()]), draw.choice([None, 0.25, draw.random()])) for q in range(5) for i in range(150)]
+    hits = spark.createDataFrame(draw.sample(rows, len(rows)), "query_id long, collection int, chunk_seq long, a double, b double").repartition(3)
+    grid = [{"share": i / 4} for i in range(5)]
+    score = lambda p: (1 - F.lit(p["share"])) * F.col("a") + F.lit(p["share"]) * F.col("b")
+    each = hits.crossJoin(F.broadcast(spark.createDataFrame([(p["share"],) for p in grid], "share double")))
+    each = each.withColumn("score", (1 - F.col("share")) * F.col("a") + F.col("share") * F.col("b"))
+    want = search.top(each.fillna(float("-inf"), ["score"]), 7, ("share", "query_id"))
+    name = ("share", "query_id", "chunk_seq", "rank")
+    assert sorted(tuple(r) for r in search.top_of_grid(hits, grid, score, 7).select(*name).collect()) == sorted(tuple(r) for r in want.select(*name).collect())
+    scores = hits.select("query_id", "collection", "chunk_seq", F.array("a", "b").alias("scores"))
+    some = search.grid_best(scores, 7, held)
+    best = search.top(some, 7, ("at", "query_id")).select("at", "query_id", "chunk_seq", "rank")
+    flat = scores.select("*", F.posexplode(F.transform("scores", lambda x: F.coalesce(x, F.lit(float("-inf"))))).alias("at", "score"))
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, search.top(flat, 7, ("at", "query_id")).select("at", "query_id", "chunk_seq", "rank").collect()))
+    # what a task hands on are its best at each point, unless it can't hold them
+    assert held < 100_000 or some.count() <= 3 * 5 * 7 * 2
+    assert search.top_of_grid(hits.limit(0), grid, score, 7).count() == 0
+
+
+def test_pages_that_hold_a_text(spark):
+    draw = random.Random(5)
+    words = ["a", "b", "ab", "ba", "é"]
+    some = lambda n: "".join(draw.choice(words) + draw.choice([" ", "  ", "\n", ""]) for _ in range(n))
+    texts = [(draw.randint(1, 2), i, i // 3, some(40)) for i in range(120)] + [(1, 120, 40, None), (1, 121, 41, "")]
+    cut = [(draw.choice(texts[:120])[3][(k := draw.randint(0, 20)) : k + draw.randint(0, 15)]) for _ in range(60)]
+    asked = [(i, draw.randint(1, 2), t) for i, t in enumerate([*cut, "", " ", None, "zz zz zz", " a b ", "\u00a0a b c"])]
+    c = spark.createDataFrame(texts, "collection int, chunk_seq long, page int, text string")
+    q = spark.createDataFrame(asked, "query_id long, collection int, text string")
+    want = {(i, p) for i, k, t in asked for n, _, p, x in texts if n == k and t is not None and x is not None and t in x}
+    got = [tuple(r) for r in evaluate.pages_holding(c, q).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_untitled_chunks_are_no_section(spark):
     rows = [(1, 1, i, None if i % 2 else " ", i / 10) for i in range(6)]
     hits = spark.createDataFrame(rows, "query_id long, collection int, chunk_seq long, title string, score double")
