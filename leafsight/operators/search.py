@@ -24,6 +24,8 @@ CHUNK = ("collection", "chunk_seq")
 
 #: Partitions of stored postings by the hash of their term, and chunk numbers that a block of them spans.
 BUCKETS, SPAN = 32, 256
+#: Queries up to which the ends of their scores, a row each, go to every task.
+FEW = 100_000
 #: Postings that a file of stored blocks holds, or a little more.
 FILE = 1_000_000
 #: Postings of its most telling terms that a query looks at for a first bound.
@@ -235,10 +237,10 @@ def dense(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return all_scores(*_keyed(chunks, queries))
 
 
-def minmax(scores: DataFrame, *columns: str) -> DataFrame:
-    """norm_<column>: from 0 to 1 within each query, 0 where all are alike."""
+def minmax(scores: DataFrame, *columns: str, few: bool = False) -> DataFrame:
+    """norm_<column>: from 0 to 1 within each query, 0 where all are alike. Of few queries the ends are broadcast, and the scores stay where they are."""
     ends = scores.groupBy("query_id").agg(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    out = scores.join(ends, "query_id")
+    out = scores.join(F.broadcast(ends) if few else ends, "query_id")
     for c in columns:
         width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
         out = out.withColumn(f"norm_{c}", F.when(width < 1e-12, F.lit(0.0)).otherwise((F.col(c) - F.col(f"lo_{c}")) / width))
@@ -248,7 +250,7 @@ def minmax(scores: DataFrame, *columns: str) -> DataFrame:
 def scored(chunks: DataFrame, queries: DataFrame, words: Lexicon | StoredLexicon | None = None) -> DataFrame:
     """(query_id, collection, chunk_seq, cos, bm25, norm_cos, norm_bm25) of every chunk of the query's collection."""
     both = dense(chunks, queries).join(bm25(words or chunks, queries), ["query_id", *CHUNK], "left").fillna(0.0, ["bm25"])
-    return minmax(both, "cos", "bm25")
+    return minmax(both, "cos", "bm25", few=queries.count() <= FEW)
 
 
 def described(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:

@@ -22,10 +22,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as chunks; there are fewer vectors than documents, so these take them in turn."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = e.count()
-    c = corpus(spark, sf_dir).withColumn("vec_id", F.col("chunk_seq") % n if n else F.lit(None).cast("long"))
-    return c.join(e, "vec_id").drop("vec_id")
+    return _turns(corpus(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _turns(chunks: DataFrame, vectors: DataFrame, how: str = "inner") -> DataFrame:
+    n = vectors.count()
+    return chunks.withColumn("vec_id", F.col("chunk_seq") % n if n else F.lit(None).cast("long")).join(vectors, "vec_id", how).drop("vec_id")
 
 
 def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +45,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that hold the query's text have grade 2, the next ones 1."""
-    found = evaluate.pages_holding(chunks(spark, sf_dir), queries(spark, sf_dir))
+    found = evaluate.chunks_holding(corpus(spark, sf_dir), queries(spark, sf_dir))
+    # texts stay where they are; what is found has to have a vector, as chunks have
+    found = _turns(found, table(spark, sf_dir, "embeddings").select("vec_id"), "left_semi").select("query_id", "page").distinct()
     graded = found.select("query_id", F.explode(F.array(F.struct("page", F.lit(2).alias("grade")), F.struct((F.col("page") + 1).alias("page"), F.lit(1).alias("grade")))).alias("g"))
     return graded.groupBy("query_id", "g.page").agg(F.max("g.grade").alias("grade"))
 

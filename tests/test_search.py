@@ -154,7 +154,7 @@ def test_best_of_a_grid(spark, held):
     assert search.top_of_grid(hits.limit(0), grid, score, 7).count() == 0
 
 
-def test_pages_that_hold_a_text(spark):
+def test_chunks_that_hold_a_text(spark):
     draw = random.Random(5)
     words = ["a", "b", "ab", "ba", "é"]
     some = lambda n: "".join(draw.choice(words) + draw.choice([" ", "  ", "\n", ""]) for _ in range(n))
@@ -163,8 +163,8 @@ def test_pages_that_hold_a_text(spark):
     asked = [(i, draw.randint(1, 2), t) for i, t in enumerate([*cut, "", " ", None, "zz zz zz", " a b ", "\u00a0a b c"])]
     c = spark.createDataFrame(texts, "collection int, chunk_seq long, page int, text string")
     q = spark.createDataFrame(asked, "query_id long, collection int, text string")
-    want = {(i, p) for i, k, t in asked for n, _, p, x in texts if n == k and t is not None and x is not None and t in x}
-    got = [tuple(r) for r in evaluate.pages_holding(c, q).collect()]
+    want = {(i, n, m, p) for i, k, t in asked for n, m, p, x in texts if n == k and t is not None and x is not None and t in x}
+    got = [tuple(r) for r in evaluate.chunks_holding(c, q).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
