@@ -247,9 +247,12 @@ def minmax(scores: DataFrame, *columns: str, few: bool = False) -> DataFrame:
     return out.drop(*[f"{n}_{c}" for c in columns for n in ("lo", "hi")])
 
 
-def scored(chunks: DataFrame, queries: DataFrame, words: Lexicon | StoredLexicon | None = None) -> DataFrame:
-    """(query_id, collection, chunk_seq, cos, bm25, norm_cos, norm_bm25) of every chunk of the query's collection."""
-    both = dense(chunks, queries).join(bm25(words or chunks, queries), ["query_id", *CHUNK], "left").fillna(0.0, ["bm25"])
+def scored(chunks: DataFrame, queries: DataFrame, words: DataFrame | Lexicon | StoredLexicon | None = None) -> DataFrame:
+    """(query_id, collection, chunk_seq, cos, bm25, norm_cos, norm_bm25) of every chunk of the query's collection.
+
+    words: a lexicon made before, or the same chunks without their vectors, where texts and vectors lie apart.
+    """
+    both = dense(chunks, queries).join(bm25(chunks if words is None else words, queries), ["query_id", *CHUNK], "left").fillna(0.0, ["bm25"])
     return minmax(both, "cos", "bm25", few=queries.count() <= FEW)
 
 
@@ -274,7 +277,7 @@ def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFra
 
 
 def search(
-    chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.6, mode: str = "hybrid", types: list[str] | None = None, words: Lexicon | StoredLexicon | None = None
+    chunks: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.6, mode: str = "hybrid", types: list[str] | None = None, words: DataFrame | Lexicon | StoredLexicon | None = None
 ) -> DataFrame:
     """Ranked chunks; types are left out after scoring, so scores don't change with them."""
     hits = fuse(scored(chunks, queries, words), alpha, mode)

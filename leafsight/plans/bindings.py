@@ -30,6 +30,13 @@ def _turns(chunks: DataFrame, vectors: DataFrame, how: str = "inner") -> DataFra
     return chunks.withColumn("vec_id", F.col("chunk_seq") % n if n else F.lit(None).cast("long")).join(vectors, "vec_id", how).drop("vec_id")
 
 
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of chunks. Where vectors are numbered without gaps each document has one, and no text is moved to meet it."""
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    n, kinds, first, last = ids.agg(F.count("*"), F.countDistinct("vec_id"), F.min("vec_id"), F.max("vec_id")).first()
+    return corpus(spark, sf_dir) if n and kinds == n and first == 0 and last == n - 1 else _turns(corpus(spark, sf_dir), ids)
+
+
 def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """chunks and queries dealt to three collections, in which chunk numbers begin anew."""
     c = chunks(spark, sf_dir).withColumn("collection", (F.col("chunk_seq") % 3 + 1).cast("int")).withColumn("chunk_seq", F.expr("chunk_seq div 3"))

@@ -237,11 +237,11 @@ def s8_vector_index(s, d):
 
 @query(oracle.MINMAX)
 def f2_minmax(s, d):
-    return _rounded(search.scored(b.chunks(s, d), b.queries(s, d)), "query_id", "chunk_seq", scores=("cos", "bm25", "norm_cos", "norm_bm25"))
+    return _rounded(search.scored(b.chunks(s, d), b.queries(s, d), b.lexical(s, d)), "query_id", "chunk_seq", scores=("cos", "bm25", "norm_cos", "norm_bm25"))
 
 
 def _search(s, d, **kw):
-    return _rounded(search.search(b.chunks(s, d), b.queries(s, d), 10, **kw), "query_id", "rank", "chunk_seq", "page", scores=("score", "cos", "bm25"))
+    return _rounded(search.search(b.chunks(s, d), b.queries(s, d), 10, words=b.lexical(s, d), **kw), "query_id", "rank", "chunk_seq", "page", scores=("score", "cos", "bm25"))
 
 
 @query(oracle.search("0.6 * norm_cos + 0.4 * norm_bm25"))
@@ -267,7 +267,7 @@ def p7_post_filter(s, d):
 def _hits(s, d, decay: float = 0.5, group: int = 4) -> DataFrame:
     """All chunks of every query with their lifted scores, without texts."""
     c = b.chunks(s, d)
-    hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title", "chunk_type")
+    hits = search.described(search.fuse(search.scored(c, b.queries(s, d), b.lexical(s, d))), c, "page", "title", "chunk_type")
     return search.lift_sections(hits, decay, group)
 
 
@@ -308,7 +308,7 @@ def _metadata(s, d):
     described = T.descriptor(F.col("title"), F.lit(""), F.lit(""), F.col("chunk_type"))
     q2 = q.withColumn("text", F.concat(F.col("text"), F.lit(" src0 en table")))
     meta = search.minmax(search.dense(c, q).join(search.bm25(c, q2, described), ["query_id", *search.CHUNK], "left").fillna(0.0, ["bm25"]), "cos", "bm25")
-    return search.fuse(search.scored(c, q)), search.fuse(meta)
+    return search.fuse(search.scored(c, q, b.lexical(s, d))), search.fuse(meta)
 
 
 def _passage(s, d):
@@ -316,7 +316,7 @@ def _passage(s, d):
     e = b.table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("hvec"))
     passages = q.join(e, "query_id").drop("qvec").withColumnRenamed("hvec", "qvec")
     other = search.minmax(search.dense(c, passages), "cos").withColumn("score", F.col("norm_cos"))
-    return search.fuse(search.scored(c, q)), other
+    return search.fuse(search.scored(c, q, b.lexical(s, d))), other
 
 
 @query(oracle.METADATA)
@@ -335,7 +335,7 @@ def r11_rerank(s, d):
 
 
 def _pool(s, d, k: int = 40) -> DataFrame:
-    return evaluate.ranked_pages(search.search(b.chunks(s, d), b.queries(s, d), k))
+    return evaluate.ranked_pages(search.search(b.chunks(s, d), b.queries(s, d), k, words=b.lexical(s, d)))
 
 
 def _metrics(s, d) -> DataFrame:
@@ -384,7 +384,7 @@ def t6_worst(s, d):
 @query(oracle.CHANGED)
 def j10_changed(s, d):
     c, q, g = b.chunks(s, d), b.queries(s, d), b.gold(s, d)
-    scores = search.described(search.scored(c, q), c, "page")
+    scores = search.described(search.scored(c, q, b.lexical(s, d)), c, "page")
     ranks = [evaluate.metrics(evaluate.ranked_pages(search.top(search.fuse(scores, mode=m), 40)), g).select("query_id", F.coalesce("first_rank", F.lit(99)).alias(m)) for m in ("vector", "hybrid")]
     return ranks[0].join(ranks[1], "query_id").withColumn("changed", F.col("vector") != F.col("hybrid"))
 
@@ -393,23 +393,23 @@ def _steps(name: str, steps: int) -> list[dict]:
     return [{name: i / steps} for i in range(steps + 1)]
 
 
-def _by_alpha(c: DataFrame, q: DataFrame) -> DataFrame:
+def _by_alpha(c: DataFrame, q: DataFrame, texts: DataFrame) -> DataFrame:
     """The first 40 chunks at each share of the vectors, with their pages."""
-    best = search.top_of_grid(search.scored(c, q), _steps("alpha", 10), lambda p: p["alpha"] * F.col("norm_cos") + (1 - p["alpha"]) * F.col("norm_bm25"), 40)
+    best = search.top_of_grid(search.scored(c, q, texts), _steps("alpha", 10), lambda p: p["alpha"] * F.col("norm_cos") + (1 - p["alpha"]) * F.col("norm_bm25"), 40)
     return search.described(best, c, "page")
 
 
 @query(oracle.ALPHA)
 def j11_alpha_sweep(s, d):
     by = ("alpha", "query_id")
-    per = evaluate.metrics(evaluate.ranked_pages(_by_alpha(b.chunks(s, d), b.queries(s, d)), by), b.gold(s, d), by=by)
+    per = evaluate.metrics(evaluate.ranked_pages(_by_alpha(b.chunks(s, d), b.queries(s, d), b.lexical(s, d)), by), b.gold(s, d), by=by)
     return _rounded(evaluate.averages(per, "alpha"), "alpha", "queries", scores=MEASURES)
 
 
 @query(oracle.SECTIONS_SWEEP)
 def j11_decay_group_sweep(s, d):
     c = b.chunks(s, d)
-    hits = search.with_sections(search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "title"))
+    hits = search.with_sections(search.described(search.fuse(search.scored(c, b.queries(s, d), b.lexical(s, d))), c, "title"))
     grid = [{"decay": x, "max_group": g} for x in (0.0, 0.3, 0.5, 0.7, 0.85, 1.0) for g in (2, 4, 8, 1000)]
     best = search.described(search.top_of_grid(hits, grid, lambda p: search.lifted(p["decay"], p["max_group"]), 40), c, "page")
     by = ("decay", "max_group", "query_id")
@@ -458,7 +458,7 @@ def _by_beta(s, d, steps: int) -> DataFrame:
 def e2_section_eval(s, d):
     """Without section lift, and with the strong setting, over all chunks."""
     c = b.chunks(s, d)
-    hits = search.described(search.fuse(search.scored(c, b.queries(s, d))), c, "page", "title").select("query_id", *search.CHUNK, "page", "title", "score")
+    hits = search.described(search.fuse(search.scored(c, b.queries(s, d), b.lexical(s, d))), c, "page", "title").select("query_id", *search.CHUNK, "page", "title", "score")
     hits = hits.select("*", F.explode(F.array(F.lit(0.0), F.lit(0.85))).alias("decay"))
     return _swept(s, d, search.lift_sections(hits, F.col("decay"), 8, ("decay", "query_id")), ("decay", "query_id"), None, (1, 3, 5, 10, 20))
 
@@ -511,7 +511,7 @@ def t7_worst_reranked(s, d):
 
 def _modes(s, d, k: int) -> DataFrame:
     c = b.chunks(s, d)
-    scores = search.scored(c, b.queries(s, d))
+    scores = search.scored(c, b.queries(s, d), b.lexical(s, d))
     hits = [search.top(search.fuse(scores, mode=m), k).withColumn("mode", F.lit(m)) for m in ("vector", "bm25", "hybrid")]
     return search.described(hits[0].unionByName(hits[1]).unionByName(hits[2]), c, "page", "chunk_type")
 
@@ -540,7 +540,7 @@ def e7_dense_types(s, d):
 
 @query(oracle.TUNING_ALPHA)
 def e8_alpha_tuning(s, d):
-    return _swept(s, d, _by_alpha(b.chunks(s, d), b.queries(s, d).where("not holdout")), ("alpha", "query_id"), tuning=True)
+    return _swept(s, d, _by_alpha(b.chunks(s, d), b.queries(s, d).where("not holdout"), b.lexical(s, d)), ("alpha", "query_id"), tuning=True)
 
 
 @query(oracle.PROFILE)
@@ -577,7 +577,7 @@ def u2_stop_union(s, d):
 
 @query(oracle.TOP_TYPE)
 def a19_top_type(s, d):
-    return evaluate.top_types(search.search(b.chunks(s, d), b.queries(s, d), 1))
+    return evaluate.top_types(search.search(b.chunks(s, d), b.queries(s, d), 1, words=b.lexical(s, d)))
 
 
 @query(oracle.SECTION_STATS)
