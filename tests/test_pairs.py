@@ -1,6 +1,7 @@
 """Scores made where they are looked at, against the join of all pairs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,16 @@ def test_what_is_handed_on_doesnt_grow_with_chunks(spark):
     tasks = found.groups[0][0].rdd.getNumPartitions()
     assert found.best(4, [search.Point(search.mixed(0.6))]).count() <= 4 * 9 * tasks < more.count() * 9 / 2
     assert "Exchange" not in found.rows()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_tables_take_time_in_proportion(spark):
+    from leafsight.functions import text as T
+
+    # some 1.6 thousand million looks at cells if the width were worked out for each row
+    rows = F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.array(i.cast("string"), F.lit("x")))
+    began = time.monotonic()
+    got = spark.range(1).select(T.rows_to_markdown(F.when(F.col("id") == 0, rows)).alias("m")).first()["m"].split("\n")
+    assert time.monotonic() - began < 60
+    assert got[:3] == ["| 1 | x |", "| --- | --- |", "| 2 | x |"] and len(got) == 40_001
+    one = spark.range(1).select(T.rows_to_markdown(F.array(F.array(F.lit("a"), F.lit("b")))).alias("m")).first()["m"]
+    assert one == "| a | b |\n| --- | --- |"
