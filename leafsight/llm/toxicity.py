@@ -34,7 +34,8 @@ SURE = 4.0
 L2 = 0.1
 #: Steps of the fit at most, and the gradient's share of its first length at which it ends.
 STEPS, ENOUGH = 60, 1e-3
-PIECE = 1 << 20
+#: Code points of texts that are hashed at a time: a task holds some hundred bytes for each.
+PIECE = 1 << 18
 #: So many text numbers fit beside a bucket into 32 bits.
 MOST_TEXTS = (1 << 32 - BITS) - 1
 FOLDS, FOLD = 5, 0
@@ -268,9 +269,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coef, bias = sent.value.table(), sent.value.bias
         for batch in batches:
-            # texts are looked at where they lie; a few thousand at a time are held besides
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            # texts are looked at where they lie; a few hundred at a time are held besides
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 yield part.filter(pa.array(_rated(part.column("row").flatten()[text].to_pylist(), coef, bias) < 0))
 
     text = docs.columns.index("text")
