@@ -168,6 +168,16 @@ def test_chunks_that_hold_a_text(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_texts_and_their_words_stay_where_they_are(spark, monkeypatch):
+    c = spark.range(400).selectExpr("1 as collection", "id as chunk_seq", "id div 10 as page", "concat_ws(' ', transform(sequence(0, 60), i -> concat('w', (i * id) % 97))) as text")
+    q = c.where("chunk_seq % 50 = 3").selectExpr("chunk_seq as query_id", "collection", "substr(text, 3, 90) as text")
+    plans = []
+    keep = evaluate.written
+    monkeypatch.setattr(evaluate, "written", lambda rows, tag: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or keep(rows, tag))
+    assert {r["query_id"] for r in evaluate.chunks_holding(c, q).where("query_id = chunk_seq").collect()} == set(range(3, 400, 50))
+    assert plans and not any(word in p for p in plans for word in ("Exchange", "Generate"))
+
+
 def test_untitled_chunks_are_no_section(spark):
     rows = [(1, 1, i, None if i % 2 else " ", i / 10) for i in range(6)]
     hits = spark.createDataFrame(rows, "query_id long, collection int, chunk_seq long, title string, score double")
