@@ -41,6 +41,23 @@ def tables(request, spark):
     pairs.MOST_SENT, pairs.MOST_CELLS, pairs.MOST_QUERIES, pairs.MOST_WEIGHTS = old
 
 
+def test_texts_are_read_for_their_words_once(spark, monkeypatch):
+    c, q = _tables(spark)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    texts = c.drop("embedding")
+    found = pairs.pairs(c, q, texts.select("collection", "chunk_seq", "title", "text").mapInArrow(seen, "collection int, chunk_seq long, title string, text string"))
+    # once more by the count of chunks
+    assert reads.value <= 2 * 240
+    monkeypatch.setattr(pairs, "MOST_TERMS", 20)
+    assert _set(pairs.pairs(c, q, texts).rows(), "query_id", "chunk_seq", "bm25") == _set(found.rows(), "query_id", "chunk_seq", "bm25")
+
+
 def test_all_pairs(tables):
     c, q = tables
     names = ("query_id", "collection", "chunk_seq", "cos", "bm25", "norm_cos", "norm_bm25")
