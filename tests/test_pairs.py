@@ -124,3 +124,17 @@ def test_long_tables_take_time_in_proportion(spark):
     assert got[:3] == ["| 1 | x |", "| --- | --- |", "| 2 | x |"] and len(got) == 40_001
     one = spark.range(1).select(T.rows_to_markdown(F.array(F.array(F.lit("a"), F.lit("b")))).alias("m")).first()["m"]
     assert one == "| a | b |\n| --- | --- |"
+
+
+def test_words_cut_in_tasks_are_those_of_tokenize(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choices("abZ019_ .-\t\néß中\U0001f600İK", k=r.choice([0, 1, 2, 5, 40]))) + r.choice(["", " the of", "And", " x"]) for _ in range(400)] + ["", "ab", "cd", "", "e", "fg_"]
+    rows = spark.createDataFrame([(i, None if i % 23 == 5 else t) for i, t in enumerate(texts)], "i int, t string").select("i", F.lower("t").alias("low"), search.tokenize(F.col("t")).alias("words"))
+    table = rows.orderBy("i").toArrow().combine_chunks()
+    low, want = table.column("low").combine_chunks(), table.column("words").to_pylist()
+    for begin in (0, 1, 397, len(want)):
+        row, words = pairs._words(low.slice(begin))
+        got = [[] for _ in want[begin:]]
+        for i, w in zip(row, words.to_pylist(), strict=True):
+            got[i].append(w)
+        assert got == want[begin:]
