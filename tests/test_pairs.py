@@ -138,3 +138,18 @@ def test_words_cut_in_tasks_are_those_of_tokenize(spark):
         for i, w in zip(row, words.to_pylist(), strict=True):
             got[i].append(w)
         assert got == want[begin:]
+
+
+def test_rows_move_once_to_their_sections(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_NAMED", 10)
+    names = ["big"] * 50 + ["three"] * 3 + ["five"] * 5 + [""] * 20 + ["7"] * 2 + ["one"]
+    rows = spark.createDataFrame([(i, n, [1.0]) for i, n in enumerate(names)], "chunk_seq long, name string, embedding array<float>").localCheckpoint()
+    # a constant, as in one collection
+    rows = rows.withColumn("collection", F.lit(1))
+    found = pairs._sectioned(rows, rows.drop("name"), rows.select("collection", "name"), 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # rows, and counts of names
+    got = {r["chunk_seq"]: (r["section"], r["section_size"]) for r in found.collect()}
+    assert got == {i: (n, names.count(n)) if n in ("three", "7") else (None, None) for i, n in enumerate(names)}
+    # a section's rows are in one task, next to each other
+    runs = [[k for i, k in enumerate(t) if k and (not i or t[i - 1] != k)] for t in found.select("section").rdd.map(lambda r: r[0]).glom().collect()]
+    assert sorted(k for t in runs for k in t) == ["7", "three"]
