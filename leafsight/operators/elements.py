@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIGURE_CAPTION, TABLE_CAPTION, boilerplate_key, rows_to_markdown, strip
+from ..sources.store import written
 
 KEPT = ("Table", "Image")
 
@@ -21,6 +22,42 @@ def detect_boilerplate(elements: DataFrame, ratio: float = 0.6, min_pages: int =
     return found.where(F.col("pages") >= F.greatest(F.lit(float(min_pages)), F.lit(ratio) * F.col("total_pages")))
 
 
+def repeating_keys(elements: DataFrame, ratio: float = 0.6, min_pages: int = 3, longest: int = 160) -> DataFrame:
+    """(doc_id, keys) of the documents that have boilerplate: what detect_boilerplate finds, as a table of a row a document.
+
+    Pages are counted for hashes of keys, so no text is moved; the texts under the hashes that are
+    on enough pages are counted again, by themselves.
+    """
+    total = elements.where("page is not null").groupBy("doc_id").agg(F.count_distinct("page").alias("total_pages"))
+    key = boilerplate_key(F.col("text"))
+    enough = F.col("pages") >= F.greatest(F.lit(float(min_pages)), F.lit(ratio) * F.col("total_pages"))
+    lines = elements.where(~F.col("category").isin(*KEPT) & F.col("page").isNotNull())
+    # more letters than a key may have are told by a text's beginning, and no key is made
+    short = ~F.coalesce(F.col("text"), F.lit("")).rlike(rf"^[^A-Za-z]*+(?:[A-Za-z][^A-Za-z]*+){{{longest + 1}}}")
+    # what is no key has a null hash, left out when all are counted: a filter on hashes would go before them and make each key twice
+    hashed = lines.select("doc_id", "page", F.when(short, F.when((key != "") & (F.length(key) <= longest), F.xxhash64(key))).alias("h"))
+    counted = hashed.groupBy("doc_id", "h").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
+    likely = written(counted.join(total, "doc_id").where((F.col("total_pages") >= min_pages) & enough).drop("pages"), "likely").where("h is not null")
+    again = lines.where(short).select("doc_id", "page", key.alias("key"), F.xxhash64(key).alias("h")).join(likely, ["doc_id", "h"])
+    found = again.groupBy("doc_id", "key", "total_pages").agg(F.count_distinct("page").alias("pages")).where(enough)
+    return written(found.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "repeating")
+
+
+def without_keys(elements: DataFrame, found: DataFrame) -> DataFrame:
+    """Elements without boilerplate, given as repeating_keys gives it; keys are only made for documents that have some."""
+    gone = F.when(F.col("keys").isNotNull() & ~F.col("category").isin(*KEPT), F.array_contains("keys", boilerplate_key(F.col("text"))))
+    return elements.join(found, "doc_id", "left").where(~F.coalesce(gone, F.lit(False))).drop("keys")
+
+
+def only_for(elements: DataFrame, category: str) -> DataFrame:
+    """Elements for the titles and captions of those of a category (Table or Image): no text where it can be none of these, so that little moves."""
+    pattern, longest = {"Table": (TABLE_CAPTION, 400), "Image": (FIGURE_CAPTION, 300)}[category]
+    # begins so before it is stripped, too
+    begins = F.col("text").rlike("(?U)" + pattern.replace(r"^\s*", r"^[\s\x1c-\x1f]*"))
+    said = F.col("category").isin("Title", category) | (((F.col("category") == "FigureCaption") | begins) & (F.length(strip(F.col("text"))) <= longest))
+    return elements.withColumn("text", F.when(said, F.col("text")))
+
+
 def strip_boilerplate(elements: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """Elements without boilerplate; tables and images always stay."""
     keys = boilerplate.select(F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafsight.functions import text as T
 from leafsight.functions import vectors
-from leafsight.operators import chunking, search
+from leafsight.operators import chunking, elements, search
 from leafsight.sources import store
 
 HEAD = "| a | b |\n| --- | --- |"
@@ -223,3 +223,64 @@ def test_from_elements_to_a_search(spark, tmp_path):
     assert {r["page"] for r in search.search(index, q, 9, types=["image"]).collect()} == {1, 2, 3, 4}
     registry = str(tmp_path / "registry")
     assert store.index_document(spark, registry, "a", str(tmp_path / "other"), lambda: records.where("doc_id = 'a'").drop("doc_id"), encode) == "ready"
+
+
+def moved(spark, run):
+    """Bytes of shuffles that `run` wrote."""
+    sums = lambda: sum(x.shuffleWriteBytes() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = sums()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sums() - before
+
+
+def hex_elements(spark, lines=200):
+    """Documents of lines that don't compress well: a title a page, now and then a table, an image or a caption, and a running line."""
+    e = spark.range(8 * lines).select((F.col("id") % 8).alias("doc_id"), F.expr("id div 8").alias("idx"), F.expr("cast(id div 80 as int)").alias("page"))
+    kind = F.expr("case idx % 10 when 0 then 'Title' when 4 then 'Table' when 7 then 'Image' when 8 then 'FigureCaption' when 9 then 'Footer' else 'NarrativeText' end")
+    long = F.concat_ws(" ", *[F.sha2(F.concat_ws("-", "doc_id", "idx", F.lit(i)), 512) for i in range(6)])
+    text = F.expr("case idx % 10 when 0 then concat('Part ', page) when 8 then concat(' Figure ', idx) when 9 then concat('Page ', page, ' of it') end")
+    return e.withColumn("category", kind).withColumn("text", F.coalesce(text, long))
+
+
+def test_texts_move_twice_on_their_way_to_chunks(spark):
+    e = store.written(hex_elements(spark), "hex")
+    size = e.agg(F.sum(F.length("text"))).first()[0]
+    run = lambda: chunking.chunk_documents(e, captioner=F.lit("Drawn."), ocr=F.col("text")).write.format("noop").mode("overwrite").save()
+    assert moved(spark, run) < 3.5 * size
+
+
+def test_repeating_keys_are_those_detected(spark):
+    rows = [(d, p, c, t) for d in (1, 2, None) for p in (*range(1, 6), None) for c, t in [("Header", f"Page {p} of 9"), ("Header", f" page  {p} OF 8"), ("Table", "same"), (None, "nil"), ("NarrativeText", f"own {'x' * (p or 9)}"), ("Footer", "w" * 160), ("Footer", "w" * 161), ("Footer", "9" * 400 + "w" * 159), ("Footer", None), ("Footer", "é" * 200)]]
+    df = spark.createDataFrame([(d, i, p, c, t) for i, (d, p, c, t) in enumerate(rows) if d != 2 or p in (1, 2, None)], "doc_id long, idx long, page int, category string, text string")
+    found = elements.repeating_keys(df)
+    got = sorted((r["doc_id"], k) for r in found.collect() for k in r["keys"])
+    assert got == sorted((r["doc_id"], r["key"]) for r in elements.detect_boilerplate(df).collect()) == [(1, "#" + "w" * 159), (1, "page # of #"), (1, "w" * 160)]
+    left = lambda x: sorted(x.select("idx").collect())
+    assert left(elements.without_keys(df, found)) == left(elements.strip_boilerplate(df, elements.detect_boilerplate(df)))
+
+
+def test_captions_need_no_other_texts(spark):
+    texts = [("Table", "t"), (None, "\u00a0\x1c Table 1"), ("NarrativeText", "see table"), ("FigureCaption", "c" * 301), ("FigureCaption", " " + "c" * 300 + " "), ("Image", None), ("NarrativeText", " FIG 2"), ("Title", " T "), ("Image", "i"), ("NarrativeText", "exhibit " + "e" * 393), ("Table", "Fig. in a table"), ("FigureCaption", None), ("Image", "x")]
+    df = spark.createDataFrame([(1, i, 1, c, t) for i, (c, t) in enumerate(texts)], "doc_id long, idx long, page int, category string, text string")
+    for kind, of in (("Table", elements.table_captions), ("Image", elements.figure_captions)):
+        few = elements.only_for(df, kind)
+        assert sorted(of(elements.running_titles(few)).collect()) == sorted(of(elements.running_titles(df)).collect()) and few.where("text = 'see table'").count() == 0
+
+
+def test_a_fold_over_batches_is_cross_chunk_overlap(spark):
+    kinds = [("text", None), ("image", None), ("image", None), ("table", 1), ("table", 2), ("image", None)]
+    rows = [(d, i, *kinds[i * i % 6], ("ab " * (i % 5) + "\u00e9" * (i % 3 + 1))[: i % 9 + 1], f"of {i}") for d in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, build_seq int, chunk_type string, table_part int, text string, other string").withColumn("page", F.expr("build_seq div 7"))
+    ordered = chunking.reading_order(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = chunking.overlapped(ordered, 6)
+        fields = ["doc_id", "chunk_seq", "chunk_type", "text", "core_text", "overlap_prefix_chars", "char_count"]
+        key = lambda r: (r["doc_id"] or "", r["chunk_seq"])
+        want = sorted(chunking.cross_chunk_overlap(ordered, 6).select(fields).collect(), key=key)
+        assert sorted(got.select(fields).collect(), key=key) == want
+        # a filter on the result is no filter on what is folded
+        assert sorted(got.where("chunk_type = 'image'").select(fields).collect(), key=key) == [r for r in want if r["chunk_type"] == "image"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
